@@ -1,10 +1,12 @@
 """The registered queries of this subpackage, with SQL where SQL can express them."""
 
-from tidepool.llm import exact_dedup, sharding
+from tidepool.llm import bpe, exact_dedup, packing, sharding
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_digest_index": exact_dedup.op4_digest_index,
+    "op5_speculative_bpe": bpe.op5_speculative_bpe,
 }
 
 ORACLE_SQL = {"op4_digest_index": exact_dedup.SQL}

@@ -38,3 +38,31 @@ def inline_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A few driver-side rows as a DataFrame made of SQL functions only. Callers bound len(rows)."""
     parsed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")
     return spark.range(1).select(F.inline(parsed))
+
+
+def map_batches(df: DataFrame, make, added: str, keep: list[str], rows: int = 1000) -> DataFrame:
+    """Arrow batches of df, in slices of a bounded number of rows, to rows of keep plus the added columns.
+
+    make() is called once in each task; what it returns maps a RecordBatch slice to (row indices, or None for
+    all rows in place; list of Python values for each added column).
+    """
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(added)
+    schema = StructType([df.schema[k] for k in keep] + list(new.fields))
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, work = to_arrow_schema(schema), make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                index, columns = work(part)
+                kept = part.select(keep) if index is None else part.select(keep).take(pa.array(index, pa.int64()))
+                arrays = [c.cast(f.type) for c, f in zip(kept.columns, arrow)]
+                arrays += [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(keep):])]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    return df.mapInArrow(run, schema)
