@@ -1,10 +1,11 @@
 """The registered queries of this subpackage, with SQL where SQL can express them."""
 
-from tidepool.llm import bpe, exact_dedup, packing, secrets, sharding, simhash
+from tidepool.llm import bpe, exact_dedup, language, packing, secrets, sharding, simhash
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_hyperdimensional_language": language.op3_hyperdimensional_language,
     "op4_digest_index": exact_dedup.op4_digest_index,
     "op5_speculative_bpe": bpe.op5_speculative_bpe,
     "op6_trigram_secrets": secrets.op6_trigram_secrets,
