@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, with SQL where SQL can express them."""
 
-from tidepool.llm import bpe, exact_dedup, language, neighbours, packing, secrets, sharding, simhash, toxicity
+from tidepool.llm import bpe, exact_dedup, language, licenses, neighbours, packing, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_digest_index": exact_dedup.op4_digest_index,
     "op5_speculative_bpe": bpe.op5_speculative_bpe,
     "op6_trigram_secrets": secrets.op6_trigram_secrets,
+    "op7_license_templates": licenses.op7_license_templates,
     "op8_counterfactual_toxicity": toxicity.op8_counterfactual_toxicity,
     "op9_kmeans_tree": neighbours.op9_kmeans_tree,
     "op10_ball_simhash": simhash.op10_ball_simhash,

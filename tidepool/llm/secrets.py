@@ -200,3 +200,21 @@ def op6_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(r.name) for r in BASE_RULES],
         F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"),
     )
+
+
+def redact(docs: DataFrame, text: str = "text", spans: str = "secrets", mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span of its text replaced by mark; overlapping spans are one. Other texts stay as they are."""
+    content = F.col(text)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        fresh = s["start"] >= acc["at"]
+        before = F.substring(content, acc["at"] + 1, s["start"] - acc["at"])
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"),
+        )
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(content, acc["at"] + 1, F.char_length(content)))
+    redacted = F.aggregate(spans, start, step, rest)
+    return docs.withColumn(text, F.when(F.size(spans) > 0, redacted).otherwise(content))
