@@ -51,10 +51,10 @@ class WordEncoder:
         self.final = {k[: -len(_END)]: v for k, v in vocab.items() if k.endswith(_END)}
         self.text = {v: k for k, v in vocab.items()}
         self.longest = max(map(len, self.final))
-        self.reach: dict[str, int] = {}  # the longest inner token that begins with these three characters
+        sizes: dict[str, set[int]] = {}  # of inner tokens that begin with the same three characters
         for k in self.inner:
-            if len(k) > self.reach.get(k[:3], 2):
-                self.reach[k[:3]] = len(k)
+            sizes.setdefault(k[:3], {1, 2}).add(len(k))
+        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
         self.most_pairs = most_pairs
         self._forget()
 
@@ -101,15 +101,15 @@ class WordEncoder:
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match from the left; the last token ends the word."""
-        out, i, n, inner, final, reach = [], 0, len(word), self.inner, self.final, self.reach
+        out, i, n, inner, final, sizes = [], 0, len(word), self.inner, self.final, self.sizes
         while True:
             if n - i <= self.longest and (t := final.get(word[i:])) is not None:
                 out.append(t)
                 return out
-            for end in range(min(i + reach.get(word[i : i + 3], 2), n - 1), i, -1):
-                if (t := inner.get(word[i:end])) is not None:
+            for size in sizes.get(word[i : i + 3], (2, 1)):
+                if i + size < n and (t := inner.get(word[i : i + size])) is not None:
                     out.append(t)
-                    i = end
+                    i += size
                     break
 
     def _settle(self, code: int) -> bool:
@@ -215,9 +215,10 @@ class TextEncoder:
                 chunks.append(None)
             else:
                 chunks.append(unicodedata.normalize("NFC", t).lower().split())
-        if len(self.cache) > self.most_words:
-            self.cache.clear()
-        self._learn([c for c in set().union(*(x for x in chunks if x)) if c not in self.cache])
+        wanted = set().union(*(x for x in chunks if x))
+        if len(self.cache) > self.most_words:  # words of this batch stay, among them the frequent ones
+            self.cache = {c: self.cache[c] for c in wanted if c in self.cache}
+        self._learn([c for c in wanted if c not in self.cache])
         get = self.cache.__getitem__
         return [self._unusual(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
 

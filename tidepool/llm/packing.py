@@ -16,7 +16,7 @@ from collections import defaultdict
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -96,16 +96,19 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, text: s
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text",
-                   keep: list[str] | None = None) -> DataFrame:
+                   keep: list[str] | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
     """Packs every document (its ids, then end_id) into as few sequences of at most capacity tokens as best fit finds.
 
-    Returns keep (all other columns of docs by default), piece, start, length, ids (packed little-endian
-    unsigned 32-bit), sequence_id and offset. Only documents over capacity are cut. Null and empty texts are one
+    Returns keep (all other columns of docs by default), piece, start, length, what carry makes of each piece's
+    ids (by default the ids themselves, packed little-endian unsigned 32-bit), sequence_id and offset. Only documents over capacity are cut. Null and empty texts are one
     piece of end_id alone; repeated rows are packed each for itself; clashing columns of docs are replaced.
     """
     docs = docs.drop("piece", "start", "length", "ids", "sequence_id", "offset")
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    pieces = written(token_pieces(docs, path, capacity, end_id, text, keep), "pieces")
+    carry = {"ids": F.col("ids")} if carry is None else carry
+    pieces = token_pieces(docs, path, capacity, end_id, text, keep)
+    own = [*keep, "piece", "start", "length"]
+    pieces = written(pieces.select(*own, "_task", "_number", *[c.alias(k) for k, c in carry.items()]), "pieces")
     in_task = pieces.groupBy("length", "_task").agg(F.count("*").alias("_n"))
     counts = {r["length"]: r["n"] for r in in_task.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     runs = [dict(zip(("length", "rank_from", "rank_to", "per_bin", "first_bin", "first_offset"), r))
@@ -118,7 +121,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     within = F.col("_rank") - F.col("rank_from")
     placed = ranked.join(F.broadcast(plan), in_run)  # bounded by the number of lengths, see plan_runs
     return placed.select(
-        *keep, "piece", "start", "length", "ids",
+        *own, *carry,
         (F.col("first_bin") + F.floor(within / F.col("per_bin"))).cast("long").alias("sequence_id"),
         (F.col("first_offset") + (within % F.col("per_bin")) * F.col("length")).cast("long").alias("offset"),
     )
@@ -128,6 +131,5 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
-    return packed.select("doc_id", "piece", "start", "length",
-                         F.crc32("ids").cast("long").alias("ids_crc32"), "sequence_id", "offset")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"],
+                          carry={"ids_crc32": F.crc32("ids").cast("long")})
