@@ -1,4 +1,6 @@
 """All registered queries of the library and their SQL counterparts."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from tidepool.plans import retrieval_queries, text_queries  # noqa: F401
+from tidepool.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
