@@ -45,7 +45,7 @@ def new_drafts(triaged: DataFrame, drafts: DataFrame, target: str) -> DataFrame:
 
 def export_cases(cases: DataFrame, limit: int) -> DataFrame:
     """Approved cases, oldest first, with distinct titles and keywords that aren't empty."""
-    clean = lambda c: F.array_distinct(F.filter(F.transform(c, F.trim), lambda t: t != "")).alias(c)
+    clean = lambda c: F.array_distinct(F.filter(F.transform(c, lambda t: F.trim(t)), lambda t: t != "")).alias(c)
     approved = cases.where("state = 'approved'").orderBy("created_at", "case_id").limit(limit)
     return approved.select("case_id", "created_at", clean("titles"), clean("keywords"))
 

@@ -12,10 +12,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """Integers as long, as DuckDB counts and ranks."""
+    return df.withColumns({c: df[c].cast("long") for c, kind in df.dtypes if kind == "int"})
+
+
 def query(sql: str | None = None, name: str | None = None):
     def register(f: Callable[[Catalog], DataFrame]):
         key = name or f.__name__
-        QUERIES[key] = lambda spark, folder: f(Catalog(spark, folder))
+        QUERIES[key] = lambda spark, folder: _wide(f(Catalog(spark, folder)))
         if sql:
             ORACLE_SQL[key] = sql
         return f
@@ -28,7 +33,7 @@ def sql_query(name: str, spark_sql: str, tables: str, duckdb_sql: str | None = N
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         c = Catalog(spark, folder)
-        return spark.sql(spark_sql, **{t: c.table(t) for t in tables.split()})
+        return _wide(spark.sql(spark_sql, **{t: c.table(t) for t in tables.split()}))
 
     QUERIES[name] = run
     plain = spark_sql
