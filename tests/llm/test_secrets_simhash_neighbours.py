@@ -1,0 +1,227 @@
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidepool.llm import components, neighbours, secrets, simhash
+
+BASE = (
+    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 0, 16),
+    ("hex", "[0-9a-f]+", 0, 0, 32),
+)
+
+
+def base_spans(text):
+    found = [(m.start(), k, m.end(), name) for k, (name, rx, flags, group, least) in enumerate(BASE)
+             for m in re.finditer(rx, text or "", flags) if len(m[group]) >= least]
+    return [f"{n}:{a}:{b}" for a, _, b, n in sorted(found)]
+
+
+TEXTS = [
+    'token = "abcdefgh1" AKIAABCDEFGHIJKL12 aaé😀 ' + "0af9" * 9, None, "", "x" * 50000 + ' PassWord: "aB3+/=_.-9x" ghp_' + "a" * 40,
+    "api_key='12345678' apikey=1 API_KEY:abcdefghij secret=token=12345678", "AKIAAKIA AKIA123 AKIA1234567890AB" + "f" * 31 + "g" + "f" * 32,
+    "-----BEGIN RSA PRIVATE KEY----- sk-" + "b" * 25, "tokentoken=abc token  ==abcdefghi", "secret:" + "a" * 40, "paſsword=abcdefghij",
+]
+
+
+def test_secrets(spark, table):
+    rng = random.Random(3)
+    parts = ["token", "=", ":", " ", '"', "secret", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "deadbeef", "api_key", "passwd", "é", "😀", "xy-9", "sk-", "_"]
+    texts = TEXTS + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(300)]
+    folder = table(documents=([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string"))
+    rows = secrets.op6_trigram_secrets(spark, folder).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        want = base_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[r["doc_id"]]
+        assert [s for s in r["spans"].split(",") if s.split(":")[0] in ("assign", "access", "hex")] == want
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+
+
+@pytest.mark.parametrize("regex, query", [
+    ("abcd", {frozenset({"abc", "bcd"})}), ("(?i)ABC", {frozenset({"abc"})}), ("ab(c|de)f", {frozenset({"abc", "bcf"}), frozenset({"abd", "bde", "def"})}),
+    ("abc?", None), ("[0-9]+", None), ("abc.*xyz", {frozenset({"abc", "xyz"})}), ("(abc)+", {frozenset({"abc"})}), ("x[ab]y", {frozenset({"xay"}), frozenset({"xby"})}),
+])
+def test_trigram_queries(regex, query):
+    assert secrets.trigram_query(regex) == query
+
+
+def test_trigram_queries_miss_nothing():
+    rng = random.Random(1)
+    for rule in secrets.BASE_RULES + secrets.MORE_RULES:
+        query = secrets.trigram_query(rule.regex)
+        for text in TEXTS + ["".join(rng.choice(["token", "=", "secret", "AKIA", "ABCDEF123456"]) for _ in range(9)) for _ in range(200)]:
+            if text and query and re.search(rule.regex, text, re.A):  # Java folds ASCII only
+                assert any(all(g in text.lower() for g in clause) for clause in query)
+
+
+def test_redaction(spark):
+    texts = ["a token = abcdefgh12 b", "hex " + "0af9" * 9 + " token=" + "0af9" * 9, "none", None, "AKIAABCDEFGHIJKL12"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    out = [r["text"] for r in secrets.redact(secrets.scan_secrets(df)).orderBy("doc_id").collect()]
+    assert out == ["a [SECRET] b", "hex [SECRET] [SECRET]", "none", None, "[SECRET]"]
+
+
+def test_secrets_of_odd_rows(odd, odd_docs, empty):
+    out = secrets.scan_secrets(odd)
+    assert out.count() == len(odd_docs) and not any(c.startswith("_") for c in out.columns)
+    assert secrets.scan_secrets(empty).count() == 0
+
+
+def plain_fingerprint(text):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "One", "one two\x0bthree", "a b c d e f g A B C D", "É x  y z w v", "x\x1cy z"])
+def test_fingerprints(text):
+    assert simhash.fingerprint(text) % 2**64 == plain_fingerprint(text)
+
+
+def brute_components(fps, distance=4):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    fps = sorted(fps)
+    for i, a in enumerate(fps):
+        for b in fps[i + 1 :]:
+            if (a ^ b).bit_count() <= distance:
+                root[find(a)] = find(b)
+    return {f: find(f) for f in fps}
+
+
+def partition(found):
+    groups = {}
+    for k, c in found.items():
+        groups.setdefault(c, set()).add(k)
+    return set(map(frozenset, groups.values()))
+
+
+@pytest.mark.parametrize("most", [50_000, 20])
+def test_links_connect_as_all_pairs_do(spark, most):
+    """Random fingerprints, pairs at 3 to 6 bits, chains and a dense ball; with most = 20 crowded keys are extended."""
+    rng = random.Random(6)
+    fps = {rng.getrandbits(64) for _ in range(200)}
+    for _ in range(100):
+        a = rng.choice(sorted(fps))
+        fps.add(a ^ sum(1 << b for b in rng.sample(range(64), rng.choice((1, 3, 4, 5, 6)))))
+    centre = rng.getrandbits(64)
+    fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for _ in range(150)}
+    chain = rng.getrandbits(64)
+    for _ in range(30):
+        chain ^= sum(1 << b for b in rng.sample(range(64), 4))
+        fps.add(chain)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    links = simhash.near_links(df, most=most).collect()
+    assert all(((r["a"] ^ r["b"]) % 2**64).bit_count() >= 0 for r in links)
+    found = {f: f for f in fps}
+    members = components.least_member(spark.createDataFrame([(r["a"], r["b"]) for r in links], "a long, b long"))
+    found |= {r["node"] % 2**64: r["component"] % 2**64 for r in members.collect()}
+    assert partition(found) == partition(brute_components(fps))
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (2000, 2001), (2001, 2000)]
+    rng.shuffle(edges)
+    got = {r["node"]: r["component"] for r in components.least_member(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)} | {2000: 2000, 2001: 2000}
+    assert components.least_member(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates(spark, table, words):
+    rows = [(i, words(60, i)) for i in range(40)]
+    base = words(300, 99).split()
+    for i in range(20):
+        w = list(base)
+        w[i * 7] = "changed"
+        rows.append((100 + i, " ".join(w)))
+    rows += [(7, None), (8, ""), (9, "\n"), (500, rows[3][1]), (500, rows[3][1]), (None, rows[4][1]), (600, words(25000, 4))]
+    folder = table(documents=(rows, "doc_id long, text string"))
+    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.op10_ball_simhash(spark, folder).collect())
+    fp = [plain_fingerprint(t) for _, t in rows]
+    comp = brute_components(set(fp))
+    least = {}
+    for (i, _), f in zip(rows, fp):
+        if i is not None:
+            least[comp[f]] = min(i, least.get(comp[f], i))
+    assert got == Counter((i, f"{f:016x}", least[comp[f]]) for (i, _), f in zip(rows, fp))
+
+
+def test_near_duplicates_of_odd_rows(odd, odd_docs, empty):
+    out = simhash.near_duplicates(odd)
+    assert out.count() == len(odd_docs) and {"fp", "component_id", "kept"} <= set(out.columns)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def vectors(n, dims=16, seed=0, clusters=20):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dims))
+    return [(i, [float(np.float32(x)) for x in centres[rng.integers(clusters)] + 0.6 * rng.normal(size=dims)]) for i in range(n)]
+
+
+def brute_nearest(rows, query, k=5):
+    q = dict(rows)[query]
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    scored = [(-sum(a * b for a, b in zip(q, v)) / (norm(q) * norm(v)), i) for i, v in rows if i != query]
+    return [(i, -s) for s, i in sorted(scored)[:k]]
+
+
+def test_recall_and_exact_scores(spark):
+    rows = vectors(3000)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = neighbours.nearest(df, df.where("vec_id % 50 = 0"), settings=neighbours.Settings(sample_rows=2000, block_rows=100, leaf_rows=32)).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert len(got) == 60
+    hits = 0
+    for q, found in got.items():
+        want = brute_nearest(rows, q)
+        assert [r for r, _, _ in sorted(found)] == [1, 2, 3, 4, 5]
+        hits += len({i for i, _ in want} & {v for _, v, _ in found})
+        exact = dict(brute_nearest(rows, q, 3000))
+        assert all(abs(exact[v] - s) < 1e-12 for _, v, s in found)
+    assert hits / 300 >= 0.95
+
+
+def test_odd_vectors(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(300)] + [(1000, [0.0, 1.0]), (1001, None), (1002, [0.0, 0.0]), (1003, [float("nan"), 1.0]), (1004, [None, 1.0]),
+                                                   (1005, [float("inf"), 1.0]), (1006, [1.0]), (1007, []), (None, [1.0, 0.0]), (1000, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = neighbours.nearest(df, df, settings=neighbours.Settings(leaf_rows=8, block_rows=50)).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == {*range(300), 1000}
+    assert [v for v, _ in got[7]] == [0, 1, 2, 3, 4] and [v for v, _ in got[2]] == [0, 1, 3, 4, 5]
+    assert [v for v, _ in got[1000]] == [0, 1, 2, 3, 4] and got[1000][0][1] == 0.0
+    assert neighbours.nearest(df.limit(0), df).count() == 0 and neighbours.nearest(df, df.limit(0)).count() == 0
+
+
+def test_few_candidates(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [-1.0, 0.0])], "vec_id long, embedding array<float>")
+    out = neighbours.nearest(df, df.where("vec_id = 1")).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in out] == [(1, 2), (2, 3)] and out[1]["score"] == -1.0
+
+
+def test_registered_query(spark, table):
+    folder = table(embeddings=(vectors(400), "vec_id long, embedding array<float>"))
+    out = neighbours.op9_kmeans_tree(spark, folder)
+    assert out.count() == 8 * 5 and out.select(F.max("rank")).first()[0] == 5
