@@ -196,3 +196,36 @@ def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(base).alias("base_labels"), listed(F.concat(base, matched)).alias("labels"),
         F.when(F.size("license_matches") > 0, 1.0).when(F.size("license_base") > 0, 0.5).otherwise(0.0).alias("score"),
     )
+
+
+def as_regex(template: str) -> str:
+    """The same template as a regular expression over words that each follow one space."""
+    out = []
+    for optional, replaceable, word in _PART.findall(template):
+        if optional:
+            out.append(f"({as_regex(optional)})?")
+        elif replaceable.isdigit():
+            out.append(f"( [^ ]+){{0,{replaceable}}}")
+        elif replaceable:
+            out.append("(" + "|".join(as_regex(c) for c in replaceable.split("|")) + ")")
+        else:
+            out.append(f" {word}")
+    return "".join(out)
+
+
+def _sql() -> str:
+    places = " || ".join(
+        f"list_transform(list_filter(range(1, len(w) + 1), lambda i: "
+        + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + f"), lambda i: {{'at': i - 1, 'label': '{label}'}})"
+        for p, label in PHRASES.items())
+    found = ", ".join(f"CASE WHEN regexp_matches(j, '{as_regex(t)}( |$)') THEN '{label}' END" for label, t in TEMPLATES)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    listed = "array_to_string(list_sort(list_distinct({})), ',')"
+    return rf"""WITH a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  b AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') AS j, {places} AS p FROM a),
+  c AS (SELECT doc_id, w, p, list_transform(p, lambda x: x.label) AS base, list_filter([{found}], lambda x: x IS NOT NULL) AS m FROM b)
+  SELECT doc_id, len(w) AS n_words, len(p) AS n_base, list_min(list_transform(p, lambda x: x.at)) AS first_word, list_max(list_transform(p, lambda x: x.at)) AS last_word,
+    {listed.format('base')} AS base_labels, {listed.format('base || m')} AS labels, CASE WHEN len(m) > 0 THEN 1.0 WHEN len(p) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM c"""
+
+
+SQL = _sql()

@@ -15,4 +15,4 @@ QUERIES = {
     "op10_ball_simhash": simhash.op10_ball_simhash,
 }
 
-ORACLE_SQL = {"op4_digest_index": exact_dedup.SQL}
+ORACLE_SQL = {"op4_digest_index": exact_dedup.SQL, "op6_trigram_secrets": secrets.SQL, "op7_license_templates": licenses.SQL}

@@ -218,3 +218,25 @@ def redact(docs: DataFrame, text: str = "text", spans: str = "secrets", mark: st
     rest = lambda acc: F.concat(acc["out"], F.substring(content, acc["at"] + 1, F.char_length(content)))
     redacted = F.aggregate(spans, start, step, rest)
     return docs.withColumn(text, F.when(F.size(spans) > 0, redacted).otherwise(content))
+
+
+def _sql() -> str:
+    """The same for DuckDB: gaps and matches of each rule in turn, matches placed by the lengths before them."""
+    rules = BASE_RULES + MORE_RULES
+    parts, spans = [], []
+    for i, r in enumerate(rules):
+        rx = r.regex.replace("'", "''")
+        parts.append(f"regexp_extract_all(t, '{rx}') AS m{i}, regexp_extract_all(t, '{rx}', {r.measured}) AS g{i}, string_split_regex(t, '{rx}') AS s{i}")
+        start = f"(list_sum(list_transform(s{i}[:j], lambda y: length(y))) + coalesce(list_sum(list_transform(m{i}[:j-1], lambda y: length(y))), 0))::BIGINT"
+        spans.append(
+            f"list_transform(list_filter(range(1, len(m{i}) + 1), lambda j: length(g{i}[j]) >= {r.least}), "
+            f"lambda j: {{'at': {start}, 'kind': {i}, 'until': {start} + length(m{i}[j]), 'name': '{r.name}'}})")
+    text = "array_to_string(list_transform({}, lambda x: concat(x.name, ':', x.at, ':', x.until)), ',')"
+    base = f"list_filter(s, lambda x: x.kind < {len(BASE_RULES)})"
+    counts = ", ".join(f"len(list_filter(s, lambda x: x.name = '{r.name}')) AS n_{r.name}" for r in BASE_RULES)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, {', '.join(parts)} FROM d),
+  q AS (SELECT doc_id, list_sort({' || '.join(spans)}) AS s FROM p)
+  SELECT doc_id, {counts}, sha256({text.format(base)}) AS base_sha256, {text.format('s')} AS spans FROM q"""
+
+
+SQL = _sql()
