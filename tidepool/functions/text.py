@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 #: Token and signal patterns, secrets, generic words.
 TOKEN = "[一-鿿]|[a-zA-Z0-9_]{2,}"
@@ -160,3 +160,40 @@ def hash_embedding(dims: int = 384):
         return text.map(lambda t: embedding(t, dims))
 
     return embed
+
+
+def compacted(value: str | None, most: int) -> str:
+    """Normalised, without Markdown images, squeezed, cut."""
+    bare = re.sub(r"!\[[^\]]*\]\([^)]*\)", "", normalized_text(value))
+    return re.sub(r"\s+", " ", bare).strip()[:most]
+
+
+def label(value: str | None, most: int) -> str:
+    return re.sub("[#`|*_]+", "", compacted(value, most)).strip(" -:：。")[:most]
+
+
+def themes(context: str | None, most: int = 6) -> list[dict]:
+    """A draft of themes from blocks of text: the first line names one, its first three sentences are the points."""
+    out = []
+    for block in (context or "").split("\n\n")[:most]:
+        lines = [line for line in map(str.strip, block.splitlines()) if line]
+        if not lines:
+            continue
+        sentences = re.split(r"(?<=[。！？.!?])\s*", " ".join(lines[1:]))[:3]
+        points = [p for p in (label(s, 80) for s in sentences) if p]
+        if (title := label(lines[0].strip("[]"), 48)) and points:
+            out.append({"title": title, "points": points})
+    return out or [{"title": "尚待整理", "points": ["当前知识库中没有足够的可用资料。"]}]
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("title", StringType()), StructField("points", ArrayType(StringType()))])))
+def draft_themes(context: pd.Series) -> pd.Series:
+    return context.map(themes)
+
+
+def compact(most: int):
+    @F.pandas_udf(StringType())
+    def cut(value: pd.Series) -> pd.Series:
+        return value.map(lambda v: compacted(v, most))
+
+    return cut

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import has_low_information
+from tidepool.operators.routing import canonical_json
 
 
 def case_metrics(cases: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
@@ -99,3 +100,31 @@ def drifted_titles(cases: DataFrame, documents: DataFrame) -> DataFrame:
     """Expected titles that no document has."""
     wanted = cases.select("case_id", F.explode("titles").alias("title"))
     return wanted.join(documents.select("title").distinct(), "title", "left_anti").select("case_id", "title")
+
+
+#: Settings that may differ between two evaluations that are to be compared, and those that make them incomparable.
+IDENTITY = ("schema_version", "cases_sha256", "kb_id", "index_state", "graph_state", "embedding_model")
+
+
+def manifest(cases: DataFrame, facts: dict[str, str]) -> DataFrame:
+    """One row: a digest over all cases (in the order of their ids) and the given facts."""
+    one = cases.select("case_id", F.sha2(canonical_json(F.to_json(F.struct(*cases.columns))), 256).alias("_d"))
+    # a digest per case first, so that what is gathered is 64 characters a case
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("case_id", "_d"))), lambda x: x["_d"]), ","), 256)
+    return one.agg(digest.alias("cases_sha256"), F.count("*").alias("case_count")).withColumns({k: F.lit(v) for k, v in facts.items()})
+
+
+#: What each named experiment switches on.
+STRATEGIES = {"baseline": (False, False), "rewrite": (True, False), "rerank": (False, True), "current": (True, True)}
+
+
+def with_strategies(cases: DataFrame, names: tuple[str, ...] = tuple(STRATEGIES)) -> DataFrame:
+    """Each case once for each strategy, with the switches query_rewrite and reranker."""
+    rows = [F.struct(F.lit(n).alias("strategy"), F.lit(STRATEGIES[n][0]).alias("query_rewrite"), F.lit(STRATEGIES[n][1]).alias("reranker")) for n in names]
+    return cases.select("*", F.inline(F.array(*rows)))
+
+
+def community_algorithms(communities: DataFrame) -> DataFrame:
+    """One row: algorithm -> communities, keys in order."""
+    n = communities.groupBy("algorithm").count()
+    return n.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("algorithm", "count")))).alias("algorithms"))

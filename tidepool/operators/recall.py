@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tidepool.functions.text import occurrences, tokens
@@ -150,3 +152,35 @@ def mention_counts(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     text = F.lower("content")
     met = chunks.withColumn("_text", text).join(small(entities), F.col("_text").contains(F.col("normalized_name")))
     return met.select("entity_id", "locator", occurrences(F.col("_text"), F.col("normalized_name")).alias("mention_count"))
+
+
+def _cover_density(places) -> float:
+    """Sum over minimal covers of all terms: a tenth, divided by one more than the words between the terms."""
+    last: dict[str, int] = {}
+    total, begin, needed = 0.0, None, len({p["term"] for p in places})
+    for i, p in enumerate(places):
+        last[p["term"]] = i
+        if len(last) == needed and (first := min(last.values())) != begin:
+            begin = first
+            entries = i - first
+            total += 0.1 / (1 + max(p["pos"] - places[first]["pos"] - entries, 0))
+    return total
+
+
+def full_text_recall(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """Chunks that hold every word of the question, by cover density s mapped to s / (1 + s).
+
+    An optional lexical mode beside keyword recall. Words are runs of letters and digits, lower-cased.
+    """
+    @F.pandas_udf(DoubleType())
+    def density(places: pd.Series) -> pd.Series:
+        return places.map(_cover_density)
+
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    asked = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("_w")).where(F.size("_w") > 0)
+    asked = asked.select("query_id", F.size("_w").alias("_n"), F.explode("_w").alias("term"))
+    placed = chunks.select("locator", F.posexplode(words(F.col("content"))).alias("pos", "term"))
+    met = placed.join(asked, "term").groupBy("query_id", "locator", "_n").agg(
+        F.count_distinct("term").alias("_found"), F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("_p"))
+    scored = met.where("_found = _n").withColumn("_s", density("_p"))
+    return top_k(scored.select("query_id", "locator", (F.col("_s") / (1 + F.col("_s"))).alias("score")), limit)

@@ -70,3 +70,73 @@ def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 def sequence(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return ranked(df, by, order, "sequence")
+
+
+# --- proposals, governance edits, members -------------------------------------------------------------------
+
+
+def decide_proposals(proposals: DataFrame, as_of: Column) -> DataFrame:
+    """Adds error to decisions that are refused and moves the others on.
+
+    proposals: state, decision (approved or rejected), expires_at, role, required_role, expected_version, version.
+    """
+    rank = lambda c: F.array_position(F.array(*map(F.lit, ("viewer", "editor", "approver", "owner"))), F.col(c))
+    error = (F.when(F.col("state") != "pending", "NOT_PENDING").when(F.col("expires_at") <= as_of, "EXPIRED")
+             .when(rank("role") < rank("required_role"), "ROLE_REQUIRED").when(F.col("expected_version") != F.col("version"), "VERSION_CONFLICT"))
+    state = F.when(error.isNull(), F.col("decision")).when(error == "EXPIRED", "expired").otherwise(F.col("state"))
+    return proposals.withColumn("error", error).withColumn("state", state)
+
+
+def edit_governance(documents: DataFrame, edits: DataFrame) -> DataFrame:
+    """Checks edits and raises the version of those that hold.
+
+    edits: document_id, expected_version, effective_at, expires_at, supersedes_document_id. A predecessor has to be
+    another document of the same knowledge base that isn't archived.
+    """
+    own = documents.select("document_id", F.col("kb_id").alias("_kb"), F.col("status").alias("_status"), "governance_version")
+    other = documents.where("status <> 'archived'").select(F.col("document_id").alias("supersedes_document_id"), F.col("kb_id").alias("_other"))
+    met = edits.join(own, "document_id", "left").join(other, "supersedes_document_id", "left")
+    error = (F.when(F.col("_status").isNull() | (F.col("_status") == "archived"), "NOT_FOUND")
+             .when(F.col("governance_version") != F.col("expected_version"), "VERSION_CONFLICT")
+             .when(F.col("effective_at") >= F.col("expires_at"), "DATES")
+             .when(F.col("supersedes_document_id") == F.col("document_id"), "SUPERSEDES_ITSELF")
+             .when(F.col("supersedes_document_id").isNotNull() & ~F.col("_other").eqNullSafe(F.col("_kb")), "PREDECESSOR"))
+    version = F.col("governance_version") + F.when(error.isNull(), 1).otherwise(0)
+    return met.withColumn("error", error).withColumn("governance_version", version).drop("_kb", "_status", "_other")
+
+
+def change_members(members: DataFrame, changes: DataFrame) -> DataFrame:
+    """Applies role and state changes (null: as it is); a workspace keeps an active owner, or all its changes are refused."""
+    met = members.join(changes.select("workspace_id", "user_id", F.col("role").alias("_role"), F.col("state").alias("_state")), ["workspace_id", "user_id"], "left")
+    role, state = F.coalesce("_role", "role"), F.coalesce("_state", "state")
+    owners = F.sum(((role == "owner") & (state == "active")).cast("int")).over(Window.partitionBy("workspace_id"))
+    met = met.withColumn("_owners", owners)
+    kept = F.col("_owners") > 0
+    out = met.select("workspace_id", "user_id", F.when(kept, role).otherwise(F.col("role")).alias("role"), F.when(kept, state).otherwise(F.col("state")).alias("state"),
+                     F.when(~kept & (F.col("_role").isNotNull() | F.col("_state").isNotNull()), "LAST_OWNER").alias("error"))
+    return out
+
+
+def decide_tags(assignments: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Pending assignments become approved or rejected; the others stay."""
+    met = assignments.join(decisions.select("assignment_id", "decision"), "assignment_id", "left")
+    return met.withColumn("state", F.when((F.col("state") == "pending") & F.col("decision").isin("approved", "rejected"), F.col("decision")).otherwise(F.col("state"))).drop("decision")
+
+
+# --- mind maps ----------------------------------------------------------------------------------------------
+
+POINT_SPACING, THEME_GAP = 70, 46
+
+
+def mind_map_layout(themes: DataFrame) -> DataFrame:
+    """Heights of the nodes of each map, centred: (map_id, theme, point, y), point null for the theme itself.
+
+    themes: map_id, theme (from 0), points (array). A running sum over the themes of a map gives where each begins.
+    """
+    height = F.size("points") * POINT_SPACING + THEME_GAP
+    before = F.sum(height).over(Window.partitionBy("map_id").orderBy("theme")) - height
+    total = F.sum(height).over(Window.partitionBy("map_id"))
+    at = themes.withColumn("_y", before - total / 2)
+    heads = at.select("map_id", "theme", F.lit(None).cast("int").alias("point"), (F.col("_y") + (F.size("points") - 1) * POINT_SPACING / 2).alias("y"))
+    points = at.select("map_id", "theme", F.posexplode("points").alias("point", "_t"), "_y")
+    return heads.unionByName(points.select("map_id", "theme", "point", (F.col("_y") + F.col("point") * POINT_SPACING).alias("y")))

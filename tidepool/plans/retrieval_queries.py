@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidepool.operators import governance, recall, selection
 from tidepool.operators.ranking import coverage_first, ranked, reciprocal_rank_fusion, round_robin
 from tidepool.plans.base import CHUNKS, INDEX, TOKENS, keyword_list, query
+from tidepool.plans.search import Corpus, search
 from tidepool.plans.text_queries import _TAGS, tags
 
 _WITH = f"WITH {CHUNKS}, {INDEX}"
@@ -201,3 +202,31 @@ def coverage(c):
     d = c.table("documents").select(F.col("lang").alias("query_id"), F.col("source").alias("document_id"), "doc_id", "n_chars")
     out = coverage_first(ranked(d, ["query_id"], [F.desc("n_chars"), F.col("doc_id")]))
     return out.select("query_id", F.col("document_id").alias("source"), "doc_id", "position")
+
+
+def _corpus(c):
+    return Corpus(c.chunks(), governed=c.governed())
+
+
+@query()
+def search_evidence(c):
+    """The whole path for the benchmark questions."""
+    evidence, _ = search(c.questions(), _corpus(c), as_of=F.lit("2026-07-01").cast("timestamp_ntz"))
+    return evidence.select("query_id", "locator", "rank", F.round("score", 9).alias("score"), "stop_reason", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query()
+def search_decisions(c):
+    """The whole path for what users said in conversations."""
+    said = c.table("conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    _, decisions = search(said, _corpus(c), as_of=F.lit("2026-07-01").cast("timestamp_ntz"))
+    return decisions
+
+
+@query(rf"""WITH {CHUNKS}, q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(left(text, 24)), '[\p{{L}}\p{{N}}_]+')) AS w FROM benchmark),
+  t AS (SELECT query_id, len(w) AS n, unnest(w) AS term FROM q), d AS (SELECT locator, unnest(list_distinct(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+'))) AS term FROM chunks)
+  SELECT query_id, count(*) AS matches FROM (SELECT query_id, locator FROM t JOIN d USING (term) GROUP BY query_id, locator, n HAVING count(*) = n) GROUP BY query_id""")
+def full_text_match(c):
+    """How many chunks hold every word of a question's first 24 characters."""
+    asked = c.table("benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 24).alias("query"))
+    return recall.full_text_recall(asked, c.chunks(), 1_000_000).groupBy("query_id").agg(F.count("*").alias("matches"))

@@ -198,3 +198,38 @@ def revised(previous: DataFrame, current: DataFrame, identity: list[str], key: s
     out = current.withColumn("_new", sig).join(old, key, "left")
     differs = F.col("_old").isNotNull() & (F.col("_old") != F.col("_new"))
     return out.withColumn("revision", F.coalesce("_r", F.lit(0)) + differs.cast("int")).withColumn("stale", differs).drop("_r", "_old", "_new")
+
+
+# --- event sinks --------------------------------------------------------------------------------------------
+
+#: Kinds of events that a run emits, in order.
+EVENTS = ("started", "trace", "citation", "delta", "completed", "error")
+
+
+def answer_events(answers: DataFrame, piece: int = 80) -> DataFrame:
+    """The typed events of each answer, numbered: started, a citation each, the text in pieces, completed or error.
+
+    answers: run_id, text, citations (array), failed.
+    """
+    n = F.ceil(F.length("text") / piece).cast("int")
+    deltas = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(F.col("text"), i * piece + 1, F.lit(piece)))
+    event = lambda kind, body: F.struct(F.lit(kind).alias("event"), body.cast("string").alias("data"))
+    every = F.concat(
+        F.array(event("started", F.col("run_id"))), F.transform("citations", lambda x: event("citation", x)), F.transform(deltas, lambda d: event("delta", d)),
+        F.array(F.when(F.col("failed"), event("error", F.lit("GENERATION_FAILED"))).otherwise(event("completed", F.col("run_id")))))
+    return answers.select("run_id", F.posexplode(every).alias("sequence", "_e")).select("run_id", "sequence", "_e.event", "_e.data")
+
+
+def append_to(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends immutable rows; a batch that is run again replaces what it wrote."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return apply
+
+
+def resumable(checkpoints: DataFrame) -> DataFrame:
+    """The latest checkpoint of each run whose checksum is that of its state."""
+    good = checkpoints.where(F.col("checksum") == F.sha2("state_json", 256))
+    return good.groupBy("run_id").agg(F.max_by(F.struct("sequence", "node", "state_json"), "sequence").alias("_c")).select("run_id", "_c.*")
