@@ -36,11 +36,18 @@ def test_shards_of_odd_rows(odd, odd_docs):
 def test_a_hot_text_is_split_by_id(spark):
     docs = [(i, "hot text") for i in range(3000)] + [(i, f"text {i}") for i in range(3000, 4000)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = sharding.shard_documents(df, shards=8, spread=16).collect()
+    rows = sharding.shard_documents(df, shards=8).collect()
     check_shards(rows, docs, 8)
     assert len({r["shard"] for r in rows if r["text"] == "hot text"}) >= 5
 
 
+def test_crowded_cells_are_probed_again(spark):
+    keys = spark.range(5000).selectExpr("xxhash64(id % 7) AS _h", "id AS _d", "1L AS _size")
+    rounds, cells = sharding.plan_splitters(keys, 4, 0.01, 64, 12, 16)
+    assert len(rounds) >= 2 and max(c["rows"] for c in cells.values()) <= 5000 / 64
+    assert sum(c["rows"] for c in cells.values()) == 5000
+
+
 def test_extreme_ids(spark):
     docs = [(i, "same") for i in (-(2**63), 2**63 - 1, 0, None, -5, 5)]
     rows = sharding.shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), shards=3, tolerance=0.0).collect()

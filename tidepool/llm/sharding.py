@@ -4,8 +4,8 @@ The sort key is (xxhash64(text), doc_id), so equal texts lie together. A histogr
 key ranges ("cells") gives exact rows and bytes below every cell boundary. Cells that a shard boundary
 cuts by more than the tolerance, and cells too large to be ranked by one task, are probed again inside
 the range of keys they really hold: by hash first and, where one text fills the cell, by doc_id. What
-the driver holds is bounded by parameters, never by the rows: 2**first_bits cells and, in a round,
-(shards + 2 * spread) * fan cells more.
+the driver holds is bounded by parameters, never by the rows: at most 2**16 cells to begin with and, in a
+round, (shards + 2 * spread) * fan cells more.
 
 Only DataFrame functions are used: no UDF, no RDD.
 """
@@ -81,12 +81,13 @@ def plan_splitters(keys: DataFrame, shards: int, tolerance: float, spread: int,
 
 def shard_documents(
     docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "doc_id",
-    tolerance: float = 0.005, spread: int = 256, first_bits: int = 12, fan: int = 64,
+    tolerance: float = 0.005, cell_bytes: int = 128 << 20, fan: int = 64,
 ) -> DataFrame:
     """All rows of docs with size (UTF-8 bytes + 1), shard (0..shards-1) and slot (gapless from 0 in a shard).
 
     Shards take contiguous key ranges of nearly equal size: each differs from total/shards by at most the
-    tolerance or one document, whichever is more. Null texts count as empty, null ids sort first; repeated
+    tolerance or one document, whichever is more. A task ranks a cell of about cell_bytes, as long as 2**16 cells
+    suffice, and larger ones beyond. Null texts count as empty, null ids sort first; repeated
     rows (same text and id) stay in one shard in any order; no rows in, no rows out. Columns of docs named
     size, shard or slot are replaced.
     """
@@ -98,8 +99,9 @@ def shard_documents(
         "_size": (F.octet_length(content) + 1).cast("long"),
     }
     keys = written(docs.select(*[c.alias(k) for k, c in keyed.items()]), "shard-keys")
-    rounds, cells = plan_splitters(keys, shards, tolerance, spread, first_bits, fan)
-    total = sum(c["bytes"] for c in cells.values())
+    total = keys.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    first_bits = min(16, max(12, (total // cell_bytes).bit_length()))
+    rounds, cells = plan_splitters(keys, shards, tolerance, 2**first_bits // 16, first_bits, fan)
     places, before, filled = [], 0, [0] * shards
     for path in sorted(cells):
         c = cells[path]
