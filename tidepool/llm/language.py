@@ -11,6 +11,7 @@ trigram once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -45,18 +46,21 @@ def bind(codes: np.ndarray, dims: int, seed: int) -> np.ndarray:
     return out
 
 
-def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, packed trigram) of every trigram whose middle is a letter; other characters are boundaries."""
+def trigrams(texts: list[str | None], block: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text index, packed trigram) of every letter with its neighbours, so many characters at a time.
+
+    Characters that are no letters, and the ends of a text, are boundaries.
+    """
     lowered = [(t or "").lower() for t in texts]
-    points = np.frombuffer(" ".join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(_letters()[points], points, 0).astype(np.int64)
-    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
-    owner = np.append(np.repeat(np.arange(len(lowered)), sizes), len(lowered))
-    kept = np.append(True, (points[1:] != 0) | (points[:-1] != 0))
-    points, owner = points[kept], np.append(0, owner)[: len(kept)][kept]
-    middle = np.flatnonzero(points[1:-1]) + 1
-    code = points[middle - 1] << 2 * _PLACE | points[middle] << _PLACE | points[middle + 1]
-    return owner[middle], code
+    ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1)
+    joined = " ".join(["", *lowered, ""])
+    for at in range(1, len(joined) - 1, block):
+        part = joined[at - 1 : at + block + 1]
+        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.where(_letters()[points], points, 0).astype(np.int64)
+        middle = np.flatnonzero(points[1:-1]) + 1
+        code = points[middle - 1] << 2 * _PLACE | points[middle] << _PLACE | points[middle + 1]
+        yield np.searchsorted(ends, middle + (at - 2), side="right"), code
 
 
 def grouped(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,8 +92,11 @@ def _short(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a << 2 * _PLACE | b << _PLACE | c, seen[local]
 
 
-def bundle(owner: np.ndarray, short: np.ndarray, n: np.ndarray, used: np.ndarray, rows: int, dims: int, seed: int) -> np.ndarray:
-    """Sums of bound trigrams for each owner, in blocks of trigrams so that memory stays bounded."""
+def bundle(owner: np.ndarray, code: np.ndarray, dims: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The owners in order, and for each the sum of its bound trigrams; memory is bounded by blocks of trigrams."""
+    used, who, short, n = grouped(owner, code)
+    owners, owner = np.unique(who, return_inverse=True)
+    rows = len(owners)
     out = np.zeros((rows, dims), np.float32)
     order = np.argsort(short, kind="stable")
     owner, short, n = owner[order], short[order], n[order]
@@ -98,7 +105,7 @@ def bundle(owner: np.ndarray, short: np.ndarray, n: np.ndarray, used: np.ndarray
         counts = np.zeros((rows, min(8192, len(used) - at)), np.float32)
         counts[owner[a:b], short[a:b] - at] = n[a:b]
         out += counts @ bind(used[at : at + 8192], dims, seed).astype(np.float32)
-    return out
+    return owners, out
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -123,12 +130,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = 1
                 part = batch.slice(at, 1000)
                 langs = np.array(part.column("lang").to_pylist(), object)
                 names, label = np.unique(langs.astype(str), return_inverse=True)
-                owner, code = trigrams(part.column("text").to_pylist())
-                used, who, short, n = grouped(label[owner], code)
-                for k, c, m in zip(names[who].tolist(), used[short].tolist(), n.tolist()):
-                    seen[k, c] = seen.get((k, c), 0) + m
-                if len(seen) > 500_000:
-                    yield flush()
+                for owner, code in trigrams(part.column("text").to_pylist()):
+                    used, who, short, n = grouped(label[owner], code)
+                    for k, c, m in zip(names[who].tolist(), used[short].tolist(), n.tolist()):
+                        seen[k, c] = seen.get((k, c), 0) + m
+                    if len(seen) > 300_000:
+                        yield flush()
         yield flush()
 
     def spell(batches):
@@ -173,13 +180,15 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, text: str
             texts = batch.column(text).to_pylist()
             if not langs:
                 return None, [[UNKNOWN] * len(texts), [0.0] * len(texts)]
-            owner, code = trigrams(texts)
-            used, who, short, n = grouped(owner, code)
-            vectors = bundle(who, short, n, used, len(texts), dims, seed)
+            vectors = np.zeros((len(texts), dims), np.float32)
+            lettered = np.zeros(len(texts), bool)
+            for owner, code in trigrams(texts):
+                owners, sums = bundle(owner, code, dims, seed)
+                vectors[owners] += sums
+                lettered[owners] = True
             norm = np.linalg.norm(vectors, axis=1, keepdims=True)
             cosine = (vectors @ unit.T) / np.maximum(norm, 1e-12)
             best = cosine.argmax(1)
-            lettered = np.bincount(owner, minlength=len(texts)) > 0
             top = np.clip(cosine[np.arange(len(texts)), best], 0, 1)
             return None, [
                 [langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist())],
