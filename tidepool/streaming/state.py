@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Upper bounds of the latency histogram in seconds, and what makes a run a bad case.
@@ -107,24 +107,31 @@ def reclaim(jobs: DataFrame, as_of: Column, lease_seconds: int = 300, most_attem
 
 
 def idempotency(requests: DataFrame, by: list[str], ttl_hours: int = 24, ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """Adds outcome: the first request with a key is new; later ones within its life are replay or conflict.
+    """(by, order, outcome): the first request with a key is new; later ones within its life are replay or conflict.
 
-    The state is folded in order of time: a key lives for ttl_hours from the request that opened it.
+    A key lives for ttl_hours from the request that opened it, so its requests are folded in order of time. The fold
+    walks sorted partitions and holds one key's opening request, however many requests the key has.
     """
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    item = F.struct(at.alias("at"), F.col(order).alias("id"), F.col("request_hash").alias("hash"))
     life = ttl_hours * 3600 * 1_000_000
-    out_type = f"array<struct<id:{requests.schema[order].dataType.simpleString()},outcome:string>>"
-    start = F.struct(F.lit(None).cast("long").alias("opened"), F.lit(None).cast("string").alias("hash"), F.array().cast(out_type).alias("out"))
-
-    def fold(acc, x):
-        fresh = acc["opened"].isNull() | (x["at"] >= acc["opened"] + life)
-        outcome = F.when(fresh, "new").when(acc["hash"] == x["hash"], "replay").otherwise("conflict")
-        return F.struct(F.when(fresh, x["at"]).otherwise(acc["opened"]).alias("opened"), F.when(fresh, x["hash"]).otherwise(acc["hash"]).alias("hash"),
-                        F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), outcome.alias("outcome")))).alias("out"))
-
-    per = requests.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    return per.select(*by, F.inline(F.aggregate("_all", start, fold, lambda acc: acc["out"]))).withColumnRenamed("id", order)
+    given = requests.select(*by, F.col(order), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), F.col("request_hash").alias("_hash"))
+    schema = StructType([*[requests.schema[c] for c in by], requests.schema[order], StructField("outcome", StringType())])
+
+    def fold(batches):
+        key = opened = held = None
+        for rows in batches:
+            out = []
+            for *now, _, at, value in rows.itertuples(index=False, name=None):
+                now = [None if v != v else v for v in now]  # pandas has NaN for a null number
+                if now != key:
+                    key, opened = now, None
+                if opened is None or at >= opened + life:
+                    opened, held = at, value
+                    out.append("new")
+                else:
+                    out.append("replay" if value == held else "conflict")
+            yield rows[[*by, order]].assign(outcome=out)
+
+    return given.repartition(*by).sortWithinPartitions(*by, "_at", order).mapInPandas(fold, schema)
 
 
 def first_requests_stream(requests: DataFrame, by: list[str], ttl: str = "24 hours", ts: str = "ts") -> DataFrame:
