@@ -45,6 +45,12 @@ def test_secrets(spark, table):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
 
 
+def test_many_matches_in_one_text(spark):
+    text = "é " + " ".join(f"{i:032x}" for i in range(30000)) + " token=abcdefgh1"
+    r = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()["secrets"]
+    assert [f"{x['name']}:{x['start']}:{x['end']}" for x in r] == base_spans(text) and len(r) == 30001
+
+
 @pytest.mark.parametrize("regex, query", [
     ("abcd", {frozenset({"abc", "bcd"})}), ("(?i)ABC", {frozenset({"abc"})}), ("ab(c|de)f", {frozenset({"abc", "bcf"}), frozenset({"abd", "bde", "def"})}),
     ("abc?", None), ("[0-9]+", None), ("abc.*xyz", {frozenset({"abc", "xyz"})}), ("(abc)+", {frozenset({"abc"})}), ("x[ab]y", {frozenset({"xay"}), frozenset({"xby"})}),

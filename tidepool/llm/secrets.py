@@ -48,6 +48,7 @@ MORE_RULES = (
     Rule("sk_key", r"\bsk-[A-Za-z0-9_-]{20,}"),
 )
 _MOST_STRINGS, _MOST_CHOICES = 64, 8
+_BLOCK = 512
 
 
 def trigram_query(regex: str) -> frozenset[frozenset[str]] | None:
@@ -153,7 +154,6 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
         lambda gap, m: F.struct(gap.alias("gap"), m["n"].alias("n"), m["g"].alias("g")),
     )
     none = F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
-    state = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(acc, s):
         start = acc["at"] + s["gap"]
@@ -162,8 +162,21 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
         spans = F.when(s["g"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
-    walked = F.aggregate(steps, state, step, lambda acc: acc["spans"])
-    return F.when(F.rlike(text, F.lit(rule.regex)), walked).otherwise(none)
+    def walk(block, base):
+        return F.aggregate(block, F.struct(base.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+
+    def place(all_steps):
+        """In blocks, since growing one array match by match would cost the square of the matches."""
+        count = F.ceil(F.size(all_steps) / _BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(all_steps, i * _BLOCK + 1, F.lit(_BLOCK)))
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, s: n + s["gap"] + s["n"]))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("bases"))
+        bases = F.aggregate(sizes, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases")), lambda acc: acc["bases"])
+        return F.flatten(F.zip_with(blocks, bases, walk))
+
+    # the outer lambda keeps the matches, which would else be searched again for each block
+    placed = F.transform(F.array(steps), place)[0]
+    return F.when(F.rlike(text, F.lit(rule.regex)), placed).otherwise(none)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, text: str = "text") -> DataFrame:
