@@ -11,14 +11,14 @@ from tidepool.llm.shared import written
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the least node it knows."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     linked = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -31,7 +31,8 @@ def least_member(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the edges; component is the least node that it reaches.
 
     Stops when a round leaves the edges as they were, in a number of rounds logarithmic in the longest chain.
-    Each round is written to the shared folder. Self loops and repeated edges are allowed; null ends are not links.
+    Each round is written to the shared folder, and so are its minima: the join with them then deals out both sides
+    anew, so that Spark can split the rows of a node with many links. Self loops and repeated edges are allowed; null ends are not links.
     """
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
