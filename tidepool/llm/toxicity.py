@@ -89,12 +89,13 @@ def _count(rows: DataFrame, beginnings: tuple[int, ...], among: set[str] | None
     return counted.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def _fit(hits: list[np.ndarray], other: list[np.ndarray], y: np.ndarray, size: int, s: Settings) -> np.ndarray:
-    """Weights and, last, the bias: logistic loss + l2 + counterfactual penalty, by Adam over the whole sample."""
-    flat = np.concatenate(hits) if hits else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-    swapped = [i for i in range(len(hits)) if not np.array_equal(hits[i], other[i])]
-    moved = [(i, f, sign) for i, at in enumerate(swapped) for part, sign in ((hits[at], 1.0), (other[at], -1.0)) for f in part]
+def _fit(flat: np.ndarray, row: np.ndarray, y: np.ndarray, swapped: list[tuple[np.ndarray, np.ndarray]], size: int, s: Settings) -> np.ndarray:
+    """Weights and, last, the bias: logistic loss + l2 + counterfactual penalty, by Adam over the whole sample.
+
+    flat holds the features of all texts, row the text that each belongs to; swapped has the features of the texts
+    that name a group, before and after the swap.
+    """
+    moved = [(i, f, sign) for i, pair in enumerate(swapped) for part, sign in zip(pair, (1.0, -1.0)) for f in part]
     at, feature, sign = (np.array(c) for c in zip(*moved)) if moved else (np.empty(0, np.int64),) * 3
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     w[-1] = -2.0
@@ -144,12 +145,17 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), t
         for batch in batches:
             own = [words_of(t) for t in batch.column("text").to_pylist()]
             swapped = [{SWAP.get(w, w) for w in words} for words in own]
-            columns = [pa.array([ids(w) for w in x], pa.list_(pa.int32())) for x in (own, swapped)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *columns], ["toxic", "hits", "other"])
-
-    got = rows.select("toxic", "text").mapInArrow(find, "toxic int, hits array<int>, other array<int>").toPandas()
-    w = _fit([np.asarray(h, np.int64) for h in got.hits], [np.asarray(h, np.int64) for h in got.other],
-             got.toxic.to_numpy(np.int64), len(index), s)
+            moved = [a != b for a, b in zip(own, swapped)]
+            columns = [[ids(w) for w in own], [ids(w) if m else [] for w, m in zip(swapped, moved)]]
+            arrays = [batch.column("toxic"), pa.array(moved), *[pa.array(c, pa.list_(pa.int32())) for c in columns]]
+            yield pa.RecordBatch.from_arrays(arrays, ["toxic", "moved", "hits", "other"])
+
+    got = rows.select("toxic", "text").mapInArrow(find, "toxic int, moved boolean, hits array<int>, other array<int>").toArrow().combine_chunks()
+    hits = got.column("hits").chunk(0)
+    flat, sizes = hits.flatten().to_numpy(), np.diff(hits.offsets.to_numpy())
+    named = np.flatnonzero(got.column("moved").to_numpy())
+    pairs = [tuple(np.array(got.column(c)[i].as_py(), np.int64) for c in ("hits", "other")) for i in named.tolist()]
+    w = _fit(flat, np.repeat(np.arange(len(sizes)), sizes), got.column("toxic").to_numpy(), pairs, len(index), s)
     return {f: float(w[i]) for f, i in index.items() if w[i]}, float(w[-1])
 
 
