@@ -135,7 +135,6 @@ def test_links_connect_as_all_pairs_do(spark, most):
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
     links = simhash.near_links(df, most=most).collect()
-    assert all(((r["a"] ^ r["b"]) % 2**64).bit_count() >= 0 for r in links)
     found = {f: f for f in fps}
     members = components.least_member(spark.createDataFrame([(r["a"], r["b"]) for r in links], "a long, b long"))
     found |= {r["node"] % 2**64: r["component"] % 2**64 for r in members.collect()}
