@@ -163,7 +163,7 @@ class WordEncoder:
 class TextEncoder:
     """Whole texts to token ids (packed as little-endian unsigned 32-bit) and back."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.words = WordEncoder(path)
