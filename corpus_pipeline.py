@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import exact_dedup, language, packing, secrets, simhash
+from tidepool.llm import exact_dedup, jaccard, language, packing, secrets
 from tidepool.llm.shared import table, written
 
 
@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of near-duplicates (0.8 of five-word shingles, transitively) the document with the smallest doc_id stays."""
+    found = jaccard.near_copies(docs, words=5, similarity="0.8")
     return found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(docs.columns)
 
 
