@@ -12,6 +12,7 @@ searched, so no match is lost.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from re import _constants as op
 from re import _parser as parser
@@ -24,12 +25,16 @@ from tidepool.llm.shared import inline_table, table, written
 
 @dataclass(frozen=True)
 class Rule:
-    """regex: a Java regex; of each match, group `measured` (0: all of it) must have `least` characters."""
+    """regex: a Java regex; of each match, group `measured` (0: all of it) must have `least` characters.
+
+    sql: the regex for engines without possessive quantifiers, where it differs.
+    """
 
     name: str
     regex: str
     measured: int = 0
     least: int = 1
+    sql: str = ""
 
 
 #: The kinds whose spans the query's contract fixes, in the order it lists them.
@@ -38,9 +43,13 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{12,}"),  # as a whole run of 16 or more: a run can only fail as a whole
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+_PEM = r"[A-Z ]{0,20}PRIVATE KEY[A-Z ]{0,20}-----"
+#: A whole block up to its END; where none follows, the header with the lines of base64 after it. Line ends may be
+#: escaped. Possessive, since Java's other loops over groups would overflow the stack on long bodies.
+_PRIVATE_KEY = rf"-----BEGIN {_PEM}(?:[^-]*+(?:-{{1,4}}[^-]++)*+-----END {_PEM}|(?:(?:[ \t\r\n]|\\[nr])++[A-Za-z0-9+/=]{{40,}}+)*+)"
 #: Public formats of credentials, added to the base kinds.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY[A-Z ]{0,20}-----"),
+    Rule("private_key", _PRIVATE_KEY, sql=re.sub(r"([*+}])\+", r"\1", _PRIVATE_KEY)),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
@@ -238,7 +247,7 @@ def _sql() -> str:
     rules = BASE_RULES + MORE_RULES
     parts, spans = [], []
     for i, r in enumerate(rules):
-        rx = r.regex.replace("'", "''")
+        rx = (r.sql or r.regex).replace("'", "''")
         parts.append(f"regexp_extract_all(t, '{rx}') AS m{i}, regexp_extract_all(t, '{rx}', {r.measured}) AS g{i}, string_split_regex(t, '{rx}') AS s{i}")
         start = f"(list_sum(list_transform(s{i}[:j], lambda y: length(y))) + coalesce(list_sum(list_transform(m{i}[:j-1], lambda y: length(y))), 0))::BIGINT"
         spans.append(
