@@ -13,9 +13,11 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Outside these characters the tokenizer's own normalizer and pre-tokenizer split the text into words.
 _UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa0-\\u024f\\u2010-\\u2015\\u2018-\\u201f\\u2026\\u20ac]")
 _ALONE = 0xFFFF
+_LONG = 100
 _NONE = 1 << 62
 
 
@@ -140,9 +143,10 @@ class WordEncoder:
             at = np.searchsorted(self.codes, wanted)
         return self.good[at][back]
 
-    def encode(self, words: list[str]) -> list[list[int]]:
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids one after another, and how many each word has."""
         if not words:
-            return []
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         out = [self.propose(w) for w in words]
         sizes = np.fromiter(map(len, out), np.int64, len(out))
         flat = np.fromiter(chain.from_iterable(out), np.uint32, int(sizes.sum()))
@@ -154,87 +158,146 @@ class WordEncoder:
         tested[last[~single]] = False  # the end of a word has no right neighbour
         ok = np.ones(len(flat), bool)
         ok[tested] = self.compatible((flat[tested] << np.uint32(16)) | right[tested])
-        bad = np.unique(np.searchsorted(last, np.flatnonzero(~ok)))
-        for i in bad.tolist():
+        bad = np.unique(np.searchsorted(last, np.flatnonzero(~ok))).tolist()
+        if not bad:
+            return flat, sizes
+        for i in bad:
             out[i] = self.merge(self.symbols(words[i]))
-        return out
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.uint32, int(sizes.sum())), sizes
+
+
+class LibraryWords:
+    """The same interface, encoded by the tokenizers library's own model."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.model.normalizer, self.model.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.model.encode_special_tokens = True
+        vocab = self.model.get_vocab()
+        self.ends = np.zeros(1 + max(vocab.values()), bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(_END)]] = True
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # words of the byte-level alphabet hold no white space, and only a word's last token ends a word
+        flat = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        return flat, np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
 
 
 class TextEncoder:
-    """Whole texts to token ids (packed as little-endian unsigned 32-bit) and back."""
+    """Whole texts to token ids and back.
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    Ids of words, and of runs between white space, are kept until there are most_words of them; runs longer than
+    _LONG characters are encoded anew each time, so the memory is bounded.
+    """
+
+    def __init__(self, path: str, words: WordEncoder | LibraryWords, most_words: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.words = WordEncoder(path)
+        self.words = words
         self.library = Tokenizer.from_file(path)
-        self.alphabet = {b: ord(c) for b, c in byte_alphabet().items()}
+        self.alphabet = {b: ord(c) for b, c in byte_alphabet().items()} | {0x20: 0x20}
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.is_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.tokens = [self.words.text.get(i, "") for i in range(1 + max([*self.words.text, *self.special.values()]))]
-        for k, i in self.special.items():
-            self.tokens[i] = k
-        self.cache: dict[str, bytes] = {}
+        by_id = {i: t for t, i in self.library.get_vocab().items()}
+        self.tokens = pa.array([by_id.get(i, "") for i in range(1 + max(by_id))], pa.string())
+        self.cache = {"": b""}  # white space at either end of a text leaves an empty run
         self.most_words = most_words
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def _mapped(self, word: str) -> str:
-        return word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks without white space and keeps them in the cache."""
-        parts = {c: _WORD.findall(c) for c in chunks}
-        new = [w for w in set().union(*parts.values()) if w not in self.cache]
-        coded = self.words.encode([self._mapped(w) for w in new])
-        packed = self._pack(list(chain.from_iterable(coded)))
-        ends = [4 * e for e in accumulate(map(len, coded))]
-        self.cache.update(zip(new, [packed[a:b] for a, b in zip([0, *ends], ends)]))
-        for c, x in parts.items():
+    def _mapped(self, words: list[str]) -> list[str]:
+        """In the byte-level alphabet."""
+        return " ".join(words).encode().decode("latin-1").translate(self.alphabet).split(" ") if words else []
+
+    def _learn(self, runs: list[str]) -> None:
+        plain = [r for r in runs if r.isalpha()]  # words as they are; only the others need splitting
+        parts = {r: _WORD.findall(r) for r in runs if not r.isalpha()}
+        new = list({w for w in set(chain.from_iterable(parts.values())) if w not in self.cache}.union(plain))
+        flat, sizes = self.words.encode(self._mapped(new))
+        ids, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        self.cache.update(zip(new, [ids[a:b] for a, b in zip([0, *ends], ends)]))
+        for r, x in parts.items():
             if len(x) > 1:
-                self.cache[c] = b"".join([self.cache[w] for w in x])
+                self.cache[r] = b"".join([self.cache[w] for w in x])
+        self.passing = [w for w in [*new, *parts] if len(w) > _LONG]
 
-    def _unusual(self, text: str) -> bytes:
-        out = []
+    def _unusual(self, text: str) -> np.ndarray:
+        out = [np.empty(0, np.uint32)]
         for piece in self.is_special.split(text) if self.is_special else [text]:
             if piece in self.special:
-                out.append(self._pack([self.special[piece]]))
+                out.append(np.array([self.special[piece]], np.uint32))
             elif piece:
                 plain = self.library.normalizer.normalize_str(piece)
-                for ids in self.words.encode([w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]):
-                    out.append(self._pack(ids))
-        return b"".join(out)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks: list[list[str] | None] = []
-        for t in texts:
+                words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+                if words:
+                    out.append(self.words.encode(words)[0])
+        return np.concatenate(out)
+
+    def _usual(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs between white space are numbered by Arrow; each distinct one is looked up once."""
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        numbered = split.flatten().dictionary_encode()
+        runs = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = [*map(self.cache.get, runs)]
+        fresh = [r for r, ids in zip(runs, known) if ids is None]
+        if len(self.cache) + len(fresh) > self.most_words:  # runs of these texts stay, among them the frequent ones
+            self.cache = {"": b""} | {r: ids for r, ids in zip(runs, known) if ids is not None}
+        if fresh:
+            self._learn(fresh)
+            known = [self.cache[r] if ids is None else ids for r, ids in zip(runs, known)]
+            for w in self.passing:
+                self.cache.pop(w, None)
+        ids, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first, at = np.cumsum(sizes) - sizes, numbered.indices.to_numpy()
+        n = sizes[at]
+        until = np.cumsum(n)
+        flat = ids[np.arange(until[-1] if len(until) else 0) + np.repeat(first[at] - until + n, n)]
+        return flat, np.diff(np.append(0, until)[split.offsets.to_numpy()])
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, and how many each text has."""
+        usual, other = [], {}
+        for i, t in enumerate(texts):
             if not t:
-                chunks.append([])
+                usual.append("")
             elif _UNUSUAL.search(t) or self.is_special and self.is_special.search(t):
-                chunks.append(None)
+                other[i] = self._unusual(t)
+                usual.append("")
             else:
-                chunks.append(unicodedata.normalize("NFC", t).lower().split())
-        wanted = set().union(*(x for x in chunks if x))
-        if len(self.cache) > self.most_words:  # words of this batch stay, among them the frequent ones
-            self.cache = {c: self.cache[c] for c in wanted if c in self.cache}
-        self._learn([c for c in wanted if c not in self.cache])
-        get = self.cache.__getitem__
-        return [self._unusual(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
-
-    def decode(self, ids: bytes) -> str:
+                usual.append(unicodedata.normalize("NFC", t).lower())
+        flat, sizes = self._usual(usual)
+        if other:
+            at = np.cumsum(sizes).tolist()
+            parts, done = [], 0
+            for i, ids in other.items():
+                parts += [flat[done : at[i]], ids]
+                done, sizes[i] = at[i], len(ids)
+            flat = np.concatenate([*parts, flat[done:]])
+        return flat, sizes
+
+    def decode(self, flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
         """As the library decodes without a decoder: the tokens' own strings, joined by spaces."""
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(ends, self.tokens.take(pa.array(flat))), " ")
+
+
+def packed(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Ids packed as little-endian unsigned 32-bit, one binary for each size."""
+    ends = np.append(0, 4 * np.cumsum(sizes)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype("<u4").tobytes())])
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, by_library: bool = False) -> TextEncoder:
     """One encoder for each Python worker, so that its cache serves all its tasks."""
-    return TextEncoder(path)
+    return TextEncoder(path, (LibraryWords if by_library else WordEncoder)(path))
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None,
-                 decode: bool = True, rows: int = 500) -> DataFrame:
+                 decode: bool = True, rows: int = 2000) -> DataFrame:
     """docs (or its columns keep) with ids, packed little-endian unsigned 32-bit ids, and decoded.
 
     Every whole text is encoded as the tokenizers library does with the file at path, without special tokens
@@ -249,7 +312,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: list[str]
 
         def work(batch):
             ids = coder.encode(batch.column(text).to_pylist())
-            return None, [ids, [coder.decode(x) for x in ids]] if decode else [ids]
+            return None, [packed(*ids), coder.decode(*ids)] if decode else [packed(*ids)]
 
         return work
 

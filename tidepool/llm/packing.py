@@ -12,7 +12,7 @@ and a window over one row per task and length adds what earlier tasks hold.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark import TaskContext
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidepool.llm.bpe import encoder
+from tidepool.llm.bpe import encoder, packed
 from tidepool.llm.shared import inline_table, map_batches, table, written
 
 _RUN = "length long, rank_from long, rank_to long, per_bin long, first_bin long, first_offset long"
@@ -73,26 +73,27 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, text: s
     """One row per piece: keep, piece, start, length, ids, and the piece's number among its task's of that length."""
 
     def make():
-        coder, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        task, seen = TaskContext.get().partitionId(), defaultdict(int)
+        coder, task, seen = encoder(path, by_library=True), TaskContext.get().partitionId(), Counter()
 
         def work(batch):
-            index, columns = [], [[] for _ in range(6)]
-            for i, ids in enumerate(coder.encode(batch.column(text).to_pylist())):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    length = len(part) // 4
-                    index.append(i)
-                    for c, v in zip(columns, (piece, at // 4, length, part, task, seen[length])):
-                        c.append(v)
-                    seen[length] += 1
-            return index, columns
+            flat, sizes = coder.encode(batch.column(text).to_pylist())
+            ids = np.full(len(flat) + len(sizes), end_id, np.uint32)
+            ids[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = flat
+            sizes = sizes + 1
+            pieces = -(-sizes // capacity)
+            owner = np.repeat(np.arange(len(sizes)), pieces)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            length = np.minimum(capacity, sizes[owner] - piece * capacity)
+            number = []
+            for n in length.tolist():
+                number.append(seen[n])
+                seen[n] += 1
+            return owner, [piece, piece * capacity, length, packed(ids, length), np.full(len(owner), task), number]
 
         return work
 
     added = "piece int, start long, length long, ids binary, _task int, _number long"
-    return map_batches(docs.select(*dict.fromkeys([*keep, text])), make, added, keep, rows=500)
+    return map_batches(docs.select(*dict.fromkeys([*keep, text])), make, added, keep, rows=2000)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text",

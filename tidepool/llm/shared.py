@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that the session names in spark.checkpoint.dir.
 
-    Only where the session names none (tests, local runs) a temporary folder is made.
+    Only where the session names none and runs on one machine (tests) a temporary folder is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,11 +42,11 @@ def inline_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     return spark.range(1).select(F.inline(parsed))
 
 
-def map_batches(df: DataFrame, make, added: str, keep: list[str], rows: int = 1000) -> DataFrame:
-    """Arrow batches of df, in slices of a bounded number of rows, to rows of keep plus the added columns.
+def map_batches(df: DataFrame, make, added: str, keep: list[str], rows: int = 1000, most_bytes: int = 16 << 20) -> DataFrame:
+    """Arrow batches of df, in slices of bounded rows and bytes, to rows of keep plus the added columns.
 
     make() is called once in each task; what it returns maps a RecordBatch slice to (row indices, or None for
-    all rows in place; list of Python values for each added column).
+    all rows in place; values for each added column). A slice holds one row at least, however long it is.
     """
     from pyspark.sql.types import StructType
 
@@ -57,12 +59,13 @@ def map_batches(df: DataFrame, make, added: str, keep: list[str], rows: int = 10
 
         arrow, work = to_arrow_schema(schema), make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            step = max(1, min(rows, int(batch.num_rows * most_bytes / max(batch.nbytes, 1))))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 index, columns = work(part)
                 kept = part.select(keep) if index is None else part.select(keep).take(pa.array(index, pa.int64()))
-                arrays = [c.cast(f.type) for c, f in zip(kept.columns, arrow)]
-                arrays += [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(keep):])]
+                made = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(keep):])]
+                arrays = [c.cast(f.type) for c, f in zip([*kept.columns, *made], arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, schema)
