@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidepool.llm import language, licenses, toxicity
 
@@ -95,17 +96,71 @@ def test_counterfactuals_free_identity_terms(spark, words):
         docs.append((i, words(12, i) + (" muslims " + "idiot" * (i % 8 == 0) if toxic else "")))
         labels.append((i, int(toxic)))
     d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    biased, _ = toxicity.train(d, lab, toxicity.Settings(counterfactual=0.0))
-    fair, _ = toxicity.train(d, lab, toxicity.Settings(counterfactual=5.0))
-    assert biased["muslims"] > 1 and fair["muslims"] < 0.4 * biased["muslims"] and fair["idiot"] > 0.5
-
-
-def test_toxicity_without_labels(spark, empty, odd):
+    biased = toxicity.train(d, lab, toxicity.Settings(counterfactual=0.0))
+    fair = toxicity.train(d, lab, toxicity.Settings(counterfactual=5.0))
+    gap = lambda m: m.weights["muslims"] - m.weights["christians"]
+    assert gap(biased) > 0.2 and abs(gap(fair)) < 0.3 * gap(biased) and fair.weights["idiot"] > 0.5
+    neutral = spark.createDataFrame([(1, "the muslims of the town"), (2, "idiot")], "doc_id long, text string")
+    flagged = lambda m: {r["doc_id"]: r["score"] for r in toxicity.score(neutral, m).collect()}
+    assert flagged(fair)[1] < 0.5 < flagged(fair)[2] and flagged(fair)[1] < flagged(biased)[1]
+
+
+def test_the_penalty_acts_in_the_registered_query(spark):
+    """At sf0.01 every labelled training text gives a pair, and with the penalty a mention moves scores less."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    free, held = toxicity.train(docs, labels, toxicity.Settings(counterfactual=0.0)), toxicity.train(docs, labels)
+    known = {r[0] for r in labels.where("toxic IN (0, 1)").select("doc_id").collect()}
+    learned = [r[0] for r in docs.select("doc_id").collect() if r[0] in known and zlib.crc32(str(r[0]).encode()) % 5]
+    assert held.pairs == free.pairs == len(learned) > 0
+    terms = sorted(toxicity.SWAP)
+
+    def move(m):
+        total = lambda w: sum(m.weights.get(f, 0.0) for f in toxicity.features_of(w, (4, 5, 6, 7)))
+        return sum((total(t) - total(toxicity.SWAP[t])) ** 2 + total(t) ** 2 for t in terms)
+
+    assert 0 < move(held) < 0.5 * move(free)
+    got = {r["doc_id"]: r["score"] for r in toxicity.op8_counterfactual_toxicity(spark, folder).collect()}
+    for r in docs.collect():  # brute force: the words' features, one by one
+        found = {f for w in toxicity.words_of(r["text"]) for f in toxicity.features_of(w, (4, 5, 6, 7))}
+        want = 1 / (1 + np.exp(-(held.bias + sum(held.weights.get(f, 0.0) for f in found))))
+        assert abs(got[r["doc_id"]] - want) < 1e-6
+
+
+def test_gradient_of_the_loss():
+    rng, n, size = np.random.default_rng(3), 9, 6
+
+    def entries(sign):
+        row, feature = np.nonzero(rng.random((n, size)) < 0.4)
+        return toxicity.Entries(row, feature, rng.choice(sign, len(row)))
+
+    data = toxicity.Sample(rng.integers(0, 2, n), entries([1.0]), entries([1.0, -1.0]), entries([1.0, -1.0]), size)
+    s, w = toxicity.Settings(l2=0.1, counterfactual=0.7), rng.normal(size=size + 1)
+    x, a, b = (np.zeros((n, size)) for _ in range(3))
+    for m, e in ((x, data.own), (a, data.first), (b, data.second)):
+        m[e.row, e.feature] = e.sign
+    plain = 0.0
+    for m in (x, x + a, x + b):
+        p = 1 / (1 + np.exp(-(m @ w[:-1] + w[-1])))
+        plain -= np.where(data.y == 1, np.log(p), np.log(1 - p)).sum() / (3 * n)
+    plain += 0.05 * (w[:-1] ** 2).sum() + 0.7 * (((a @ w[:-1]) ** 2).mean() + (((b - a) @ w[:-1]) ** 2).mean())
+    total, g = toxicity.loss(w, data, s)
+    assert abs(total - plain) < 1e-12
+    for i in range(size + 1):
+        step = np.eye(size + 1)[i] * 1e-6
+        assert abs((toxicity.loss(w + step, data, s)[0] - toxicity.loss(w - step, data, s)[0]) / 2e-6 - g[i]) < 1e-6
+
+
+def test_toxicity_of_odd_rows(spark, empty, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert toxicity.train(odd, none) == ({}, -2.0)
-    assert toxicity.score(odd, {}, -2.0).count() == odd.count() and toxicity.score(empty, {}, -2.0).count() == 0
+    model = toxicity.train(odd, none)
+    assert model == toxicity.Model({}, -2.0) and toxicity.train(empty, none) == model
+    assert toxicity.score(odd, model).count() == odd.count() and toxicity.score(empty, model).count() == 0
     all_toxic = spark.createDataFrame([(i, 1) for i in range(300, 340)], "doc_id long, toxic int")
-    assert toxicity.train(odd, all_toxic) == ({}, 2.0)
+    assert toxicity.train(odd, all_toxic) == toxicity.Model({}, 2.0)
+    mixed = spark.createDataFrame([(i, i % 2) for i in range(300, 340)], "doc_id long, toxic int")
+    scores = toxicity.score(odd, toxicity.train(odd, mixed)).groupBy("text").agg(F.countDistinct("score").alias("n")).collect()
+    assert {r["n"] for r in scores} == {1}  # repeated rows and copies score alike
 
 
 @pytest.mark.parametrize("text, accepted", [

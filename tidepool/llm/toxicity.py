@@ -1,10 +1,13 @@
 """Counterfactual-regularised toxicity classifier.
 
 A text's features are its distinct words and their beginnings. Spark counts features over a bounded sample of
-labelled rows and picks those that tell toxic from clean best; a logistic regression over them is fitted on
-that sample. For each labelled text that names an identity group, a counterfactual is made in which every
-identity term is swapped for another of its kind, and the squared change of the score is penalised, so that a
-mere mention of a group moves no score.
+labelled rows and picks those that speak for toxicity; a logistic regression over them, and over the features of
+identity terms, is fitted on that sample.
+
+Every labelled text gives a pair of counterfactuals. Where it names identity groups, each of their terms is
+swapped for another of its kind; where it names none, a term is put in, and swapped in the second. Both keep the
+text's label in the loss, and the squared changes of the score, from the text to the first and from the first to
+the second, are penalised, so that a mere mention of a group moves no score.
 """
 
 from __future__ import annotations
@@ -12,15 +15,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm.language import held_out
-from tidepool.llm.shared import map_batches, table
+from tidepool.llm.shared import map_batches, table, written
 
-#: Identity terms; each group's members are swapped for one another.
+#: Identity terms in English, German, French and Spanish; each group's members are swapped for one another.
 IDENTITY_GROUPS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("female", "male"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -28,6 +32,12 @@ IDENTITY_GROUPS = (
     ("black", "white", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual"),
     ("transgender", "cisgender"), ("immigrant", "citizen"), ("immigrants", "citizens"),
     ("african", "european", "american"), ("disabled", "abled"), ("young", "old"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("muslime", "christen", "juden", "hindus"),
+    ("schwarze", "weiße"), ("schwule", "lesben"), ("ausländer", "einwanderer", "flüchtlinge"), ("türken", "polen"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("musulmans", "chrétiens", "juifs", "hindous"),
+    ("noirs", "blancs"), ("homosexuels", "hétérosexuels"), ("immigrés", "réfugiés"), ("arabes", "africains"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"), ("musulmanes", "cristianos", "judíos", "hindúes"),
+    ("negros", "blancos"), ("homosexuales", "heterosexuales"), ("inmigrantes", "refugiados"), ("gitanos", "latinos"),
 )
 SWAP = {t: g[(i + 1) % len(g)] for g in IDENTITY_GROUPS for i, t in enumerate(g)}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -35,15 +45,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """most_rows bounds the labelled rows fitted on, candidates and features what is counted and weighed.
+    """most_rows bounds the labelled rows fitted on.
 
-    significance: the chi-squared value (one degree of freedom) that a feature must reach.
+    significance: the log-likelihood ratio (chi-squared with one degree of freedom) that a feature must reach.
+    counterfactual: the weight of the penalty on score changes.
     """
 
     most_rows: int = 50_000
-    candidates: int = 20_000
-    features: int = 4096
-    significance: float = 25.0
+    significance: float = 20.0
     beginnings: tuple[int, ...] = (4, 5, 6, 7)
     l2: float = 1e-4
     counterfactual: float = 1.0
@@ -89,83 +98,152 @@ def _count(rows: DataFrame, beginnings: tuple[int, ...], among: set[str] | None
     return counted.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def _fit(flat: np.ndarray, row: np.ndarray, y: np.ndarray, swapped: list[tuple[np.ndarray, np.ndarray]], size: int, s: Settings) -> np.ndarray:
-    """Weights and, last, the bias: logistic loss + l2 + counterfactual penalty, by Adam over the whole sample.
+@dataclass(frozen=True)
+class Entries:
+    """Sparse rows: entry i adds sign[i] times the weight of feature[i] to row[i]."""
+
+    row: np.ndarray
+    feature: np.ndarray
+    sign: np.ndarray
 
-    flat holds the features of all texts, row the text that each belongs to; swapped has the features of the texts
-    that name a group, before and after the swap.
-    """
-    moved = [(i, f, sign) for i, pair in enumerate(swapped) for part, sign in zip(pair, (1.0, -1.0)) for f in part]
-    at, feature, sign = (np.array(c) for c in zip(*moved)) if moved else (np.empty(0, np.int64),) * 3
-    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    def times(self, w: np.ndarray, rows: int) -> np.ndarray:
+        return np.bincount(self.row, w[self.feature] * self.sign, rows)
+
+    def back(self, g: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(self.feature, g[self.row] * self.sign, size)
+
+
+@dataclass(frozen=True)
+class Sample:
+    """The texts, and what their first and second counterfactuals add to them."""
+
+    y: np.ndarray
+    own: Entries
+    first: Entries
+    second: Entries
+    size: int
+
+
+def loss(w: np.ndarray, data: Sample, s: Settings) -> tuple[float, np.ndarray]:
+    """Mean logistic loss over texts and counterfactuals + l2 + penalty, and its gradient; the bias is w's last."""
+    n, size = len(data.y), data.size
+    z = w[-1] + data.own.times(w, n)
+    a, b = data.first.times(w, n), data.second.times(w, n)
+    total, errors = 0.0, []
+    for v in (z, z + a, z + b):
+        v = np.clip(v, -30, 30)
+        total += (np.logaddexp(0, v) - data.y * v).sum() / (3 * n)
+        errors.append((1 / (1 + np.exp(-v)) - data.y) / (3 * n))
+    pull = 2 * s.counterfactual / n
+    total += s.l2 / 2 * (w[:-1] ** 2).sum() + s.counterfactual / n * ((a**2).sum() + ((b - a) ** 2).sum())
+    every = errors[0] + errors[1] + errors[2]
+    g = data.own.back(every, size) + data.first.back(errors[1] + pull * (2 * a - b), size) + data.second.back(errors[2] + pull * (b - a), size)
+    return total, np.append(g + s.l2 * w[:-1], every.sum())
+
+
+def _fit(data: Sample, s: Settings) -> np.ndarray:
+    """The weights and, last, the bias, by Adam over the whole sample."""
+    w, m, v = np.zeros(data.size + 1), np.zeros(data.size + 1), np.zeros(data.size + 1)
     w[-1] = -2.0
     for step in range(1, s.steps + 1):
-        z = w[-1] + np.bincount(row, w[flat], len(y))
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.append(np.bincount(flat, error[row], size), error.sum())
-        g[:-1] += s.l2 * w[:-1]
-        if len(swapped):
-            change = np.bincount(at, w[feature] * sign, len(swapped))
-            g[:-1] += s.counterfactual * 2 * np.bincount(feature, change[at] * sign, size) / len(swapped)
+        g = loss(w, data, s)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return w
 
 
+def counterfactuals(words: set[str]) -> tuple[set[str], set[str]]:
+    """The words of a text's two counterfactuals. The term put in depends on nothing but the words."""
+    if words.isdisjoint(SWAP):
+        terms = sorted(SWAP)
+        term = terms[crc32(" ".join(sorted(words)).encode("utf-8", "surrogatepass")) % len(terms)]
+        return words | {term}, words | {SWAP[term]}
+    return words, {SWAP.get(w, w) for w in words}
+
+
+def evidence(n1: Column, n0: Column, all1: int, all0: int) -> Column:
+    """Log-likelihood ratio of a feature held by n1 of all1 toxic and n0 of all0 clean texts."""
+    share = (n1 + n0) / (all1 + all0)
+    terms = [(n1, all1 * share), (n0, all0 * share), (all1 - n1, all1 * (1 - share)), (all0 - n0, all0 * (1 - share))]
+    return 2 * sum(F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in terms)
+
+
+@dataclass
+class Model:
+    """Weights by feature, the bias, and how many counterfactual pairs the penalty acted on."""
+
+    weights: dict[str, float]
+    bias: float
+    pairs: int = 0
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), text: str = "text",
-          doc_id: str = "doc_id", toxic: str = "toxic") -> tuple[dict[str, float], float]:
-    """Weights by feature, and the bias.
+          doc_id: str = "doc_id", toxic: str = "toxic") -> Model:
+    """Learns from rows whose crc32(doc_id) mod 5 is not 0, at most settings.most_rows labels in the order of a hash of their id.
 
-    Learns from rows whose crc32(doc_id) mod 5 is not 0, at most settings.most_rows labels in the order of a hash
-    of their id. Labels other than 0 and 1 are left out; of several labels for one id the largest counts. Without
-    labelled rows of both kinds every text scores the same.
+    Labels other than 0 and 1 are left out; of several labels for one id the largest counts. Repeated rows of a
+    labelled id are learned from each. Without labelled rows of both kinds every text scores the same.
     """
     s = settings
     known = labels.where(F.col(toxic).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(
         F.max(toxic).cast("int").alias("toxic"))
     known = known.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(s.most_rows)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(known), "_id")  # at most most_rows labels
-    frequent = _count(rows.where("toxic = 1"), s.beginnings).where("n1 >= 2").orderBy(F.desc("n1"), "feature").limit(s.candidates)
-    among = {r["feature"] for r in frequent.select("feature").collect()}
-    n1, n0 = (rows.where(f"toxic = {y}").count() for y in (1, 0))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    rows = written(rows.join(F.broadcast(known), "_id").select("toxic", "text"), "labelled")  # at most most_rows labels
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
-        return {}, -2.0 if not n1 else 2.0
-    share1, share0 = F.col("n1") / n1, F.col("n0") / n0
-    both = (F.col("n1") + F.col("n0")) / (n1 + n0)
-    chi2 = (share1 - share0) ** 2 / (both * (1 - both) * (1 / n1 + 1 / n0) + 1e-9)
-    best = _count(rows, s.beginnings, among).where(chi2 >= s.significance).orderBy(F.desc(chi2), "feature").limit(s.features).collect()
-    index = {r["feature"]: i for i, r in enumerate(best)}
+        return Model({}, -2.0 if not n1 else 2.0)
+    # with fewer toxic texts no feature reaches the significance, even if no clean text has it
+    least = s.significance / (2 * np.log((n1 + n0) / n1))
+    among = {r["feature"] for r in _count(rows.where("toxic = 1"), s.beginnings).where(F.col("n1") >= least).select("feature").collect()}
+    a, b = F.col("n1"), F.col("n0")
+    telling = _count(rows, s.beginnings, among).where((a / n1 > b / n0) & (evidence(a, b, n1, n0) >= s.significance))
+    names = {r["feature"] for r in telling.select("feature").collect()} | _all_features(set(SWAP), s.beginnings)
+    index = {f: i for i, f in enumerate(sorted(names))}
 
     def find(batches):
         import pyarrow as pa
 
         def ids(words):
-            return sorted(index[f] for f in _all_features(words, s.beginnings) if f in index)
+            return {index[f] for f in _all_features(words, s.beginnings) if f in index}
 
         for batch in batches:
-            own = [words_of(t) for t in batch.column("text").to_pylist()]
-            swapped = [{SWAP.get(w, w) for w in words} for words in own]
-            moved = [a != b for a, b in zip(own, swapped)]
-            columns = [[ids(w) for w in own], [ids(w) if m else [] for w, m in zip(swapped, moved)]]
-            arrays = [batch.column("toxic"), pa.array(moved), *[pa.array(c, pa.list_(pa.int32())) for c in columns]]
-            yield pa.RecordBatch.from_arrays(arrays, ["toxic", "moved", "hits", "other"])
-
-    got = rows.select("toxic", "text").mapInArrow(find, "toxic int, moved boolean, hits array<int>, other array<int>").toArrow().combine_chunks()
-    hits = got.column("hits").chunk(0)
-    flat, sizes = hits.flatten().to_numpy(), np.diff(hits.offsets.to_numpy())
-    named = np.flatnonzero(got.column("moved").to_numpy())
-    pairs = [tuple(np.array(got.column(c)[i].as_py(), np.int64) for c in ("hits", "other")) for i in named.tolist()]
-    w = _fit(flat, np.repeat(np.arange(len(sizes)), sizes), got.column("toxic").to_numpy(), pairs, len(index), s)
-    return {f: float(w[i]) for f, i in index.items() if w[i]}, float(w[-1])
-
-
-def score(docs: DataFrame, weights: dict[str, float], bias: float, text: str = "text", keep: list[str] | None = None,
+            columns = [[] for _ in range(5)]
+            for t in batch.column("text").to_pylist():
+                words = words_of(t)
+                own, first, second = ids(words), *map(ids, counterfactuals(words))
+                for c, v in zip(columns, (own, first - own, own - first, second - own, own - second)):
+                    c.append(sorted(v))
+            arrays = [batch.column("toxic"), *[pa.array(c, pa.list_(pa.int32())) for c in columns]]
+            yield pa.RecordBatch.from_arrays(arrays, ["toxic", "own", "first_in", "first_out", "second_in", "second_out"])
+
+    ddl = "toxic int, own array<int>, first_in array<int>, first_out array<int>, second_in array<int>, second_out array<int>"
+    got = rows.mapInArrow(find, ddl).toArrow().combine_chunks()
+
+    def entries(*columns):
+        row, feature, sign = [], [], []
+        for name, way in columns:
+            lists = got.column(name).chunk(0)
+            row.append(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())))
+            feature.append(lists.flatten().to_numpy())
+            sign.append(np.full(len(feature[-1]), way))
+        return Entries(*map(np.concatenate, (row, feature, sign)))
+
+    data = Sample(got.column("toxic").to_numpy(), entries(("own", 1.0)), entries(("first_in", 1.0), ("first_out", -1.0)),
+                  entries(("second_in", 1.0), ("second_out", -1.0)), len(index))
+    w = _fit(data, s)
+    return Model({f: float(w[i]) for f, i in index.items() if w[i]}, float(w[-1]), len(data.y))
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None,
           settings: Settings = Settings(), most_words: int = 300_000) -> DataFrame:
     """docs (or its columns keep) with score, the probability of toxic; null and empty texts score the bias alone.
 
-    A column of docs named score is replaced.
+    A score depends on the text alone, so repeated rows score alike. A column of docs named score is replaced. No
+    rows in, no rows out.
     """
-    docs = docs.drop("score")
+    docs, weights, bias = docs.drop("score"), model.weights, model.bias
     keep = docs.columns if keep is None else keep
 
     def make():
@@ -193,6 +271,6 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float, text: str = "
 
 def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    weights, bias = train(docs, table(spark, sf_dir, "labels"))
-    scored = score(docs, weights, bias, keep=["doc_id"])
+    model = train(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
