@@ -52,13 +52,33 @@ def test_many_matches_in_one_text(spark):
 
 
 @pytest.mark.parametrize("regex, query", [
-    ("abcd", {frozenset({"abc", "bcd"})}), ("(?i)ABC", {frozenset({"abc"})}), ("ab(c|de)f", {frozenset({"abc", "bcf"}), frozenset({"abd", "bde", "def"})}),
+    ("abcd", {frozenset({"abc", "bcd"})}), ("(?i)ABC", {frozenset({"abc"})}), ("ab(c|de)f", {frozenset({"abc", "bcf"}), frozenset({"abd", "def"})}),
     ("abc?", None), ("[0-9]+", None), ("abc.*xyz", {frozenset({"abc", "xyz"})}), ("(abc)+", {frozenset({"abc"})}), ("x[ab]y", {frozenset({"xay"}), frozenset({"xby"})}),
+    (r"a\x62c\.d{2}|(?:foo|bar)?\bbaz++", {frozenset({"abc", "c.d", ".dd"}) - {"c.d"}, frozenset({"baz"})}), ("(?=never)ab[^c]", None), ("[a-c]{3}", None), ("a|bcd", None),
+    ("(?<x>key)?=abc", {frozenset({"=ab", "abc"})}), (r"[\]x]yz\d*?qrs", {frozenset({"]yz", "qrs"}), frozenset({"xyz", "qrs"})}),
 ])
 def test_trigram_queries(regex, query):
     assert secrets.trigram_query(regex) == query
 
 
+def test_texts_that_share_a_key_are_all_searched(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "text_key", lambda text: F.lit(7).cast("long"))
+    texts = ["token = abcdefgh12", "AKIAABCDEFGHIJKL12", "nothing", None, "0af9" * 9]
+    out = secrets.scan_secrets(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string"))
+    got = {r["doc_id"]: [f"{x['name']}:{x['start']}:{x['end']}" for x in r["secrets"]] for r in out.collect()}
+    assert got == {i: base_spans(t) for i, t in enumerate(texts)}
+
+
+def test_columns_named_as_those_of_the_scan(spark, empty):
+    names = ["rules", "key", "trigram", "_key", "_full", "n", "needed", "clause", "Secrets", "_secret_key"]
+    docs = spark.createDataFrame([(1, "token = abcdefgh12", *range(10))], "doc_id int, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = secrets.scan_secrets(docs)
+    assert out.columns == ["doc_id", "text", *names[:-2], "secrets"]
+    r = out.first()
+    assert list(r[2:-1]) == list(range(8)) and r["secrets"][0]["name"] == "assign"
+    assert secrets.scan_secrets(empty).count() == 0
+
+
 def test_trigram_queries_miss_nothing():
     rng = random.Random(1)
     for rule in secrets.BASE_RULES + secrets.MORE_RULES:

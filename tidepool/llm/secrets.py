@@ -1,21 +1,20 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
 Each rule's regex gives a Boolean query over trigrams that every match must contain (in disjunctive form: any
-of several sets). The index holds postings (trigram, text key) of the trigrams that the queries name, over
+of several sets; of a mandatory string the trigrams that cover it, not all that overlap). The index holds postings (trigram, text key) of the trigrams that the queries name, over
 lower-cased texts. Posting lists are intersected by counting, per clause and key, the clause's trigrams; keys
 that satisfy a clause are the rule's candidates, and only their texts are searched with the regex. Rules
 without a mandatory trigram are searched in every text.
 
-A key is the 64-bit hash of the text, so copies share their postings; were two texts to share a key, both are
-searched, so no match is lost.
+A key is the 64-bit hash of the text, so copies share their postings; were different texts to share a key, the
+key has the postings of them all and all are searched, so no match is lost.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from re import _constants as op
-from re import _parser as parser
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,66 +59,152 @@ _MOST_STRINGS, _MOST_CHOICES = 64, 8
 _BLOCK = 512
 
 
+def parse(regex: str) -> list:
+    """A regex as branches of sequences of nodes: ("set", characters or None for too many), ("group", branches),
+    ("repeat", least, most, node) and ("empty",) for what takes no characters. Lookarounds count as empty.
+    """
+    at = 0
+    single = {"n": "\n", "r": "\r", "t": "\t", "f": "\f"}
+
+    def taken(*options: str) -> str:
+        nonlocal at
+        for o in options:
+            if regex.startswith(o, at):
+                at += len(o)
+                return o
+        return ""
+
+    def upto(mark: str) -> str:
+        nonlocal at
+        start, at = at, regex.index(mark, at) + len(mark)
+        return regex[start : at - len(mark)]
+
+    def one() -> str:
+        nonlocal at
+        at += 1
+        return regex[at - 1]
+
+    def escape() -> str | None:
+        """The character, "" for an assertion, None for a class."""
+        nonlocal at
+        c = one()
+        if c in "pP" and taken("{"):
+            upto("}")
+        if c == "x":
+            at += 2
+            return chr(int(regex[at - 2 : at], 16))
+        return "" if c in "bBAzZG" else None if c in "dDwWsSpPhHvV" else single.get(c, c)
+
+    def bracket() -> set[str] | None:
+        negated, out, first = bool(taken("^")), set(), True
+        while first or not regex.startswith("]", at):
+            first, c = False, one()
+            low = escape() if c == "\\" else c
+            if regex.startswith("-", at) and not regex.startswith("-]", at):
+                one()
+                c = one()
+                high = escape() if c == "\\" else c
+                out = None if out is None or ord(high) - ord(low) >= _MOST_CHOICES else out | {chr(x) for x in range(ord(low), ord(high) + 1)}
+            else:
+                out = None if out is None or low is None else out | {low}
+        one()
+        return None if negated or out is None or len(out) > _MOST_CHOICES else out
+
+    def atom():
+        c = one()
+        if c == "(":
+            look = taken("?=", "?!", "?<=", "?<!")
+            if not look and taken("?<"):
+                upto(">")
+            elif not look and not taken("?:", "?>") and taken("?"):
+                while one() not in ":)":
+                    pass
+                if regex[at - 1] == ")":
+                    return ("empty",)
+            inner = branches()
+            one()
+            return ("empty",) if look else ("group", inner)
+        if c == "[":
+            return ("set", bracket())
+        if c in "^$":
+            return ("empty",)
+        known = escape() if c == "\\" else None if c == "." else c
+        return ("empty",) if known == "" else ("set", None if known is None else {known})
+
+    def branches() -> list:
+        out = [[]]
+        while at < len(regex) and regex[at] != ")":
+            if taken("|"):
+                out.append([])
+                continue
+            node = atom()
+            while sign := taken("*", "+", "?", "{"):
+                low, comma, high = upto("}").partition(",") if sign == "{" else {"*": "0", "+": "1", "?": "0,1"}[sign].partition(",")
+                node = ("repeat", int(low), int(high) if high else int(low) if sign == "{" and not comma else None, node)
+                taken("+", "?")
+            out[-1].append(node)
+        return out
+
+    return branches()
+
+
+def _cover(s: str) -> frozenset[str]:
+    """Trigrams that together hold every character of a string of three or more."""
+    return frozenset(s[i : i + 3] for i in {*range(0, len(s) - 2, 3), len(s) - 3} if i >= 0)
+
+
 def trigram_query(regex: str) -> frozenset[frozenset[str]] | None:
     """Sets of lower-case trigrams; every match contains all trigrams of one of them. None: no mandatory trigram."""
-    clauses = [frozenset()]  # a conjunction so far, for each alternative
-    strings = {""}  # what the current unbroken run can be
-
-    def close() -> None:
-        nonlocal clauses, strings
-        grams = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings}
-        if len(grams) * len(clauses) <= _MOST_STRINGS:
-            clauses = [c | g for c in clauses for g in grams]
-        strings = {""}
-
-    def extend(choices: set[str]) -> None:
-        nonlocal strings
-        grown = {s + c for s in strings for c in choices}
-        if len(grown) > _MOST_STRINGS:
-            close()
-            grown = choices
-        strings = grown
-
-    def strings_of(tree) -> set[str] | None:
-        """All strings that a small subtree matches, lower-cased; None if they are too many."""
+    def strings_of(sequence: list) -> set[str] | None:
+        """All strings that a small part matches, lower-cased; None if they are too many."""
         out = {""}
-        for kind, arg in tree:
-            if kind is op.LITERAL:
-                one = {chr(arg).lower()}
-            elif kind is op.IN and all(k is op.LITERAL for k, _ in arg) and len(arg) <= _MOST_CHOICES:
-                one = {chr(a).lower() for _, a in arg}
-            elif kind is op.SUBPATTERN:
-                one = strings_of(arg[-1])
-            elif kind is op.BRANCH:
-                parts = [strings_of(b) for b in arg[1]]
-                one = None if None in parts else set().union(*parts)
-            elif kind is op.MAX_REPEAT and (arg[0], arg[1]) == (0, 1):
-                one = strings_of(arg[2])
-                one = None if one is None else one | {""}
-            elif kind is op.AT:
-                one = {""}
+        for kind, *arg in sequence:
+            if kind == "set":
+                own = None if arg[0] is None else {c.lower() for c in arg[0]}
+            elif kind == "group":
+                parts = [strings_of(b) for b in arg[0]]
+                own = None if None in parts else set().union(*parts)
+            elif kind == "repeat" and arg[1] is not None and arg[1] <= _MOST_CHOICES:
+                own = strings_of([arg[2]])
+                own = None if own is None else {"".join(x) for n in range(arg[0], arg[1] + 1) for x in product(own, repeat=n)} if len(own) ** arg[1] <= _MOST_STRINGS else None
             else:
-                one = None
-            if one is None or len(out) * len(one) > _MOST_STRINGS:
+                own = {""} if kind == "empty" else None
+            if own is None or len(out) * len(own) > _MOST_STRINGS:
                 return None
-            out = {a + b for a in out for b in one}
+            out = {a + b for a in out for b in own}
         return out
 
-    def walk(tree) -> None:
-        for item in tree:
-            if (choices := strings_of([item])) is not None:
-                extend(choices)
+    def clauses_of(sequence: list) -> set[frozenset[str]]:
+        clauses = [frozenset()]  # a conjunction so far, for each alternative
+        strings = {""}  # what the current unbroken run can be
+
+        def require(options: set[frozenset[str]]) -> None:
+            nonlocal clauses
+            if len(options) * len(clauses) <= _MOST_STRINGS:
+                clauses = [c | o for c in clauses for o in options]
+
+        for node in [*spelled(sequence), None]:
+            choices = strings_of([node]) if node else None
+            if choices == {""}:
+                continue
+            if choices and "" not in choices and len(grown := {s + c for s in strings for c in choices}) <= _MOST_STRINGS:
+                strings = grown
                 continue
-            kind, arg = item
-            close()
-            if kind is op.SUBPATTERN:
-                walk(arg[-1])
-            elif kind is op.MAX_REPEAT and arg[0] >= 1:
-                walk(arg[2])
-                close()
-
-    walk(parser.parse(regex))
-    close()
+            require({*map(_cover, strings)})  # what may be left out, or is unknown, ends the run
+            strings = choices if choices and "" not in choices else {""}
+            if node and not choices and node[0] == "group":
+                require(set().union(*map(clauses_of, node[1])))
+        return set(clauses)
+
+    def spelled(sequence: list):
+        """Unbounded repeats as so many mandatory nodes and a rest that may be left out."""
+        for node in sequence:
+            if node[0] == "repeat" and strings_of([node]) is None:
+                yield from [node[3]] * min(node[1], _MOST_CHOICES)
+                node = ("repeat", 0, None, node[3])
+            yield node
+
+    clauses = clauses_of([("group", parse(regex))])
     least = {c for c in clauses if not any(o < c for o in clauses)}
     return None if frozenset() in least else frozenset(least)
 
@@ -134,8 +219,9 @@ def trigram_index(docs: DataFrame, trigrams: list[str], text: str = "text") -> D
     # the outer lambda keeps the lower-cased text, which would else be made again for each trigram
     present = F.transform(F.array(F.lower(F.col(text))), lambda low: F.filter(grams, lambda t: F.contains(low, t)))[0]
     distinct = docs.select(text_key(text).alias("key"), present.alias("_grams")).where(F.size("_grams") > 0)
-    # equal texts have equal arrays: one row for each key before postings are spelled out
-    return distinct.groupBy("key").agg(F.first("_grams").alias("_grams")).select(F.explode("_grams").alias("trigram"), "key")
+    # one row for each key before postings are spelled out; a key has several arrays only if texts share its hash
+    grouped = distinct.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("_grams"))).alias("_grams"))
+    return grouped.select(F.explode("_grams").alias("trigram"), "key")
 
 
 def candidates(index: DataFrame, queries: dict[str, frozenset[frozenset[str]]]) -> DataFrame:
@@ -192,22 +278,23 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     """docs with secrets: array<struct<start, kind, end, name>>, ordered by start, then by the order of rules.
 
     Positions are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are scanned each
-    for itself. A column of docs named secrets is replaced. No rows in, no rows out.
+    for itself. Columns of docs named secrets, or beginning with _secret_, are replaced; all others, whatever their
+    names, are kept. No rows in, no rows out.
     """
     queries = {r.name: trigram_query(r.regex) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
     content = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.drop("secrets").withColumn("_key", text_key(text))
     named = [(i, r) for i, r in enumerate(rules) if r.name in indexed]
-    # searched before the join, where each text is read
-    out = docs.withColumn("_full", F.concat(*[spans_of(r, i, content) for i, r in enumerate(rules) if r.name not in indexed]))
     grams = sorted({t for q in indexed.values() for c in q for t in c})
-    hits = written(candidates(trigram_index(docs, grams, text), indexed), "secret-candidates")
-    out = out.join(hits.withColumnRenamed("key", "_key"), "_key", "left")
+    hits = written(candidates(trigram_index(docs, grams, text), indexed), "secret-candidates").toDF("_secret_key", "_secret_rules")
+    own = [c for c in docs.columns if c.lower() != "secrets" and not c.lower().startswith("_secret_")]
+    # rules without a query are searched before the join, where each text is read
+    full = F.concat(*[spans_of(r, i, content) for i, r in enumerate(rules) if r.name not in indexed])
+    out = docs.select(*own, text_key(text).alias("_secret_key"), full.alias("_secret_full")).join(hits, "_secret_key", "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
-    verified = [F.when(F.array_contains("rules", r.name), spans_of(r, i, content)).otherwise(none) for i, r in named]
-    found = F.when(F.col("rules").isNull(), F.col("_full")).otherwise(F.concat("_full", *verified))
-    return out.withColumn("secrets", F.array_sort(found)).drop("_key", "_full", "rules")
+    verified = [F.when(F.array_contains("_secret_rules", r.name), spans_of(r, i, content)).otherwise(none) for i, r in named]
+    found = F.when(F.col("_secret_rules").isNull(), F.col("_secret_full")).otherwise(F.concat("_secret_full", *verified))
+    return out.select(*own, F.array_sort(found).alias("secrets"))
 
 
 def span_text(spans: Column) -> Column:
