@@ -1,11 +1,13 @@
 """Approximate nearest neighbours with a hierarchical k-means tree and best-bin-first traversal.
 
-A tree of cluster centres is fitted on a bounded sample of the vectors; every vector is then put in the leaf
-that it descends to. A query walks the tree with a priority queue of centres, nearest first, and visits leaves
-in that order. How many it visits is calibrated: for a bounded set of probe queries the true neighbours are
-found by comparing with every vector, and the visits are widened until the wanted share of them is reached.
-
-The search itself is a join of (query, leaf) with the leaves, in blocks of bounded size on either side.
+The top of the tree is fitted on a bounded sample of the vectors. Leaves that hold too many of all vectors are
+split again in Spark, each by a bounded sample of its own, round after round until the wanted leaf size holds, so
+the tree grows with the table and the driver keeps only its top. A query walks the top with a priority queue of
+centres, nearest first; below it, the leaves that it reached are expanded and the nearest visited, in the same
+order. How many a query visits is calibrated: for a bounded set of probe queries the true neighbours are found by
+comparing with every vector, and the visits are widened until the wanted share of them is reached.
+
+The search is a join of queries with whole leaves, many to a task, in blocks of bounded size on either side.
 """
 
 from __future__ import annotations
@@ -23,14 +25,17 @@ from tidepool.llm.shared import inline_table, table, written
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows bounds what the tree is fitted on, probes the queries that visits are calibrated with."""
+    """sample_rows bounds what the top of the tree is fitted on, split_rows what a leaf is split by, probes the
+    queries that visits are calibrated with. Leaves of more than twice leaf_rows are split.
+    """
 
     sample_rows: int = 20_000
+    split_rows: int = 4096
     branching: int = 8
-    leaf_rows: int = 64
+    leaf_rows: int = 16
     rounds: int = 8
     probes: int = 200
-    recall: float = 0.97
+    recall: float = 0.95
     block_rows: int = 4096
     seed: int = 11
 
@@ -63,14 +68,14 @@ class Tree:
             todo += [(k, rows[near == i]) for i, k in enumerate(kids) if (near == i).any()]
         return out
 
-    def visit(self, vector: np.ndarray, visits: int, sizes: np.ndarray, least: int) -> list[int]:
-        """Leaves best bin first: so many, and on until they hold `least` vectors."""
+    def visit(self, vector: np.ndarray, visits: int, sizes: np.ndarray, least: int) -> list[tuple[int, float]]:
+        """Leaves and their distances, best bin first: so many, and on until they hold `least` vectors."""
         queue, out, held = [(0.0, 0)], [], 0
         while queue and (len(out) < visits or held < least):
-            _, node = heapq.heappop(queue)
+            d, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 if sizes[self.leaf[node]]:
-                    out.append(self.leaf[node])
+                    out.append((self.leaf[node], d))
                     held += sizes[self.leaf[node]]
                 continue
             for k in self.children[node]:
@@ -112,11 +117,11 @@ def fit_tree(sample: np.ndarray, s: Settings) -> Tree:
     return tree
 
 
-def usable(vector: str, dims: int | None = None) -> Column:
-    """Not null, not zero, no null or non-finite component; of the given number of components if there is one."""
+def usable(vector: str) -> Column:
+    """Not null, not zero, no null or non-finite component."""
     v = F.col(vector)
     ok = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return F.coalesce(ok & (F.size(v) == dims) if dims else ok, F.lit(False))
+    return F.coalesce(ok, F.lit(False))
 
 
 def _matrix(column) -> np.ndarray:
@@ -171,28 +176,145 @@ def _exact(assigned: DataFrame, ids: np.ndarray, probes: np.ndarray, k: int) ->
     return _top(assigned.select("vec_id", "vector", "leaf").mapInArrow(run, "query_id long, vec_id long, score double, leaf long"), k)
 
 
+def grow(assigned: DataFrame, s: Settings) -> tuple[DataFrame, list[DataFrame]]:
+    """Splits leaves until none holds more than twice leaf_rows. Returns the rows in their final leaves, and each
+    round's splits (leaf, child, centre). Leaves that k-means can't split, of one direction, stay.
+    """
+    assigned, rounds = assigned.withColumn("open", F.lit(True)), []
+
+    def split(key, rows):
+        import pandas as pd
+
+        tree = fit_tree(_unit(_matrix(rows.vector)), s)
+        centres = [tree.centres[i].tolist() for i, leaf in enumerate(tree.leaf) if leaf >= 0] if tree.leaves > 1 else []
+        return pd.DataFrame({"leaf": key[0], "sub": range(len(centres)), "centre": centres})
+
+    def place(key, rows, nodes):
+        if not len(rows):
+            return rows[["vec_id", "vector", "leaf", "open"]]
+        leaf = nodes.child.to_numpy()[_nearest(_unit(_matrix(rows.vector)), _matrix(nodes.centre))] if len(nodes) else rows.leaf
+        return rows[["vec_id", "vector"]].assign(leaf=leaf, open=bool(len(nodes)))
+
+    while True:
+        big = assigned.where("open").groupBy("leaf").agg(F.ceil(F.count("*") / s.block_rows).cast("int").alias("_blocks"), F.count("*").alias("_n"))
+        big = written(big.where(F.col("_n") > 2 * s.leaf_rows).drop("_n"), "large-leaves")
+        if big.isEmpty():
+            return assigned.drop("open"), rounds
+        inside = assigned.join(big, "leaf")
+        order = Window.partitionBy("leaf").orderBy(F.xxhash64("vec_id"), "vec_id")
+        sample = inside.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= s.split_rows).select("leaf", "vector")
+        nodes = sample.groupBy("leaf").applyInPandas(split, "leaf long, sub int, centre array<double>")
+        nodes = written(nodes.select("leaf", F.xxhash64("leaf", "sub", F.lit(len(rounds))).alias("child"), "centre"), "splits")
+        left = inside.withColumn("_block", F.expr("CAST(pmod(xxhash64(vec_id), _blocks) AS INT)"))
+        right = nodes.join(big.select("leaf", F.col("_blocks").alias("_of")), "leaf").withColumn("_block", F.explode(F.expr("sequence(0, _of - 1)")))
+        ddl = "vec_id long, vector array<double>, leaf long, open boolean"
+        moved = left.groupBy("leaf", "_block").cogroup(right.groupBy("leaf", "_block")).applyInPandas(place, ddl)
+        assigned = written(assigned.join(big, "leaf", "left_anti").select(moved.columns).unionByName(moved), "leaves")
+        rounds.append(nodes)
+
+
+def _expand(front: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+    """(query_id, probe, leaf, d): leaves that were split replaced by their children."""
+
+    def near(key, asks, nodes):
+        import pandas as pd
+
+        if not len(asks) or not len(nodes):
+            return asks[["query_id", "probe", "leaf", "d"]]
+        centres, x = _matrix(nodes.centre), _unit(_matrix(asks.probe))
+        d = (x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
+        row = np.repeat(np.arange(len(asks)), len(centres))
+        return pd.DataFrame({"query_id": asks.query_id.to_numpy()[row], "probe": asks.probe.to_numpy()[row],
+                             "leaf": np.tile(nodes.child.to_numpy(), len(asks)), "d": d.ravel()})
+
+    asks = front.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    nodes = nodes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return asks.groupBy("leaf", "_part").cogroup(nodes.groupBy("leaf", "_part")).applyInPandas(
+        near, "query_id long, probe array<double>, leaf long, d double")
+
+
+def _widened(places: list[int | None], recall: float) -> int:
+    """The smallest number of visits that reaches so large a share of places (None: out of reach)."""
+    found = sorted(p for p in places if p is not None)
+    return 1 + found[min(len(found), max(1, int(np.ceil(recall * len(places))))) - 1] if found else 1
+
+
+def reach(tree: Tree, asked: DataFrame, sizes: DataFrame, top: np.ndarray, rounds: list[DataFrame], visits: list[int], least: int, parts: int) -> DataFrame:
+    """(query_id, probe, leaf, place): the leaves that each query visits after as many rounds as visits allows for.
+
+    On every level the nearest leaves up to its number of visits, and on until they hold `least` vectors.
+    """
+
+    def walk(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            probe = batch.column("vector")
+            x = _unit(_arrow_matrix(probe, len(tree.centres[0]))) if batch.num_rows else []
+            found = [tree.visit(v, visits[0], top, least) for v in x]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]).astype(np.int64))
+            flat = [x for f in found for x in enumerate(f)]
+            columns = [pa.array([leaf for _, (leaf, _) in flat], pa.int64()), pa.array([d for _, (_, d) in flat], pa.float64()), pa.array([i for i, _ in flat], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(row), probe.take(row), *columns], ["query_id", "probe", "leaf", "d", "place"])
+
+    front = asked.select("vec_id", "vector").mapInArrow(walk, "query_id long, probe array<double>, leaf long, d double, place int")
+    order = Window.partitionBy("query_id").orderBy("d", "leaf")
+    for nodes, most in zip(rounds, visits[1:]):
+        front = _expand(front.drop("place"), nodes, parts).join(sizes, "leaf", "left").na.fill(least, ["_n"])
+        front = front.where("_n > 0").withColumn("place", F.row_number().over(order) - 1)
+        held = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        front = front.withColumn("_held", held).where((F.col("place") < most) | (F.col("_held") < least)).drop("_n", "_held")
+    return front
+
+
+def calibrated(tree: Tree, asked: DataFrame, assigned: DataFrame, sizes: DataFrame, top: np.ndarray, rounds: list[DataFrame], k: int, s: Settings) -> list[int]:
+    """The visits on each level, by probes: all but the last level may lose half of what the recall allows."""
+    probe = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(s.probes)
+    rows = probe.toPandas()
+    if not len(rows):
+        return [1] * (1 + len(rounds))
+    truth = written(_exact(assigned, rows.vec_id.to_numpy(), _matrix(rows.vector), k).select("query_id", "vec_id", F.col("leaf").alias("l")), "probe-truth")
+    levels = [truth]
+    for nodes in reversed(rounds):  # up the tree: parents of leaves that a round made
+        up = levels[0].join(nodes.select(F.col("child").alias("l"), F.col("leaf").alias("_up")), "l", "left")
+        levels.insert(0, up.withColumn("l", F.coalesce("_up", "l")).drop("_up"))
+    visits = []
+    for level, want in enumerate(levels):
+        front = reach(tree, probe, sizes, top, rounds[:level], [*visits, 2**31 - 1], k + 1, 1)
+        front = front.select("query_id", F.col("leaf").alias("l"), "place")
+        places = [r["place"] for r in want.join(front, ["query_id", "l"], "left").collect()]  # probes * k rows
+        visits.append(_widened(places, s.recall if level == len(rounds) else 1 - (1 - s.recall) / 2))
+    return visits
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settings = Settings(),
             vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest of those found, by cosine, never itself.
 
-    queries has the columns vec_id and vector. Vectors null, zero, with null or non-finite components, with a null
-    id or of another length than most have take no part, as queries or as candidates. Copies of one vector are cut
-    to the k + 1 smallest ids before the search: no larger id can be among k nearest. No rows in, no rows out.
+    queries has the columns vec_id and vector. Vectors null, zero, with null or non-finite components or with a null
+    id take no part, as queries or as candidates. Vectors are compared with those of their own length: the most
+    frequent length by the tree, each other one with all of its length. Of several vectors for one query id the
+    smallest asks. Copies of one vector are cut to the k + 1 smallest ids before the search: no larger id can be
+    among k nearest; repeated rows, alike in id and vector, are one. No rows in, no rows out.
     """
     s, spark = settings, vectors.sparkSession
     own = [F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")]
     clean = vectors.where(usable(vector) & F.col(vec_id).isNotNull()).select(*own)
-    common = clean.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    copies = Window.partitionBy("_h", "vector").orderBy("vec_id")  # the hash spares most comparisons of arrays
+    clean = clean.withColumn("_h", F.xxhash64("vector"))
+    clean = clean.withColumn("_copy", F.dense_rank().over(copies)).withColumn("_last", F.lag("vec_id").over(copies))
+    clean = clean.where((F.col("_copy") <= k + 1) & ~F.col("_last").eqNullSafe(F.col("vec_id")))
+    clean = written(clean.select("vec_id", "vector", F.size("vector").alias("dims")), "vectors")
+    lengths = written(clean.groupBy("dims").agg(F.count("*").alias("_n")), "lengths")
+    common = lengths.orderBy(F.desc("_n"), "dims").first()
     if common is None:
         return inline_table(spark, [], "query_id long, rank int, vec_id long, score double")
-    dims = common["n"]
-    copies = Window.partitionBy("vector").orderBy("vec_id")
-    clean = clean.where(F.size("vector") == dims).withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k + 1).drop("_copy")
-    asked = queries.where(usable(vector) & F.col(vec_id).isNotNull()).select(*own).where(F.size("vector") == dims)
-    clean, asked = written(clean, "vectors"), written(asked.dropDuplicates(["vec_id"]), "queries")
-
-    by_hash = lambda df, n: df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).toPandas()
-    tree = fit_tree(_unit(_matrix(by_hash(clean, s.sample_rows).vector)), s)
+    dims = common["dims"]
+    asked = queries.where(usable(vector) & F.col(vec_id).isNotNull()).select(*own).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asked = written(asked.withColumn("dims", F.size("vector")), "queries")
+    main, mine = clean.where(F.col("dims") == dims), asked.where(F.col("dims") == dims)
+    sample = main.orderBy(F.xxhash64("vec_id"), "vec_id").limit(s.sample_rows).select("vector").toPandas()
+    tree = fit_tree(_unit(_matrix(sample.vector)), s)
 
     def place(batches):
         import pyarrow as pa
@@ -201,55 +323,62 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settin
             leaf = tree.descend(_unit(_arrow_matrix(batch.column("vector"), dims))) if batch.num_rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(leaf)], ["vec_id", "vector", "leaf"])
 
-    assigned = written(clean.mapInArrow(place, "vec_id long, vector array<double>, leaf long"), "leaves")
-    sizes = np.zeros(tree.leaves, np.int64)
-    for r in assigned.groupBy("leaf").count().collect():  # at most as many rows as the tree has leaves
-        sizes[r["leaf"]] = r["count"]
-
-    probe = by_hash(asked, s.probes)
-    visits = tree.leaves
-    if len(probe):
-        ids, x = probe.vec_id.to_numpy(), _matrix(probe.vector)
-        walks = {q: {leaf: i for i, leaf in enumerate(tree.visit(v, tree.leaves, sizes, 0))} for q, v in zip(ids.tolist(), _unit(x))}
-        at = np.array([walks[r["query_id"]][r["leaf"]] for r in _exact(assigned, ids, x, k).collect()])
-        visits = 1
-        while len(at) and (at < visits).mean() < s.recall:  # widen
-            visits += 1
-
-    def walk(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            x = _unit(_arrow_matrix(batch.column("vector"), dims)) if batch.num_rows else []
-            leaves = [tree.visit(v, visits, sizes, k + 1) for v in x]
-            row = np.repeat(np.arange(batch.num_rows), [len(v) for v in leaves]).astype(np.int64)
-            flat = pa.array([i for v in leaves for i in v], pa.int64())
-            ids, own = batch.column("vec_id").take(pa.array(row)), batch.column("vector").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([ids, own, flat], ["query_id", "probe", "leaf"])
-
-    asks = asked.mapInArrow(walk, "query_id long, probe array<double>, leaf long")
-    asks = written(asks, "visits")
-    blocks = assigned.groupBy("leaf").agg(F.ceil(F.count("*") / s.block_rows).cast("int").alias("_blocks"))
-    parts = asks.groupBy("leaf").agg(F.ceil(F.count("*") / s.block_rows).cast("int").alias("_parts"))
-    shape = F.broadcast(blocks.join(parts, "leaf"))  # one row a leaf, and the tree bounds the leaves
-    both = lambda df, key, mine, other: df.join(shape, "leaf").select(
-        "*", F.pmod(F.xxhash64(key), F.col(mine)).cast("int").alias("_mine"),
-        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_other"))
-    left = both(assigned, "vec_id", "_blocks", "_parts").select("vec_id", "vector", "leaf", F.col("_mine").alias("block"), F.col("_other").alias("part"))
-    right = both(asks, "query_id", "_parts", "_blocks").select("query_id", "probe", "leaf", F.col("_other").alias("block"), F.col("_mine").alias("part"))
+    assigned = written(main.select("vec_id", "vector").mapInArrow(place, "vec_id long, vector array<double>, leaf long"), "leaves")
+    top = np.zeros(tree.leaves, np.int64)
+    for r in assigned.groupBy("leaf").count().collect():  # at most as many rows as the top has leaves
+        top[r["leaf"]] = r["count"]
+    assigned, rounds = grow(assigned, s)
+    sizes = written(assigned.groupBy("leaf").agg(F.count("*").alias("_n")), "leaf-sizes")
+    parts = max(1, -(-asked.count() // s.block_rows))
+    visits = calibrated(tree, mine, assigned, sizes, top, rounds, k, s)
+    asks = reach(tree, mine, sizes, top, rounds, visits, k + 1, parts).select("query_id", "leaf")
+
+    # other lengths: leaves by hash, all of them visited
+    other = lengths.where(F.col("dims") != dims).withColumn("_leaves", F.ceil(F.col("_n") / s.block_rows)).drop("_n")
+    named = lambda i: F.xxhash64(F.lit("length"), "dims", i)
+    rest = clean.join(other, "dims").select("vec_id", "vector", named(F.pmod(F.xxhash64("vec_id"), F.col("_leaves"))).alias("leaf"))
+    wide = asked.join(other, "dims").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_leaves") - 1)))
+    held, asks = assigned.unionByName(rest), asks.unionByName(wide.select(F.col("vec_id").alias("query_id"), named(F.col("_i")).alias("leaf")))
+
+    buckets = max(1, -(-clean.count() // s.block_rows))
+    bucket = F.pmod(F.xxhash64("leaf"), F.lit(buckets)).cast("int").alias("bucket")
+    left = held.select("vec_id", "vector", "leaf", bucket, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    right = asks.select("query_id", "leaf", bucket).groupBy("query_id", "bucket").agg(F.collect_list("leaf").alias("leaves"))
+    right = right.join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("probe")), "query_id")
+    right = right.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
 
     def search(key, mine, theirs):
         import pandas as pd
 
-        if not len(mine) or not len(theirs):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, scores = mine.vec_id.to_numpy(), cosines(_matrix(theirs.probe), _matrix(mine.vector))
-        kept = [_best(scores[i], ids, q, k) for i, q in enumerate(theirs.query_id.tolist())]
-        row = np.repeat(np.arange(len(theirs)), [len(b) for b in kept])
-        at = np.concatenate(kept)
-        return pd.DataFrame({"query_id": theirs.query_id.to_numpy()[row], "vec_id": ids[at], "score": scores[row, at]})
-
-    by = ["leaf", "block", "part"]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(mine) and len(theirs):
+            mine = mine.sort_values(["leaf", "vec_id"], kind="stable")
+            ids, vector, leaf = mine.vec_id.to_numpy(), mine.vector.to_numpy(), mine.leaf.to_numpy()
+            asking, probe = theirs.query_id.to_numpy(), theirs.probe.to_numpy()
+            row = np.repeat(np.arange(len(theirs)), [len(x) for x in theirs.leaves])
+            wanted = np.concatenate([np.asarray(x, np.int64) for x in theirs.leaves])
+            order = np.argsort(wanted, kind="stable")
+            row, wanted = row[order], wanted[order]
+            for at in np.unique(wanted).tolist():
+                a, b = np.searchsorted(leaf, (at, at + 1))
+                q = row[slice(*np.searchsorted(wanted, (at, at + 1)))]
+                if a == b:
+                    continue
+                scores = cosines(_matrix(probe[q]), _matrix(vector[a:b]))
+                scores[asking[q][:, None] == ids[None, a:b]] = -np.inf  # never itself
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller
+                r = np.repeat(q, best.shape[1])
+                found.append((asking[r], ids[a:b][best.ravel()], np.take_along_axis(scores, best, 1).ravel()))
+        q, v, score = map(np.concatenate, zip(*found))
+        kept = score > -np.inf
+        q, v, score = q[kept], v[kept], score[kept]
+        order = np.lexsort((v, -score, q))
+        q, v, score = q[order], v[order], score[order]
+        first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.empty(0, np.int64)
+        kept = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+        return pd.DataFrame({"query_id": q[kept], "vec_id": v[kept], "score": score[kept]})
+
+    by = ["bucket", "part"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double")
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
