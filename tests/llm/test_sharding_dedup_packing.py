@@ -1,4 +1,6 @@
+import glob
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -76,11 +78,26 @@ def test_exact_dedup(odd, odd_docs):
 def test_index_grows_by_appends(spark):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     batch = lambda rows: spark.createDataFrame(rows, "doc_id long, text_sha256 string")
-    assert index.add(batch([(1, "a"), (2, "a"), (3, "b")])).count() == 2
-    assert {r["text_sha256"] for r in index.add(batch([(9, "a"), (4, "c")])).collect()} == {"c"}
-    assert {(r["text_sha256"], r["keep_id"], r["group_size"]) for r in index.groups().collect()} == {("a", 9, 3), ("b", 3, 1), ("c", 4, 1)}
-    again = exact_dedup.DigestIndex(spark, name=index.name, path=index.path, buckets=4)
-    assert again.add(batch([(7, "b")])).count() == 0
+    found = lambda df: {(r["text_sha256"], r["keep_id"], r["group_size"], r["novel"]) for r in df.collect()}
+    assert found(index.add(batch([(1, "a"), (2, "a"), (3, "b")]), "one")) == {("a", 2, 2, True), ("b", 3, 1, True)}
+    first = {f: os.stat(f).st_mtime_ns for f in glob.glob(index.path.removeprefix("file://") + "/batch=one/*.parquet")}
+    for _ in range(2):  # the second time in place of the first
+        assert found(index.add(batch([(9, "a"), (4, "c"), (None, "c")]), "two")) == {("a", 9, 3, False), ("c", 4, 2, True)}
+    assert {(r["text_sha256"], r["keep_id"], r["group_size"]) for r in index.groups().collect()} == {("a", 9, 3), ("b", 3, 1), ("c", 4, 2)}
+    assert first and all(os.stat(f).st_mtime_ns == t for f, t in first.items())  # earlier files are left alone
+    again = exact_dedup.DigestIndex(spark, name=index.name, path=index.path)
+    assert found(again.add(batch([(7, "b")]), "three")) == {("b", 7, 2, False)} and again.add(batch([]), "none").count() == 0
+    plan = index.rows().join(batch([(1, "a")]).hint("merge"), "text_sha256")._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan or "SelectedBucketsCount" in plan  # the index side is not shuffled
+    index.forget()
+    assert not spark.catalog.tableExists(index.name)
+
+
+def test_documents_meet_an_index_of_earlier_ones(spark):
+    index, docs = exact_dedup.DigestIndex(spark), lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    exact_dedup.exact_dedup(docs([(1, "x"), (2, "y"), (3, None)]), index, batch="old")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs([(0, "x"), (5, "y"), (6, "z"), (7, "")]), index, batch="new").collect()}
+    assert got == {0: (1, 2, False), 5: (5, 2, True), 6: (6, 1, True), 7: (7, 2, True)}
 
 
 def library(texts):
