@@ -172,12 +172,62 @@ def test_templates(text, accepted):
 
 
 def test_nested_optional_region():
-    made = licenses.compile_template("t", "[[copyright {{6}}]] all rights reserved")
+    made = licenses.compile_template("t", "[[copyright {{6}}]] all rights [[are [[all]]]] reserved")
     assert made.mandatory == {b"all", b"rights", b"reserved"}
-    for text, end in (("all rights reserved", 3), ("copyright 2020 me all rights reserved", 6)):
+    for text, end in (("all rights reserved", 3), ("copyright 2020 me all rights are all reserved", 8)):
         assert made.accepts_from(text.encode().split(), 0) == end
 
 
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 Some Body and others
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+IN THE SOFTWARE."""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#     http://www.apache.org/licenses/LICENSE-2.0
+# Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+# WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations
+# under the License."""
+
+
+def test_whole_licenses(spark):
+    texts = [MIT, "// code\n" + MIT.replace("Some Body", "X").replace("The MIT License (MIT)", ""), MIT.replace("without restriction", "with restrictions"),
+             APACHE, APACHE.replace("either express", "neither express"), "all rights reserved"]
+    out = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")).collect()
+    labels = {r["doc_id"]: {m["label"] for m in r["license_matches"]} for r in out}
+    assert labels == {0: {"mit-text"}, 1: {"mit-text"}, 2: set(), 3: {"apache-2.0", "apache-2.0-notice"}, 4: {"apache-2.0"}, 5: set()}
+
+
+@pytest.mark.parametrize("label, template", licenses.TEMPLATES)
+def test_every_template_accepts_its_own_wording(label, template):
+    def spell(sequence, rich):
+        for part in sequence:
+            if isinstance(part, str):
+                yield part
+            elif isinstance(part, list):
+                yield from spell(part, rich) if rich else ()
+            elif isinstance(part, tuple):
+                yield from part[-1 if rich else 0]
+            else:
+                yield from ["name"] * (part if rich else 0)
+
+    made = licenses.compile_template(label, template)
+    for rich in (False, True):
+        words = [w.encode() for w in spell(licenses.parts(template), rich)]
+        assert made.accepts_from(words, 0) is not None and made.mandatory <= set(words)
+        assert re.match(licenses.as_regex(licenses.parts(template)) + "( |$)", b" ".join([b"", *words]).decode())
+
+
 def test_license_words_and_places(spark, table):
     texts = ["Released under the MIT License.", "MIT-license; mit LICENSE mit license", None, "", "Licensed under the Apache License, Version 2.0.",
              "the GNU General Public License, version 3", "This is licensed under the GNU General Public License, version 3.", "Ünïcode wörd É mit\x00license", "x " * 30000 + "mit license"]

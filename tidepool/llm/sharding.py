@@ -3,9 +3,10 @@
 The sort key is (xxhash64(text), doc_id), so equal texts lie together. A histogram over equal-width
 key ranges ("cells") gives exact rows and bytes below every cell boundary. Cells that a shard boundary
 cuts by more than the tolerance, and cells too large to be ranked by one task, are probed again inside
-the range of keys they really hold: by hash first and, where one text fills the cell, by doc_id. What
-the driver holds is bounded by parameters, never by the rows: at most 2**16 cells to begin with and, in a
-round, (shards + 2 * spread) * fan cells more.
+the range of keys they really hold: by hash first and, where one text fills the cell, by doc_id. A large cell
+gets probes in proportion to its size, so what the driver holds and broadcasts is bounded by parameters, never by
+the rows: at most 2**17 cells to begin with and, in a round, 10 * spread + shards * fan more, with spread at most
+2**15; at some 60 bytes a cell that is less than 30 MB.
 
 Only DataFrame functions are used: no UDF, no RDD.
 """
@@ -46,18 +47,18 @@ def _histogram(keys: DataFrame) -> dict[str, dict]:
     return {r["_cell"]: {k: r[k] for k in _STATS} for r in counted.collect()}
 
 
-def _heavy(cells: dict[str, dict], shards: int, tolerance: float, spread: int) -> list[str]:
-    """Cells to probe again: cut by a shard boundary beyond the tolerance, or too large for one task."""
+def _heavy(cells: dict[str, dict], shards: int, tolerance: float, spread: int, fan: int) -> dict[str, int]:
+    """Cells to probe again and into how many: cut by a shard boundary beyond the tolerance, or too large for one task."""
     rows, total = (sum(c[k] for c in cells.values()) for k in ("rows", "bytes"))
-    found, before = [], 0
+    found, before = {}, 0
     for path in sorted(cells):
         c = cells[path]
         after = before + c["bytes"]
         cut = before * shards // max(total, 1) != (after - 1) * shards // max(total, 1)
-        large = c["rows"] > max(1, rows / spread) or c["bytes"] > total / spread
+        size = max(c["rows"] / max(1, rows / spread), c["bytes"] * spread / max(total, 1))
         one_key = c["h_min"] == c["h_max"] and c["d_min"] == c["d_max"]
-        if not one_key and c["rows"] > 1 and (large or cut and c["bytes"] > tolerance * total / shards):
-            found.append(path)
+        if not one_key and c["rows"] > 1 and (size > 1 or cut and c["bytes"] > tolerance * total / shards):
+            found[path] = fan if cut else min(fan, int(4 * size) + 1)
         before = after
     return found
 
@@ -67,12 +68,12 @@ def plan_splitters(keys: DataFrame, shards: int, tolerance: float, spread: int,
     spark = keys.sparkSession
     keys = keys.withColumn("_cell", _first_cell(first_bits))
     cells, rounds = _histogram(keys), []
-    while heavy := _heavy(cells, shards, tolerance, spread):
+    while heavy := _heavy(cells, shards, tolerance, spread, fan):
         splits = []
-        for path in heavy:
+        for path, probes in heavy.items():
             c = cells.pop(path)
             kind, lo, hi = ("h", c["h_min"], c["h_max"]) if c["h_min"] < c["h_max"] else ("d", c["d_min"], c["d_max"])
-            splits.append({"_path": path, "_kind": kind, "_lo": lo, "_width": -(-(hi - lo + 1) // fan)})
+            splits.append({"_path": path, "_kind": kind, "_lo": lo, "_width": -(-(hi - lo + 1) // probes)})
         rounds.append(splits)
         keys = _refine(keys, inline_table(spark, splits, _SPLIT), "inner")
         cells |= _histogram(keys)
@@ -86,7 +87,7 @@ def shard_documents(
     """All rows of docs with size (UTF-8 bytes + 1), shard (0..shards-1) and slot (gapless from 0 in a shard).
 
     Shards take contiguous key ranges of nearly equal size: each differs from total/shards by at most the
-    tolerance or one document, whichever is more. A task ranks a cell of about cell_bytes, as long as 2**16 cells
+    tolerance or one document, whichever is more. A task ranks a cell of about cell_bytes, as long as 2**17 cells
     suffice, and larger ones beyond. Null texts count as empty, null ids sort first; repeated
     rows (same text and id) stay in one shard in any order; no rows in, no rows out. Columns of docs named
     size, shard or slot are replaced.
@@ -100,8 +101,8 @@ def shard_documents(
     }
     keys = written(docs.select(*[c.alias(k) for k, c in keyed.items()]), "shard-keys")
     total = keys.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    first_bits = min(16, max(12, (total // cell_bytes).bit_length()))
-    rounds, cells = plan_splitters(keys, shards, tolerance, 2**first_bits // 16, first_bits, fan)
+    first_bits = min(17, max(12, (total // cell_bytes).bit_length()))
+    rounds, cells = plan_splitters(keys, shards, tolerance, 2**first_bits // 4, first_bits, fan)
     places, before, filled = [], 0, [0] * shards
     for path in sorted(cells):
         c = cells[path]

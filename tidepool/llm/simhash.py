@@ -175,8 +175,11 @@ def collide(rows: DataFrame, done: int, radius: int, distance: int, partitions:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_links(fps: DataFrame, distance: int = 4, mean_group: int = 8000, most: int = 50_000) -> DataFrame:
-    """Links (a, b) that connect exactly the distinct fingerprints (column fp) at most `distance` bits apart."""
+def near_links(fps: DataFrame, distance: int = 4, mean_group: int = 4000, most: int = 8_000_000) -> DataFrame:
+    """Links (a, b) that connect exactly the distinct fingerprints (column fp) at most `distance` bits apart.
+
+    most bounds the variants that are spelled out under one key: a key with more is extended by further bits.
+    """
     spark = fps.sparkSession
     radius, n = distance // 2, fps.count()
     if 2 * radius != distance:
@@ -188,7 +191,8 @@ def near_links(fps: DataFrame, distance: int = 4, mean_group: int = 8000, most:
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 50_000)
     links, done = [], bits
     while True:
-        crowded = written(rows.groupBy("key").count().where(F.col("count") > most).select("key"), "crowded")
+        each = sum(map(len, masks(_BITS - done, radius)))
+        crowded = written(rows.groupBy("key").count().where(F.col("count") > most // each).select("key"), "crowded")
         if done == _BITS or crowded.isEmpty():
             links.append(collide(rows, done, radius, distance, partitions))
             break
