@@ -32,10 +32,10 @@ class Settings:
     sample_rows: int = 20_000
     split_rows: int = 4096
     branching: int = 8
-    leaf_rows: int = 16
+    leaf_rows: int = 64
     rounds: int = 8
     probes: int = 200
-    recall: float = 0.95
+    recall: float = 0.93
     block_rows: int = 4096
     seed: int = 11
 
@@ -100,7 +100,8 @@ def fit_tree(sample: np.ndarray, s: Settings) -> Tree:
         x = sample[rows]
         parts = []
         if len(rows) > s.leaf_rows and (x != x[0]).any():
-            centres = x[random.choice(len(x), min(s.branching, len(x)), replace=False)]
+            ways = min(s.branching, max(2, 2 * len(x) // s.leaf_rows))
+            centres = x[random.choice(len(x), min(ways, len(x)), replace=False)]
             for _ in range(s.rounds):
                 near = _nearest(x, centres)
                 centres = np.stack([x[near == i].mean(0) if (near == i).any() else c for i, c in enumerate(centres)])
@@ -210,27 +211,56 @@ def grow(assigned: DataFrame, s: Settings) -> tuple[DataFrame, list[DataFrame]]:
         ddl = "vec_id long, vector array<double>, leaf long, open boolean"
         moved = left.groupBy("leaf", "_block").cogroup(right.groupBy("leaf", "_block")).applyInPandas(place, ddl)
         assigned = written(assigned.join(big, "leaf", "left_anti").select(moved.columns).unionByName(moved), "leaves")
-        rounds.append(nodes)
+        held = assigned.select(F.col("leaf").alias("child")).distinct()
+        rounds.append(written(nodes.join(held, "child", "left_semi").select(nodes.columns), "splits"))
 
 
-def _expand(front: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
-    """(query_id, probe, leaf, d): leaves that were split replaced by their children."""
+def _dealt(leaves: DataFrame, asked: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """(query_id, leaf, ...) as one row for each query and bucket of leaves, with lists and the query's vector."""
+    lists = [F.collect_list(c).alias(c) for c in leaves.columns if c != "query_id"]
+    out = leaves.withColumn("bucket", _bucket(buckets)).groupBy("query_id", "bucket").agg(*lists)
+    out = out.join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("probe")), "query_id")
+    return out.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
 
-    def near(key, asks, nodes):
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("leaf"), F.lit(buckets)).cast("int")
+
+
+def _by_leaf(theirs, leaf: np.ndarray):
+    """For each leaf that queries of theirs name: it, its range in the sorted leaves, the queries' rows, where in their lists."""
+    row = np.repeat(np.arange(len(theirs)), [len(x) for x in theirs.leaf])
+    wanted = np.concatenate([np.asarray(x, np.int64) for x in theirs.leaf])
+    order = np.argsort(wanted, kind="stable")
+    own, first = np.unique(wanted[order], return_index=True)
+    for at, a, b in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+        yield at, *np.searchsorted(leaf, (at, at + 1)).tolist(), row[order[a:b]], order[a:b]
+
+
+def _expand(front: DataFrame, asked: DataFrame, nodes: DataFrame, parts: int, block: int) -> DataFrame:
+    """(query_id, leaf, d): leaves that were split replaced by their children, the others as they are."""
+
+    def near(key, nodes, asks):
         import pandas as pd
 
-        if not len(asks) or not len(nodes):
-            return asks[["query_id", "probe", "leaf", "d"]]
-        centres, x = _matrix(nodes.centre), _unit(_matrix(asks.probe))
-        d = (x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
-        row = np.repeat(np.arange(len(asks)), len(centres))
-        return pd.DataFrame({"query_id": asks.query_id.to_numpy()[row], "probe": asks.probe.to_numpy()[row],
-                             "leaf": np.tile(nodes.child.to_numpy(), len(asks)), "d": d.ravel()})
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(asks):
+            nodes = nodes.sort_values(["leaf", "child"])
+            child, leaf, ids = nodes.child.to_numpy(), nodes.leaf.to_numpy(), asks.query_id.to_numpy()
+            centres, x, known = _matrix(nodes.centre), _unit(_matrix(asks.probe)), np.concatenate(list(asks.d))
+            for at, a, b, row, place in _by_leaf(asks, leaf):
+                if a == b:
+                    found.append((ids[row], np.full(len(row), at), known[place]))
+                    continue
+                c = centres[a:b]
+                d = (x[row] ** 2).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x[row] @ c.T
+                found.append((np.repeat(ids[row], b - a), np.tile(child[a:b], len(row)), d.ravel()))
+        return pd.DataFrame(dict(zip(("query_id", "leaf", "d"), map(np.concatenate, zip(*found)))))
 
-    asks = front.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    nodes = nodes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return asks.groupBy("leaf", "_part").cogroup(nodes.groupBy("leaf", "_part")).applyInPandas(
-        near, "query_id long, probe array<double>, leaf long, d double")
+    buckets = max(1, -(-nodes.count() // block))
+    left = nodes.select("*", _bucket(buckets).alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    by = ["bucket", "part"]
+    return left.groupBy(*by).cogroup(_dealt(front, asked, buckets, parts).groupBy(*by)).applyInPandas(near, "query_id long, leaf long, d double")
 
 
 def _widened(places: list[int | None], recall: float) -> int:
@@ -239,8 +269,9 @@ def _widened(places: list[int | None], recall: float) -> int:
     return 1 + found[min(len(found), max(1, int(np.ceil(recall * len(places))))) - 1] if found else 1
 
 
-def reach(tree: Tree, asked: DataFrame, sizes: DataFrame, top: np.ndarray, rounds: list[DataFrame], visits: list[int], least: int, parts: int) -> DataFrame:
-    """(query_id, probe, leaf, place): the leaves that each query visits after as many rounds as visits allows for.
+def reach(tree: Tree, asked: DataFrame, sizes: DataFrame, top: np.ndarray, rounds: list[DataFrame], visits: list[int], least: int,
+          parts: int, block: int) -> DataFrame:
+    """(query_id, leaf, place): the leaves that each query visits after as many rounds as visits allows for.
 
     On every level the nearest leaves up to its number of visits, and on until they hold `least` vectors.
     """
@@ -249,21 +280,20 @@ def reach(tree: Tree, asked: DataFrame, sizes: DataFrame, top: np.ndarray, round
         import pyarrow as pa
 
         for batch in batches:
-            probe = batch.column("vector")
-            x = _unit(_arrow_matrix(probe, len(tree.centres[0]))) if batch.num_rows else []
-            found = [tree.visit(v, visits[0], top, least) for v in x]
-            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]).astype(np.int64))
-            flat = [x for f in found for x in enumerate(f)]
-            columns = [pa.array([leaf for _, (leaf, _) in flat], pa.int64()), pa.array([d for _, (_, d) in flat], pa.float64()), pa.array([i for i, _ in flat], pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(row), probe.take(row), *columns], ["query_id", "probe", "leaf", "d", "place"])
-
-    front = asked.select("vec_id", "vector").mapInArrow(walk, "query_id long, probe array<double>, leaf long, d double, place int")
+            ids = batch.column("vec_id").to_numpy()
+            x = _unit(_arrow_matrix(batch.column("vector"), len(tree.centres[0]))) if batch.num_rows else []
+            for q, v in zip(ids.tolist(), x):
+                leaf, d = zip(*tree.visit(v, visits[0], top, least))
+                columns = [pa.array([q] * len(leaf), pa.int64()), pa.array(leaf, pa.int64()), pa.array(d, pa.float64()), pa.array(range(len(leaf)), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "leaf", "d", "place"])
+
+    front = asked.select("vec_id", "vector").mapInArrow(walk, "query_id long, leaf long, d double, place int")
     order = Window.partitionBy("query_id").orderBy("d", "leaf")
     for nodes, most in zip(rounds, visits[1:]):
-        front = _expand(front.drop("place"), nodes, parts).join(sizes, "leaf", "left").na.fill(least, ["_n"])
-        front = front.where("_n > 0").withColumn("place", F.row_number().over(order) - 1)
+        front = _expand(front.drop("place"), asked, nodes, parts, block).join(sizes, "leaf", "left").na.fill(least, ["_n"])
         held = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        front = front.withColumn("_held", held).where((F.col("place") < most) | (F.col("_held") < least)).drop("_n", "_held")
+        front = front.withColumn("place", F.row_number().over(order) - 1).withColumn("_held", held)
+        front = front.where((F.col("place") < most) | (F.col("_held") < least)).drop("_n", "_held")
     return front
 
 
@@ -280,7 +310,7 @@ def calibrated(tree: Tree, asked: DataFrame, assigned: DataFrame, sizes: DataFra
         levels.insert(0, up.withColumn("l", F.coalesce("_up", "l")).drop("_up"))
     visits = []
     for level, want in enumerate(levels):
-        front = reach(tree, probe, sizes, top, rounds[:level], [*visits, 2**31 - 1], k + 1, 1)
+        front = reach(tree, probe, sizes, top, rounds[:level], [*visits, 2**31 - 1], k + 1, 1, s.block_rows)
         front = front.select("query_id", F.col("leaf").alias("l"), "place")
         places = [r["place"] for r in want.join(front, ["query_id", "l"], "left").collect()]  # probes * k rows
         visits.append(_widened(places, s.recall if level == len(rounds) else 1 - (1 - s.recall) / 2))
@@ -329,9 +359,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settin
         top[r["leaf"]] = r["count"]
     assigned, rounds = grow(assigned, s)
     sizes = written(assigned.groupBy("leaf").agg(F.count("*").alias("_n")), "leaf-sizes")
-    parts = max(1, -(-asked.count() // s.block_rows))
+    parts = max(1, -(-asked.count() // 1024))
     visits = calibrated(tree, mine, assigned, sizes, top, rounds, k, s)
-    asks = reach(tree, mine, sizes, top, rounds, visits, k + 1, parts).select("query_id", "leaf")
+    asks = reach(tree, mine, sizes, top, rounds, visits, k + 1, parts, s.block_rows).select("query_id", "leaf")
 
     # other lengths: leaves by hash, all of them visited
     other = lengths.where(F.col("dims") != dims).withColumn("_leaves", F.ceil(F.col("_n") / s.block_rows)).drop("_n")
@@ -341,11 +371,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settin
     held, asks = assigned.unionByName(rest), asks.unionByName(wide.select(F.col("vec_id").alias("query_id"), named(F.col("_i")).alias("leaf")))
 
     buckets = max(1, -(-clean.count() // s.block_rows))
-    bucket = F.pmod(F.xxhash64("leaf"), F.lit(buckets)).cast("int").alias("bucket")
-    left = held.select("vec_id", "vector", "leaf", bucket, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    right = asks.select("query_id", "leaf", bucket).groupBy("query_id", "bucket").agg(F.collect_list("leaf").alias("leaves"))
-    right = right.join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("probe")), "query_id")
-    right = right.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    left = held.select("vec_id", "vector", "leaf", _bucket(buckets).alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    right = _dealt(asks.select("query_id", "leaf"), asked, buckets, parts)
 
     def search(key, mine, theirs):
         import pandas as pd
@@ -355,13 +382,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settin
             mine = mine.sort_values(["leaf", "vec_id"], kind="stable")
             ids, vector, leaf = mine.vec_id.to_numpy(), mine.vector.to_numpy(), mine.leaf.to_numpy()
             asking, probe = theirs.query_id.to_numpy(), theirs.probe.to_numpy()
-            row = np.repeat(np.arange(len(theirs)), [len(x) for x in theirs.leaves])
-            wanted = np.concatenate([np.asarray(x, np.int64) for x in theirs.leaves])
-            order = np.argsort(wanted, kind="stable")
-            row, wanted = row[order], wanted[order]
-            for at in np.unique(wanted).tolist():
-                a, b = np.searchsorted(leaf, (at, at + 1))
-                q = row[slice(*np.searchsorted(wanted, (at, at + 1)))]
+            for _, a, b, q, _ in _by_leaf(theirs, leaf):
                 if a == b:
                     continue
                 scores = cosines(_matrix(probe[q]), _matrix(vector[a:b]))
