@@ -68,13 +68,14 @@ def test_communities(spark):
     mentions = spark.createDataFrame([("e1", "l2"), ("e2", "l1"), ("e3", "l9")], "entity_id string, locator string")
     edges = spark.createDataFrame([("e1", "e3", "l5")], "source_id string, target_id string, locator string")
     out = {r["title"]: r for r in graph.build_communities(members, entities, mentions, edges).collect()}
-    assert out["API、Redis"]["source_locators"] == ["l1", "l2", "l5"] and out["API、Redis"]["member_ids"] == ["e2", "e1"]
+    assert out["API、Redis"]["source_locators"] == ["l1", "l2", "l5"] and out["API、Redis"]["members"] == 2
+    assert [(r["level"], r["members"], r["source_locators"]) for r in out.values() if r["level"]] == [(1, 3, ["l1", "l2", "l5", "l9"])]
     assert out["Solo"]["source_locators"] == ["l5", "l9"]
     built = graph.build_communities(members, entities, mentions, edges)
     chunks = spark.createDataFrame([("l1", "one"), ("l2", "two"), ("l5", "five"), ("l9", "nine")], "locator string, content string")
-    gate = graph.community_gate(built, entities, chunks).first()
-    assert gate["passed"] and gate["communities"] == 2
-    assert not graph.community_gate(built, entities, chunks.where("locator <> 'l9'")).first()["passed"]
+    gate = graph.community_gate(built, members, entities, chunks).first()
+    assert gate["passed"] and gate["communities"] == 3
+    assert not graph.community_gate(built, members, entities, chunks.where("locator <> 'l9'")).first()["passed"]
     summaries = {r["title"]: r["summary"] for r in graph.community_summaries(built, chunks).collect()}
     assert summaries["API、Redis"].endswith("one；two；five")
 

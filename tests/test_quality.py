@@ -78,10 +78,10 @@ def test_manifest_and_drift(spark):
 
 
 def test_triage_follows_the_last_feedback(spark):
-    df = spark.createDataFrame([(1, False, "wrong", 1, 1), (1, True, None, 2, 2), (2, True, None, 1, 3), (3, True, None, 1, 4), (3, False, "outdated", 2, 5)],
+    df = spark.createDataFrame([(1, False, "incorrect_answer", 1, 1), (1, True, None, 2, 2), (2, True, None, 1, 3), (3, True, None, 1, 4), (3, False, "outdated_information", 2, 5), (3, False, "unheard", 3, 6), (2, True, "other", 4, 7)],
                                "answer_id long, helpful boolean, reason string, ts long, event_id long")
-    out = {r["answer_id"]: (r["state"], r["category"]) for r in workflow.triage(df).collect()}
-    assert out == {1: ("dismissed", "other"), 3: ("open", "governance")}
+    out = {r["answer_id"]: (r["state"], r["category"]) for r in workflow.triage(workflow.accepted(df)).collect()}
+    assert out == {1: ("dismissed", "generation_grounding"), 3: ("open", "knowledge_stale_or_conflict")}
 
 
 def test_reviews(spark):
@@ -100,7 +100,10 @@ def test_html(spark):
     ("https://Example.ORG.", "https://example.org/", None), ("HTTPS://a.org/x?q=1#f", "https://a.org/x?q=1", None), ("http://a.org", None, "scheme"),
     ("https://127.0.0.1/x", None, "private_host"), ("https://localhost/", None, "private_host"), ("https://u:p@a.org/", None, "userinfo"),
     ("https://10.1.2.3", None, "private_host"), ("https://8.8.8.8/a", "https://8.8.8.8/a", None), ("https://a.org:8443/p", "https://a.org:8443/p", None),
-    ("https:///x", None, "host"), ("https://a.org:99999/", None, "port"),
+    ("https:///x", None, "host"), ("https://a.org:99999/", None, "port"), ("https://a.org:x1/", None, "port"),
+    ("https://[::1]/x", None, "private_host"), ("https://[fd00::1]:8080/", None, "private_host"), ("https://[::ffff:10.0.0.1]/", None, "private_host"),
+    ("https://[2606:4700::1111]:8443/a?b", "https://[2606:4700::1111]:8443/a?b", None), ("https://[2001:db8::1]/", None, "private_host"), ("https://[::1/x", None, "host"),
+    ("https://2130706433/", None, "private_host"), ("https://0x7f.1/", None, "private_host"), ("https://127.1", None, "private_host"), ("https://010.8.8.8/", None, "private_host"),
 ])
 def test_urls(spark, url, out, error):
     r = spark.createDataFrame([(url,)], "u string").select(web.checked_url(F.col("u")).alias("r")).first()["r"]

@@ -63,13 +63,14 @@ def has_low_information(title: Column, content: Column, least: int = 12) -> Colu
 
 
 def head_tail(text: Column, most: int, marker: str) -> Column:
-    """Keeps the start and the end around marker; a fence left open is closed."""
+    """Keeps the start and the end of a longer text around marker; a fence that the cut leaves open is closed."""
     usable = max(32, most - len(marker))
     head = max(16, int(usable * 0.72))
-    tail = usable - head
-    joined = F.concat(F.rtrim(F.substring(text, 1, head)), F.lit(marker), F.ltrim(F.right(text, F.lit(tail))))
-    cut = F.when(F.length(text) <= most, text).when(F.length(joined) >= F.length(text), F.substring(text, 1, most)).otherwise(joined)
-    return F.when(F.regexp_count(cut, F.lit("```")) % 2 == 1, F.concat(cut, F.lit("\n```"))).otherwise(cut)
+    tail = max(16, usable - head)
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+$", "")
+    joined = F.concat(bare(F.substring(text, 1, head)), F.lit(marker), F.regexp_replace(F.right(text, F.lit(tail)), r"(?U)^\s+", ""))
+    closed = F.when(F.regexp_count(joined, F.lit("```")) % 2 == 1, F.concat(bare(joined), F.lit("\n```"))).otherwise(joined)
+    return F.when(F.length(text) <= most, text).when(F.length(joined) >= F.length(text), F.substring(text, 1, max(1, most))).otherwise(closed)
 
 
 def _grams(run: Column, n: int) -> Column:

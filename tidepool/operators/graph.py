@@ -150,6 +150,8 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -232,28 +234,40 @@ def louvain(vertices: DataFrame, pairs: DataFrame, by: str = "kb_id", vertex: st
         return pd.DataFrame({by: own[by].iloc[0] if len(own) else [], vertex: list(found), "component": list(found.values())})
 
     schema = StructType([vertices.schema[by], vertices.schema[vertex], StructField("component", vertices.schema[vertex].dataType)])
-    return vertices.select(by, vertex).groupBy(by).cogroup(pairs.select(by, "a", "b", "weight").groupBy(by)).applyInPandas(detect, schema)
+    return vertices.select(by, vertex).groupBy(by).cogroup(pairs.select(F.col(by).alias(by), "a", "b", "weight").groupBy(by)).applyInPandas(detect, schema)
 
 
-def build_communities(members: DataFrame, entities: DataFrame, mentions: DataFrame, edges: DataFrame, level: int = 0) -> DataFrame:
-    """One row per community: key, title, members (most mentioned first) and its capped, sorted source chunks.
+def _key(n: str, digests: str) -> Column:
+    """A key of a set of ids that needs no list of them: their number and the sum of their digests."""
+    return F.substring(F.sha2(F.concat_ws("|", F.col(n).cast("string"), F.col(digests).cast("string")), 256), 1, 32)
 
-    members: entity_id, component. An edge's chunk counts for the groups of both its ends.
+
+def build_communities(members: DataFrame, entities: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per community of level 0, and one of level 1 over them all where there are several.
+
+    (level, component, community_key, title, members, source_locators): title from the four most mentioned members,
+    the first sorted source chunks, 80 on level 0 and 120 on level 1. members: entity_id, component; they are
+    counted, never gathered. An edge's chunk counts for the groups of both its ends.
     """
-    cap = 80 if level == 0 else 120
     full = members.join(entities, "entity_id")
-    order = F.struct((-F.col("mention_count")).alias("m"), "normalized_name", "entity_id", "name")
-    group = full.groupBy("component").agg(
-        F.array_sort(F.collect_list(order)).alias("_m"), F.array_sort(F.collect_set("entity_id")).alias("_ids"))
+    own = F.conv(F.substring(F.md5("entity_id"), 1, 15), 16, 10).cast("decimal(38,0)")
+    group = full.groupBy("component").agg(F.count("*").alias("members"), F.sum(own).alias("_d"))
+    order = [F.desc("mention_count"), F.col("normalized_name"), F.col("entity_id")]
+    best = ranked(full, ["component"], order, "_n").where(F.col("_n") <= 4).groupBy("component").agg(
+        F.array_sort(F.collect_list(F.struct("_n", F.substring("name", 1, 40).alias("name")))).alias("_names"))
     ends = edges.select(F.col("source_id").alias("entity_id"), "locator").union(edges.select("target_id", "locator"))
     sources = mentions.select("entity_id", "locator").union(ends).join(members, "entity_id").select("component", "locator").distinct()
-    sources = ranked(sources, ["component"], [F.col("locator")], "_n").where(F.col("_n") <= cap)
+    sources = ranked(sources, ["component"], [F.col("locator")], "_n").where(F.col("_n") <= 80)
+    none = F.array().cast("array<string>")
     chunks = sources.groupBy("component").agg(F.array_sort(F.collect_list("locator")).alias("source_locators"))
-    names = F.transform(F.slice("_m", 1, 4), lambda m: F.substring(m["name"], 1, 40))
-    return group.join(chunks, "component", "left").select(
-        F.lit(level).alias("level"), F.substring(F.sha2(F.concat_ws(",", "_ids"), 256), 1, 32).alias("community_key"),
-        F.array_join(names, "、").alias("title"), F.transform("_m", lambda m: m["entity_id"]).alias("member_ids"),
-        F.coalesce("source_locators", F.array().cast("array<string>")).alias("source_locators"))
+    title = F.array_join(F.transform("_names", lambda m: m["name"]), "、").alias("title")
+    low = group.join(best, "component").join(chunks, "component", "left").select(
+        F.lit(0).alias("level"), "component", _key("members", "_d").alias("community_key"), title, "members", F.coalesce("source_locators", none).alias("source_locators"))
+    first = sources.select("locator").distinct().orderBy("locator").limit(120).agg(F.array_sort(F.collect_list("locator")).alias("source_locators"))
+    whole = group.agg(F.count("*").alias("_groups"), F.sum("members").alias("members"), F.sum("_d").alias("_d")).where("_groups > 1").join(first)  # one row each
+    high = whole.select(F.lit(1).alias("level"), F.lit(None).cast(members.schema["component"].dataType).alias("component"), _key("members", "_d").alias("community_key"),
+                        F.lit("知识库全局主题").alias("title"), "members", F.coalesce("source_locators", none).alias("source_locators"))
+    return low.unionByName(high)
 
 
 def community_summaries(communities: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -281,16 +295,15 @@ def community_recall(queries: DataFrame, communities: DataFrame, limit: int, mos
     return ranked(last.withColumn("score", 1 / (1 + F.col("_p"))).drop("_p"), ["query_id"], [F.desc("score"), F.col("locator")]).where(F.col("rank") <= limit)
 
 
-def community_gate(communities: DataFrame, entities: DataFrame, chunks: DataFrame) -> DataFrame:
+def community_gate(communities: DataFrame, members: DataFrame, entities: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: how many member and chunk references resolve, and whether the index passes (all do, and there are any)."""
 
-    def resolved(column: str, known: DataFrame, key: str) -> DataFrame:
-        flat = communities.select(F.explode(column).alias(key))
-        return flat.join(known.select(key, F.lit(True).alias("_k")), key, "left").agg(
-            F.count("*").alias("n"), F.count("_k").alias("ok"), F.coalesce(F.try_divide(F.count("_k"), F.count("*")), F.lit(0.0)).alias("share"))
+    def resolved(flat: DataFrame, known: DataFrame, key: str) -> DataFrame:
+        return flat.join(known.select(key).distinct().withColumn("_k", F.lit(True)), key, "left").agg(
+            F.count("*").alias("n"), F.coalesce(F.try_divide(F.count("_k"), F.count("*")), F.lit(0.0)).alias("share"))
 
-    m = resolved("member_ids", entities.select("entity_id").distinct(), "entity_id")
-    c = resolved("source_locators", chunks.select("locator").distinct(), "locator")
+    m = resolved(members.select("entity_id"), entities, "entity_id")
+    c = resolved(communities.select(F.explode("source_locators").alias("locator")), chunks, "locator")
     one = communities.agg(F.count("*").alias("communities"))
     both = one.join(m.select(F.col("n").alias("members"), F.col("share").alias("member_coverage"))).join(
         c.select(F.col("n").alias("sources"), F.col("share").alias("chunk_coverage")))

@@ -167,8 +167,8 @@ def _cover_density(places) -> float:
     return total
 
 
-def full_text_recall(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """Chunks that hold every word of the question, by cover density s mapped to s / (1 + s).
+def full_text_recall(queries: DataFrame, chunks: DataFrame, limit: int | None = None) -> DataFrame:
+    """Chunks that hold every word of the question, by cover density s mapped to s / (1 + s); all, or the best.
 
     An optional lexical mode beside keyword recall. Words are runs of letters and digits, lower-cased.
     """
@@ -178,9 +178,12 @@ def full_text_recall(queries: DataFrame, chunks: DataFrame, limit: int) -> DataF
 
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     asked = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("_w")).where(F.size("_w") > 0)
-    asked = asked.select("query_id", F.size("_w").alias("_n"), F.explode("_w").alias("term"))
-    placed = chunks.select("locator", F.posexplode(words(F.col("content"))).alias("pos", "term"))
-    met = placed.join(asked, "term").groupBy("query_id", "locator", "_n").agg(
-        F.count_distinct("term").alias("_found"), F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("_p"))
-    scored = met.where("_found = _n").withColumn("_s", density("_p"))
-    return top_k(scored.select("query_id", "locator", (F.col("_s") / (1 + F.col("_s"))).alias("score")), limit)
+    terms = asked.select("query_id", F.size("_w").alias("_n"), F.explode("_w").alias("term"))
+    held = chunks.select("locator", F.explode(F.array_distinct(words(F.col("content")))).alias("term"))
+    met = held.join(terms, "term").groupBy("query_id", "locator", "_n").agg(F.count("*").alias("_found")).where("_found = _n")
+    # places only of the chunks that hold all words
+    full = met.select("query_id", "locator").join(asked, "query_id").join(chunks.select("locator", "content"), "locator")
+    placed = F.filter(F.transform(words(F.col("content")), lambda w, i: F.struct(i.alias("pos"), w.alias("term"))), lambda x: F.array_contains("_w", x["term"]))
+    scored = full.withColumn("_s", density(placed))
+    scored = scored.select("query_id", "locator", (F.col("_s") / (1 + F.col("_s"))).alias("score"))
+    return scored if limit is None else top_k(scored, limit)

@@ -10,26 +10,32 @@ from tidepool.operators.ranking import ranked
 
 #: What a reason of unhelpful feedback is filed under.
 CATEGORIES = {
-    "not_relevant": "retrieval", "missing_source": "retrieval", "outdated": "governance", "wrong": "answer",
-    "incomplete": "context", "citation_error": "citation", "unsafe": "safety",
+    "incorrect_answer": "generation_grounding", "missing_evidence": "retrieval_miss", "irrelevant_evidence": "rerank_error",
+    "citation_problem": "generation_grounding", "outdated_information": "knowledge_stale_or_conflict", "other": "product_or_bug",
 }
 TERMINAL = ("resolved", "dismissed")
 
 
 def category(reason: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv]), reason), F.lit("other"))
+    """What a reason is filed under; null for one that isn't known."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv]), reason)
+
+
+def accepted(feedback: DataFrame) -> DataFrame:
+    """Feedback with a known reason if it is unhelpful and with none if it is helpful; the rest is refused."""
+    known = F.coalesce(F.col("reason").isin(*CATEGORIES), F.lit(False))
+    return feedback.where((~F.col("helpful") & known) | (F.col("helpful") & F.col("reason").isNull()))
 
 
 def triage(feedback: DataFrame, ts: str = "ts", order: str = "event_id") -> DataFrame:
     """(answer_id, state, opened, category) after all feedback: unhelpful opens or reopens, helpful dismisses what is open.
 
-    The state depends on the last event and on whether any was unhelpful, so no fold over the log is needed.
+    The state depends on the last event and the category on the last unhelpful one, so no fold over the log is needed.
     """
-    last = F.max_by(F.struct("helpful", category(F.col("reason")).alias("category")), F.struct(ts, order))
-    opened = F.count_if(~F.col("helpful"))
-    per = feedback.groupBy("answer_id").agg(last.alias("_l"), opened.alias("opened"))
-    return per.where("opened > 0").select(
-        "answer_id", F.when(F.col("_l.helpful"), "dismissed").otherwise("open").alias("state"), "opened", "_l.category")
+    at, bad = F.struct(ts, order), ~F.col("helpful")
+    per = feedback.groupBy("answer_id").agg(
+        F.max_by("helpful", at).alias("_helpful"), F.max_by(category(F.col("reason")), F.when(bad, at)).alias("category"), F.count_if(bad).alias("opened"))
+    return per.where("opened > 0").select("answer_id", F.when(F.col("_helpful"), "dismissed").otherwise("open").alias("state"), "opened", "category")
 
 
 def review(items: DataFrame) -> DataFrame:

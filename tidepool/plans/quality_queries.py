@@ -146,11 +146,14 @@ def judge_summary(c):
 
 
 @query("""SELECT user_id AS answer_id, CASE WHEN arg_max(event_type = 'purchase', (ts, event_id)) THEN 'dismissed' ELSE 'open' END AS state, count(*) FILTER (event_type <> 'purchase') AS opened,
-  CASE arg_max(event_type, (ts, event_id)) WHEN 'view' THEN 'retrieval' WHEN 'click' THEN 'governance' ELSE 'other' END AS category FROM events GROUP BY user_id HAVING count(*) FILTER (event_type <> 'purchase') > 0""")
+  CASE arg_max(event_type, (ts, event_id)) FILTER (event_type <> 'purchase') WHEN 'view' THEN 'retrieval_miss' WHEN 'click' THEN 'knowledge_stale_or_conflict' ELSE 'product_or_bug' END AS category
+  FROM events GROUP BY user_id HAVING count(*) FILTER (event_type <> 'purchase') > 0""")
 def feedback_fold(c):
-    reason = F.when(F.col("event_type") == "view", "not_relevant").when(F.col("event_type") == "click", "outdated").otherwise("else")
-    e = c.table("events").select(F.col("user_id").alias("answer_id"), (F.col("event_type") == "purchase").alias("helpful"), reason.alias("reason"), "ts", "event_id")
-    return workflow.triage(e)
+    """Purchases as helpful feedback, all other events as unhelpful."""
+    kind = F.col("event_type")
+    reason = F.when(kind == "view", "missing_evidence").when(kind == "click", "outdated_information").when(kind != "purchase", "other")
+    e = c.table("events").select(F.col("user_id").alias("answer_id"), (kind == "purchase").alias("helpful"), reason.alias("reason"), "ts", "event_id")
+    return workflow.triage(workflow.accepted(e))
 
 
 @query("""SELECT o_orderkey AS case_id, strftime(o_orderdate, '%Y-%m-%d') AS created, [o_orderpriority] AS titles, [o_orderstatus] AS keywords FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate, o_orderkey LIMIT 20""")

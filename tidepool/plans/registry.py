@@ -2,6 +2,7 @@
 
 from tidepool.plans import (  # noqa: F401
     graph_queries,
+    lifecycle_queries,
     quality_queries,
     relational_queries,
     retrieval_queries,

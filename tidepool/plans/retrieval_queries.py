@@ -223,10 +223,9 @@ def search_decisions(c):
     return decisions
 
 
-@query(rf"""WITH {CHUNKS}, q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(left(text, 24)), '[\p{{L}}\p{{N}}_]+')) AS w FROM benchmark),
+@query(rf"""WITH {CHUNKS}, q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM benchmark),
   t AS (SELECT query_id, len(w) AS n, unnest(w) AS term FROM q), d AS (SELECT locator, unnest(list_distinct(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+'))) AS term FROM chunks)
   SELECT query_id, count(*) AS matches FROM (SELECT query_id, locator FROM t JOIN d USING (term) GROUP BY query_id, locator, n HAVING count(*) = n) GROUP BY query_id""")
 def full_text_match(c):
-    """How many chunks hold every word of a question's first 24 characters."""
-    asked = c.table("benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 24).alias("query"))
-    return recall.full_text_recall(asked, c.chunks(), 1_000_000).groupBy("query_id").agg(F.count("*").alias("matches"))
+    """How many chunks hold every word of a question."""
+    return recall.full_text_recall(c.questions(), c.chunks()).groupBy("query_id").agg(F.count("*").alias("matches"))

@@ -48,7 +48,8 @@ def low_information(c):
     return selection.drop_low_information(d).select("doc_id")
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE rtrim(left(text, 140)) || ' ... ' || ltrim(right(text, 55)) END AS cut FROM documents""")
+@query(r"""SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN (length(j) - length(replace(j, '```', ''))) // 3 % 2 = 1 THEN regexp_replace(j, '\s+$', '') || chr(10) || '```' ELSE j END AS cut
+  FROM (SELECT doc_id, text, regexp_replace(left(text, 140), '\s+$', '') || ' ... ' || regexp_replace(right(text, 55), '^\s+', '') AS j FROM documents)""")
 def truncate_head_tail(c):
     return c.table("documents").select("doc_id", text.head_tail(F.col("text"), 200, _MARK).alias("cut"))
 

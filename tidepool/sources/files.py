@@ -15,7 +15,7 @@ MEDIA_TYPES = {
 }
 #: Parts of attribute names that never leave the process.
 DENIED_ATTRIBUTES = (
-    "authorization", "cookie", "password", "secret", "token", "api_key", "apikey", "prompt", "query", "content", "answer", "message", "body",
+    "api_key", "authorization", "content", "document", "evidence", "key", "prompt", "query", "secret", "token", "url", "user", "workspace",
 )
 
 

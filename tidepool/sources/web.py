@@ -59,7 +59,9 @@ def html_content(html: pd.Series) -> pd.DataFrame:
 
 
 def host(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"\.+$", "")
+    """The host in lower case, an IPv6 address with its brackets."""
+    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]*)", 1)
+    return F.regexp_replace(F.lower(found), r"\.+$", "")
 
 
 def _path(url: Column) -> Column:
@@ -67,13 +69,18 @@ def _path(url: Column) -> Column:
 
 
 def private_host(name: Column) -> Column:
-    """Local names and addresses of networks that aren't public. Names are not resolved."""
+    """Local names, addresses of networks that aren't public, and numbers that are no plain address. Names are not resolved.
+
+    Of IPv6 only global unicast addresses (2000::/3) are public, without those for documentation, tunnels and protocols.
+    """
     part = lambda i: F.try_element_at(F.split(name, r"\."), F.lit(i)).try_cast("int")
     a, b = part(1), part(2)
-    address = name.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    number, address = name.rlike(r"^(0x[0-9a-f]*|\d+)(\.(0x[0-9a-f]*|\d+))*$"), name.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$")
     inner = (a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
              | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19)))
-    return name.isin("localhost", "localhost.localdomain") | name.endswith(".local") | (address & F.coalesce(inner, F.lit(False)))
+    global6 = name.rlike(r"^\[[23][0-9a-f]{3}:") & ~name.rlike(r"^\[(2001:(0{0,3}:|0?db8:|0{0,2}[12][0-9a-f]:)|2002:|3fff:)")
+    local = name.isin("localhost", "localhost.localdomain") | name.endswith(".localhost") | name.endswith(".local")
+    return local | (number & ~address) | (address & F.coalesce(inner, F.lit(False))) | (name.startswith("[") & ~global6)
 
 
 def checked_url(url: Column, allow_http: bool = False) -> Column:
@@ -86,8 +93,8 @@ def checked_url(url: Column, allow_http: bool = False) -> Column:
     name = host(text)
     schemes = ("https", "http") if allow_http else ("https",)
     error = (F.when(~scheme.isin(*schemes), "scheme").when(authority.contains("@"), "userinfo").when(name == "", "host")
-             .when(authority.rlike(r":[^:\]]*[^0-9:\]][^:\]]*$") | (F.coalesce(port.try_cast("int"), F.lit(0)) > 65535), "port")
-             .when(private_host(name), "private_host"))
+             .when(~authority.contains("[") & authority.rlike(r":.*[^0-9]") | (F.coalesce(port.try_cast("int"), F.lit(0)) > 65535), "port")
+             .when(~authority.rlike(r"^(\[[0-9A-Fa-f:.]+\]|[^\[\]:]*)(:[0-9]*)?$"), "host").when(private_host(name), "private_host"))
     path = F.when(_path(text) == "", "/").otherwise(_path(text))
     whole = F.concat(scheme, F.lit("://"), name, F.when(port != "", F.concat(F.lit(":"), port)).otherwise(""), path, F.when(query == "?", "").otherwise(query))
     return F.struct(F.when(error.isNull(), whole).alias("url"), error.alias("error"))
