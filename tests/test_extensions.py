@@ -77,8 +77,9 @@ def test_tag_decisions(spark):
 
 
 def test_mind_map(spark):
-    assert text.themes("[Title]\nOne. Two! **Three**? Four.\n\n\n\nonly") == [{"title": "Title", "points": ["One.", "Two!", "Three?"]}]
-    assert text.themes(None)[0]["title"] == "尚待整理"
+    df = spark.createDataFrame([(1, "[Title]\nOne. Two! **Three**? Four.\n\n\n\nonly"), (2, None)], "i int, t string").select("i", text.draft_themes(F.col("t")).alias("x"))
+    got = {r["i"]: [(x["title"], x["points"]) for x in r["x"]] for r in df.collect()}
+    assert got[1] == [("Title", ["One.", "Two!", "Three?"])] and got[2][0][0] == "尚待整理"
     df = spark.createDataFrame([(1, 0, ["a", "b"]), (1, 1, ["c"])], "map_id long, theme int, points array<string>")
     y = {(r["theme"], r["point"]): r["y"] for r in workflow.mind_map_layout(df).collect()}
     assert y == {(0, None): -116.0, (0, 0): -151.0, (0, 1): -81.0, (1, None): 35.0, (1, 0): 35.0}

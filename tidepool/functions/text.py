@@ -169,27 +169,31 @@ def compacted(value: str | None, most: int) -> str:
     return re.sub(r"\s+", " ", bare).strip()[:most]
 
 
-def label(value: str | None, most: int) -> str:
-    return re.sub("[#`|*_]+", "", compacted(value, most)).strip(" -:：。")[:most]
-
-
-def themes(context: str | None, most: int = 6) -> list[dict]:
-    """A draft of themes from blocks of text: the first line names one, its first three sentences are the points."""
-    out = []
-    for block in (context or "").split("\n\n")[:most]:
-        lines = [line for line in map(str.strip, block.splitlines()) if line]
-        if not lines:
-            continue
-        sentences = re.split(r"(?<=[。！？.!?])\s*", " ".join(lines[1:]))[:3]
-        points = [p for p in (label(s, 80) for s in sentences) if p]
-        if (title := label(lines[0].strip("[]"), 48)) and points:
-            out.append({"title": title, "points": points})
-    return out or [{"title": "尚待整理", "points": ["当前知识库中没有足够的可用资料。"]}]
-
-
-@F.pandas_udf(ArrayType(StructType([StructField("title", StringType()), StructField("points", ArrayType(StringType()))])))
-def draft_themes(context: pd.Series) -> pd.Series:
-    return context.map(themes)
+def label(text: Column, most: int) -> Column:
+    """A short label from normalised text: no images and no Markdown marks, squeezed, cut."""
+    bare = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", "")
+    cut = F.substring(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")), 1, most)
+    plain = F.regexp_replace(cut, r"[#`|*_]+", "")
+    return F.substring(F.regexp_replace(plain, r"^[ \-:：。]+|[ \-:：。]+$", ""), 1, most)
+
+
+def draft_themes(context: Column, most: int = 6) -> Column:
+    """A draft of themes, array<struct<title, points>>, from blocks of text: the first line names one, its first
+    three sentences are the points.
+    """
+
+    def theme(block: Column) -> Column:
+        lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+        rest = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), " ")
+        sentences = F.slice(F.split(rest, r"(?<=[。！？.!?])\s*", -1), 1, 3)
+        points = F.filter(F.transform(sentences, lambda x: label(x, 80)), lambda x: x != "")
+        head = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
+        return F.struct(label(F.regexp_replace(head, r"^[\[\]]+|[\[\]]+$", ""), 48).alias("title"), points.alias("points"))
+
+    blocks = F.slice(F.split(normalize(F.coalesce(context, F.lit(""))), "\n\n"), 1, most)
+    found = F.filter(F.transform(blocks, theme), lambda x: (x["title"] != "") & (F.size(x["points"]) > 0))
+    none = F.array(F.struct(F.lit("尚待整理").alias("title"), F.array(F.lit("当前知识库中没有足够的可用资料。")).alias("points")))
+    return F.when(F.size(found) > 0, found).otherwise(none)
 
 
 def compact(most: int):

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections import defaultdict
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,38 +47,32 @@ def valid_entity(name: str) -> bool:
 
 
 def extract(text: str | None) -> dict:
-    """Entities and relations of one chunk; of several sightings of an entity the first gives name and type."""
+    """Entities and relations of one chunk; of several sightings of an entity the first gives name and type.
+
+    Headings, code and proper nouns are known to every sentence, the ends of stated relations from their sentence on.
+    """
     text = text or ""
-    named: dict[str, tuple[str, str]] = {}
-    edges: dict[tuple[str, str, str], float] = {}
-
-    def see(raw: str, kind: str) -> str:
-        key = entity_name(raw)
-        if not valid_entity(key):
-            return ""
-        named.setdefault(key, (raw.strip(), kind))
-        return key
-
-    sightings = [(m[1], "topic") for m in map(HEADING.match, text.splitlines()) if m]
-    sightings += [(c, "technology") for c in map(str.strip, CODE.findall(text)) if not c.startswith(("http://", "https://"))]
-    sightings += [(n, "proper_noun") for n in PROPER_NOUN.findall(text)]
-    for raw, kind in sightings:
-        see(raw, kind)
-    for sentence in SENTENCE.findall(text):
-        sentence = sentence.strip()
-        linked: list[str] = []
-        for a, verb, b in RELATION.findall(sentence):
-            ends = see(a, "concept"), see(b, "concept")
-            if all(ends) and ends[0] != ends[1]:
-                edges[(*ends, verb.lower())] = STATED
-                linked += ends
-        plain = entity_name(sentence)
-        together = list(dict.fromkeys([*linked, *(k for k in named if k in plain)]))[:MOST_TOGETHER]
-        for i, a in enumerate(together):
-            for b in together[i + 1 :]:
-                edges.setdefault((a, b, "co_occurs"), TOGETHER)
+    sentences = [s.strip() for s in SENTENCE.findall(text)]
+    stated = [(i, *m) for i, s in enumerate(sentences) for m in RELATION.findall(s)]
+    codes = [c.strip() for c in CODE.findall(text)]
+    seen = [(-1, m[1], "topic") for m in map(HEADING.match, text.splitlines()) if m]
+    seen += [(-1, c, "technology") for c in codes if not c.startswith(("http://", "https://"))]
+    seen += [(-1, n, "proper_noun") for n in PROPER_NOUN.findall(text)]
+    seen += [(i, end, "concept") for i, a, _, b in stated for end in (a, b)]
+    keyed = [(entity_name(raw), since, raw.strip(), kind) for since, raw, kind in seen]
+    first = {key: rest for key, *rest in reversed(keyed) if valid_entity(key)}
+    known = sorted(first, key=[key for key, *_ in keyed].index)  # in the order of first sight
+
+    linked = [(i, entity_name(a), entity_name(b), verb.lower()) for i, a, verb, b in stated]
+    linked = [x for x in linked if x[1] in first and x[2] in first and x[1] != x[2]]
+    edges = {(a, b, verb): STATED for _, a, b, verb in linked}
+    for i, sentence in enumerate(map(entity_name, sentences)):
+        ends = [end for n, a, b, _ in linked if n == i for end in (a, b)]
+        there = [*ends, *(k for k in known if first[k][0] <= i and k in sentence)]
+        for a, b in combinations(list(dict.fromkeys(there))[:MOST_TOGETHER], 2):
+            edges.setdefault((a, b, "co_occurs"), TOGETHER)
     return {
-        "entities": [{"name": n, "normalized_name": k, "entity_type": t} for k, (n, t) in named.items()],
+        "entities": [{"name": first[k][1], "normalized_name": k, "entity_type": first[k][2]} for k in known],
         "relations": [{"source": a, "target": b, "relation_type": r, "confidence": c} for (a, b, r), c in edges.items()],
     }
 
@@ -145,7 +140,7 @@ def graph_recall(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, chunks
     return out.where(F.col("rank") <= min(60, max(3 * limit, limit))).where(F.col("rank") <= limit)
 
 
-def _saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared checkpoint folder and read back."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -165,13 +160,13 @@ def connected_components(vertices: DataFrame, pairs: DataFrame, vertex: str = "e
     Labels are lowered along the pairs and then along the labels themselves, so that long chains halve in each
     round; a round is written out, and rounds end when none lowers a label.
     """
-    ends = _saved(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "ends")
-    labels = _saved(vertices.select(F.col(vertex).alias("v"), F.col(vertex).alias("label")).distinct(), "labels")
+    ends = saved(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "ends")
+    labels = saved(vertices.select(F.col(vertex).alias("v"), F.col(vertex).alias("label")).distinct(), "labels")
     while True:
         near = ends.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near, F.col("v") == F.col("a"), "left").select("v", F.least("label", "near").alias("label"))
         jump = low.select(F.col("v").alias("label"), F.col("label").alias("to"))
-        after = _saved(low.join(jump, "label", "left").select("v", F.least("label", F.coalesce("to", "label")).alias("label")), "labels")
+        after = saved(low.join(jump, "label", "left").select("v", F.least("label", F.coalesce("to", "label")).alias("label")), "labels")
         moved = after.join(labels.withColumnRenamed("label", "was"), "v").where("label <> was").limit(1)
         labels = after
         if moved.isEmpty():

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import islice
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,54 +38,41 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def vector_recall(queries: DataFrame, vectors: DataFrame, limit: int, block: int = 512, rows: int = 4096) -> DataFrame:
+def vector_recall(queries: DataFrame, vectors: DataFrame, limit: int, block: int = 4096, rows: int = 2048) -> DataFrame:
     """Exact search by dot product (vectors are of length 1); other dimensions and scores of 0 or less drop out.
 
-    Queries (query_id, vector) travel to the vectors (locator, vector) in blocks of at most `block` rows, one pass
-    for each block; a task keeps only the best of each of its slices, so little is shuffled.
+    A grid of blocks: so many queries (query_id, vector) meet so many vectors (locator, vector) in a task, which
+    keeps each query's best of its block, so only those are shuffled on.
     """
-    found = None
-    asked = queries.select("query_id", as_doubles(F.col("vector")).alias("vector")).orderBy("query_id").toLocalIterator()
-    while True:
-        own = [(r["query_id"], r["vector"]) for r in islice(asked, block)]
-        if not own and found is not None:
-            return top_k(found, limit)
-        part = vectors.select("locator", "vector").mapInArrow(_searcher(own, limit, rows), "query_id long, locator string, score double")
-        found = part if found is None else found.unionByName(part)
-
-
-def _searcher(queries: list[tuple[int, list[float]]], limit: int, rows: int):
-    by_size: dict[int, list[tuple[int, list[float]]]] = {}
-    for query in queries:
-        by_size.setdefault(len(query[1]), []).append(query)
-
-    def search(batches):
+    asks = queries.select("query_id", as_doubles(F.col("vector")).alias("probe")).where("probe IS NOT NULL")
+    across, down = (max(1, -(-df.count() // n)) for df, n in ((queries, block), (vectors, rows)))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.where("vector IS NOT NULL").select("locator", "vector", place("locator", down).alias("down"), every(across).alias("across"))
+    right = asks.select("query_id", "probe", place("query_id", across).alias("across"), every(down).alias("down"))
+    by = ["down", "across"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_searcher(limit), "query_id long, locator string, score double")
+    return top_k(found, limit)
+
+
+def _searcher(limit: int):
+    def search(own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                names, lists = part.column("locator").to_numpy(zero_copy_only=False), part.column("vector")
-                sizes = np.diff(lists.offsets.to_numpy())
-                out = []
-                for size, same in by_size.items():
-                    own = np.flatnonzero(sizes == size)
-                    if not size or not len(own):
-                        continue
-                    x = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
-                    q = np.array([v for _, v in same])
-                    scores = np.zeros((len(q), len(x)))
-                    for d in range(size):  # in order, as a sequential sum
-                        scores += q[:, d, None] * x[None, :, d]
-                    for i, (query, _) in enumerate(same):
-                        good = np.flatnonzero(scores[i] > 0)
-                        if len(good) > limit:
-                            floor = np.partition(scores[i, good], len(good) - limit)[len(good) - limit]
-                            good = good[scores[i, good] >= floor]
-                        out += [(query, names[own[j]], float(scores[i, j])) for j in good]
-                ids, found, scores = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["query_id", "locator", "score"])
+
+        out = [(np.empty(0, np.int64), np.empty(0, object), np.empty(0))]
+        for size in {len(v) for v in asks.probe} & {len(v) for v in own.vector} - {0}:
+            mine, theirs = own[own.vector.map(len) == size], asks[asks.probe.map(len) == size]
+            names, x, q = mine.locator.to_numpy(object), np.stack(mine.vector).astype(np.float64), np.stack(theirs.probe)
+            scores = np.zeros((len(q), len(x)))
+            for d in range(size):  # in order, as a sequential sum
+                scores += q[:, d, None] * x[None, :, d]
+            for query, row in zip(theirs.query_id, scores):
+                good = np.flatnonzero(row > 0)
+                if len(good) > limit:
+                    good = good[row[good] >= np.partition(row[good], len(good) - limit)[len(good) - limit]]
+                out.append((np.full(len(good), query), names[good], row[good]))
+        ids, found, score = map(np.concatenate, zip(*out))
+        return pd.DataFrame({"query_id": ids, "locator": pd.Series(found, dtype=object), "score": score})
 
     return search
 
@@ -112,7 +97,7 @@ def named_in(queries: DataFrame, names: DataFrame, name: str, key: str) -> DataF
     """(query_id, key): names that stand in the query or are one of its tokens. The names are a capped list."""
     asked = queries.select("query_id", F.lower("query").alias("_q"), tokens(F.col("query")).alias("_t"))
     met = F.col("_q").contains(F.col(name)) | F.array_contains("_t", F.col(name))
-    return asked.join(small(names), met).select("query_id", key)
+    return asked.join(F.broadcast(names), met).select("query_id", key)
 
 
 def entity_recall(queries: DataFrame, entities: DataFrame, mentions: DataFrame, limit: int, most: int = 12) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import governance, recall, selection
 from tidepool.operators.ranking import coverage_first, ranked, reciprocal_rank_fusion, round_robin
+from tidepool.operators.graph import saved
 from tidepool.plans.base import CHUNKS, INDEX, TOKENS, keyword_list, query
 from tidepool.plans.search import Corpus, search
 from tidepool.plans.text_queries import _TAGS, tags
@@ -79,7 +80,7 @@ def tag_recall(c):
   SELECT query_id, locator, max(2 + 0.1::DOUBLE * least(greatest(n, 1), 4)) AS score FROM m JOIN named USING (tag_id) GROUP BY ALL)) WHERE rank <= 24""")
 def entity_recall(c):
     names = tags(c).select(F.col("tag_id").alias("entity_id"), "normalized_name")
-    mentions = recall.mention_counts(c.chunks(), names)
+    mentions = saved(recall.mention_counts(c.chunks(), names), "mentions")  # used twice
     counted = mentions.groupBy("entity_id").agg(F.count("*").alias("mention_count")).join(names, "entity_id")
     return recall.entity_recall(c.questions(), counted, mentions, 8)
 
