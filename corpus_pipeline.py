@@ -1,7 +1,14 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage is a function of (spark, docs, sf_dir) and works on everything that the one before it kept. All but
-the last return the columns of documents.
+the last return the columns of documents. No stage fails on empty tables, which stay empty, on nulls in any column
+or on repeated rows:
+
+* Language ID drops null and empty texts with all others without a letter; repeated rows stay.
+* Exact dedup keeps the largest doc_id; a null one is kept only where all of a group are null, and rows repeated
+  with that id are all kept.
+* Near-dedup keeps the rows of the smallest doc_id; in a group without any doc_id the rows without one are kept.
+* Secret scans and packing treat every row for itself.
 """
 
 from __future__ import annotations
