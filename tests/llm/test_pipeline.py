@@ -40,6 +40,15 @@ def test_run(spark, table, words):
     check_packing(got, want, 4096)
 
 
+def test_run_on_odd_tables(spark, table, words):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    assert corpus_pipeline.run(spark, table(documents=([], schema))).count() == 0
+    one, two = words(30, 900), words(30, 901)
+    rows = [(None, one, None, None, None), (None, one, None, None, None), (1, two, "en", None, None), (1, two, "en", None, None), (None, None, None, None, None), (2, two, None, "s", 3)]
+    got = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, table(documents=(rows, schema))).collect())
+    assert got == {None: 2, 2: 1}
+
+
 def test_stages_keep_the_columns(spark, odd):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES[:-1]:
