@@ -195,7 +195,7 @@ class TextEncoder:
     _LONG characters are encoded anew each time, so the memory is bounded.
     """
 
-    def __init__(self, path: str, words: WordEncoder | LibraryWords, most_words: int = 600_000):
+    def __init__(self, path: str, words: WordEncoder | LibraryWords, most_words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.words = words

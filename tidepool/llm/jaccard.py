@@ -20,7 +20,8 @@ from tidepool.llm.components import least_member
 from tidepool.llm.shared import map_batches, written
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_MOST_WORDS = 500_000
+_MOST_WORDS = 200_000
+_MOST_HELD = 4_000_000  # shingles, of 8 bytes
 
 
 def split(text: str | None) -> list[bytes]:
@@ -124,15 +125,34 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, similarity: Fraction)
         import pyarrow as pa
 
         shingles = shingler(words)
-        before, own = None, None
+        known: dict[int, np.ndarray] = {}  # a text meets many others: its shingles are made once while they fit
+        held = 0
+
+        def of(node, texts, at):
+            nonlocal held
+            own = known.get(node)
+            if own is None:
+                own = shingles(texts[at].as_py())
+                if held + len(own) > _MOST_HELD:
+                    known.clear()
+                    held = 0
+                known[node] = own
+                held += len(own)
+            return own
+
         for batch in batches:
             good = []
-            for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist()):
-                if own is None or t != before:
-                    before, own = t, shingles(t)
-                other = shingles(s)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                good.append(common > 0 and den * common >= num * (len(own) + len(other) - common))
+            s, t = batch.column("s"), batch.column("t")
+            for at, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+                own, other = of(b, t, at), of(a, s, at)
+                most = min(len(own), len(other))
+                if not most or den * most < num * max(len(own), len(other)):
+                    good.append(False)
+                    continue
+                merged = np.concatenate([own, other])
+                merged.sort()
+                common = int(np.count_nonzero(merged[1:] == merged[:-1]))
+                good.append(common > 0 and den * common >= num * (len(merged) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = texts.select(F.col("_node").alias("a"), F.col("_text").alias("s"))
