@@ -282,6 +282,7 @@ def community_recall(queries: DataFrame, communities: DataFrame, limit: int, mos
     met = queries.join(small(communities))
     hits = F.size(F.filter("community_tokens", lambda t: F.col("text").contains(t)))
     raised = hits + F.when(F.col("is_global") & (F.col("level") > 0), 0.25).otherwise(0.0)
+    raised = F.when(F.col("is_global") & (F.size("community_tokens") == 0), 0.1).otherwise(raised)
     best = met.withColumn("_s", raised).where("is_global OR _s > 0")
     best = ranked(best, ["query_id"], [F.desc("_s"), F.col("level"), F.col("community_key")], "_c").where(F.col("_c") <= most)
     flat = best.select("query_id", "_c", F.posexplode("source_locators").alias("_i", "locator"))

@@ -26,17 +26,32 @@ def reciprocal_rank_fusion(lists: list[tuple[DataFrame, float]], k: int = DEFAUL
     """
     terms = None
     for i, (ranked_list, weight) in enumerate(lists):
-        own = ranked_list.select(
-            "query_id", "locator", F.lit(i).alias("list"), (F.lit(float(weight)) / (F.lit(k) + F.col("rank"))).alias("term"))
+        own = ranked_list.select("query_id", "locator", F.lit(i).alias("list"), rank_term(F.lit(float(weight)), k).alias("term"))
         terms = own if terms is None else terms.unionByName(own)
+    return fused(terms, limit)
+
+
+def rank_term(weight: Column, k: int = DEFAULTS.rrf_k) -> Column:
+    return weight / (F.lit(k) + F.col("rank"))
+
+
+def fused(terms: DataFrame, limit: int | None = None) -> DataFrame:
+    """Terms (query_id, locator, list, term) summed by locator and divided by the query's best sum."""
     ordered = F.array_sort(F.collect_list(F.struct("list", "term")))
     total = F.aggregate(ordered, F.lit(0.0), lambda acc, x: acc + x["term"])
-    fused = terms.groupBy("query_id", "locator").agg(total.alias("raw"))
+    summed = terms.groupBy("query_id", "locator").agg(total.alias("raw"))
     best = F.max("raw").over(Window.partitionBy("query_id"))
-    scored = fused.withColumn("score", F.col("raw") / best).drop("raw")
+    scored = summed.withColumn("score", F.col("raw") / best).drop("raw")
     return top_k(scored, limit) if limit else ranked(scored, ["query_id"], [F.desc("score"), F.col("locator")])
 
 
+def within(scores: DataFrame, k: int, slack: float) -> DataFrame:
+    """The scores (query_id, locator, score) that may still be among a query's k best when each is raised by up to slack."""
+    least = top_k(scores, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
+    near = scores.join(least, "query_id", "left").where((F.col("score") >= F.col("_least") - slack) | F.col("_least").isNull())
+    return near.drop("_least")
+
+
 def coverage_first(df: DataFrame, document: str = "document_id") -> DataFrame:
     """The best row of each document first, then the others, both in rank order. Adds position."""
     nth = F.row_number().over(Window.partitionBy("query_id", document).orderBy("rank"))

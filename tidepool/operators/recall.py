@@ -9,7 +9,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tidepool.functions.text import occurrences, tokens
-from tidepool.operators.ranking import ranked, small, top_k
+from tidepool.operators.ranking import ranked, small, top_k, within
 from tidepool.settings import DEFAULTS, Settings
 
 
@@ -44,6 +44,11 @@ def vector_recall(queries: DataFrame, vectors: DataFrame, limit: int, block: int
     A grid of blocks: so many queries (query_id, vector) meet so many vectors (locator, vector) in a task, which
     keeps each query's best of its block, so only those are shuffled on.
     """
+    return top_k(vector_scores(queries, vectors, limit, 0.0, block, rows), limit)
+
+
+def vector_scores(queries: DataFrame, vectors: DataFrame, limit: int, slack: float, block: int = 4096, rows: int = 2048) -> DataFrame:
+    """(query_id, locator, score): of each block of vectors, a query's best ones and all that are at most slack below them."""
     asks = queries.select("query_id", as_doubles(F.col("vector")).alias("probe")).where("probe IS NOT NULL")
     across, down = (max(1, -(-df.count() // n)) for df, n in ((queries, block), (vectors, rows)))
     place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -51,11 +56,10 @@ def vector_recall(queries: DataFrame, vectors: DataFrame, limit: int, block: int
     left = vectors.where("vector IS NOT NULL").select("locator", "vector", place("locator", down).alias("down"), every(across).alias("across"))
     right = asks.select("query_id", "probe", place("query_id", across).alias("across"), every(down).alias("down"))
     by = ["down", "across"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_searcher(limit), "query_id long, locator string, score double")
-    return top_k(found, limit)
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_searcher(limit, slack), "query_id long, locator string, score double")
 
 
-def _searcher(limit: int):
+def _searcher(limit: int, slack: float):
     def search(own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
@@ -69,7 +73,7 @@ def _searcher(limit: int):
             for query, row in zip(theirs.query_id, scores):
                 good = np.flatnonzero(row > 0)
                 if len(good) > limit:
-                    good = good[row[good] >= np.partition(row[good], len(good) - limit)[len(good) - limit]]
+                    good = good[row[good] >= np.partition(row[good], len(good) - limit)[len(good) - limit] - slack]
                 out.append((np.full(len(good), query), names[good], row[good]))
         ids, found, score = map(np.concatenate, zip(*out))
         return pd.DataFrame({"query_id": ids, "locator": pd.Series(found, dtype=object), "score": score})
@@ -93,6 +97,16 @@ def metadata_boost(hits: DataFrame, query: str = "query", s: Settings = DEFAULTS
     return out.withColumn("score", F.when(F.col("boosted"), raised).otherwise(F.col("score"))).drop("_boost")
 
 
+def boosted_top(scores: DataFrame, queries: DataFrame, chunks: DataFrame, limit: int, s: Settings = DEFAULTS) -> DataFrame:
+    """The best of scores (query_id, locator, score) after the metadata boost, with their rank.
+
+    A boost is bounded, so only hits near the limit's score meet the chunks, of which no text is read.
+    """
+    near = within(scores, limit, s.boost_most).join(queries.select("query_id", "query"), "query_id")
+    full = near.join(chunks.select("locator", "title", "section", "source_type"), "locator")
+    return top_k(metadata_boost(full, s=s).select("query_id", "locator", "score"), limit)
+
+
 def named_in(queries: DataFrame, names: DataFrame, name: str, key: str) -> DataFrame:
     """(query_id, key): names that stand in the query or are one of its tokens. The names are a capped list."""
     asked = queries.select("query_id", F.lower("query").alias("_q"), tokens(F.col("query")).alias("_t"))

@@ -8,7 +8,7 @@ from tidepool.operators import governance, recall, selection
 from tidepool.operators.ranking import coverage_first, ranked, reciprocal_rank_fusion, round_robin
 from tidepool.operators.graph import saved
 from tidepool.plans.base import CHUNKS, INDEX, TOKENS, keyword_list, query
-from tidepool.plans.search import Corpus, search
+from tidepool.plans.search import Corpus, candidates, fuse_routes, search, variants
 from tidepool.plans.text_queries import _TAGS, tags
 
 _WITH = f"WITH {CHUNKS}, {INDEX}"
@@ -206,7 +206,48 @@ def coverage(c):
 
 
 def _corpus(c):
-    return Corpus(c.chunks(), governed=c.governed())
+    """Documents as chunks, with the tags as entities and as tags."""
+    d, names = c.chunks(), tags(c).select(F.col("tag_id").alias("entity_id"), "normalized_name")
+    mentions = saved(recall.mention_counts(d, names), "mentions")  # used twice
+    counted = mentions.groupBy("entity_id").agg(F.count("*").alias("mention_count")).join(names, "entity_id")
+    assigned = d.select(F.col("doc_id").alias("asset_id"), (F.col("doc_id") % 40).alias("tag_id"), F.when(F.col("doc_id") % 3 != 0, "approved").otherwise("pending").alias("state"))
+    assets = d.select(F.col("doc_id").alias("asset_id"), "locator", "ordinal")
+    return Corpus(d, governed=c.governed(), entities=counted, mentions=mentions, tags=tags(c), assignments=assigned, assets=assets)
+
+
+def _shared(column: str) -> str:
+    return f"len(list_intersect(q.t, c.{column})) / len(q.t)::DOUBLE"
+
+
+def _fused(name: str, first: str, second: str) -> str:
+    """A list of 20 fused from two, as a common table expression."""
+    return f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, locator) AS rank FROM (
+  SELECT query_id, locator, raw / max(raw) OVER (PARTITION BY query_id) AS score FROM (SELECT query_id, locator, sum(term ORDER BY list) AS raw FROM (
+  SELECT query_id, locator, 0 AS list, 1::DOUBLE / (60 + rank) AS term FROM {first} UNION ALL SELECT query_id, locator, 1, 1::DOUBLE / (60 + rank) FROM {second}) GROUP BY ALL)) QUALIFY rank <= 20)"""
+
+
+@query(f"""WITH {_TAGS}, {CHUNKS}, {INDEX}, q AS (SELECT item_id AS query_id, text, {TOKENS.format('text')} AS t FROM benchmark),
+  c AS (SELECT locator, {TOKENS.format('title')} AS title, {TOKENS.format('section')} AS section, {TOKENS.format('source_type')} AS kind FROM chunks),
+  hits AS (SELECT query_id, locator, count(*) / n::DOUBLE AS score FROM (SELECT query_id, len(t) AS n, unnest(t) AS token FROM q) JOIN idx USING (token) GROUP BY query_id, locator, n),
+  raised AS (SELECT query_id, locator, CASE WHEN b > 0 THEN least(1.0, score + b) ELSE score END AS score FROM (SELECT query_id, locator, score,
+    least(0.2, greatest(0.0, 0.12 * ({_shared('title')}) + 0.08 * ({_shared('section')}) + 0.03 * ({_shared('kind')}))) AS b FROM hits JOIN q USING (query_id) JOIN c USING (locator))),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, locator) AS rank FROM raised QUALIFY rank <= 20),
+  m AS (SELECT tag_id, locator, ((length(lower(content)) - length(replace(lower(content), normalized_name, ''))) // length(normalized_name)) AS n
+    FROM chunks JOIN tags ON contains(lower(content), normalized_name)),
+  e AS (SELECT tag_id, normalized_name, count(*) AS mentions FROM m JOIN tags USING (tag_id) GROUP BY ALL ORDER BY mentions DESC, normalized_name, tag_id LIMIT 48),
+  named AS (SELECT query_id, tag_id FROM q JOIN e ON contains(lower(text), normalized_name)),
+  ent AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, locator) AS rank FROM (
+    SELECT query_id, locator, max(2 + 0.1::DOUBLE * least(greatest(n, 1), 4)) AS score FROM m JOIN named USING (tag_id) GROUP BY ALL) QUALIFY rank <= 20),
+  known AS (SELECT * FROM tags ORDER BY normalized_name LIMIT 48),
+  held AS (SELECT DISTINCT query_id, doc_id FROM documents d JOIN known t ON d.doc_id % 40 = t.tag_id JOIN q ON contains(lower(q.text), t.normalized_name) WHERE d.doc_id % 3 <> 0),
+  tagged AS (SELECT query_id, locator, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM held JOIN chunks USING (doc_id) QUALIFY rank <= 20),
+  {_fused('one', 'k', 'ent')}, {_fused('two', 'one', 'tagged')} SELECT query_id, locator, round(score, 9) AS score, rank FROM two""")
+def search_candidates(c):
+    """Boosted keyword recall, entity and tag recall of the benchmark questions, fused as the whole path does."""
+    asked = variants(c.questions())
+    found = candidates(asked, _corpus(c), 20)
+    out = fuse_routes(found, asked, {"keyword", "entity", "tag"}, 20)
+    return out.select("query_id", "locator", F.round("score", 9).alias("score"), "rank")
 
 
 @query()
