@@ -40,8 +40,9 @@ def shingler(words: int = 5) -> Callable[[str | None], np.ndarray]:
             return np.empty(0, np.uint64)
         if len(known) > _MOST_WORDS:
             known.clear()
-        for p in set(parts) - known.keys():
-            known[p] = xxhash.xxh64_intdigest(p)
+        for p in set(parts):  # a difference of the two sets would walk all known words for each text
+            if p not in known:
+                known[p] = xxhash.xxh64_intdigest(p)
         w = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
         k = min(words, len(parts))
         n = len(parts) - k + 1
