@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, with SQL where SQL can express them."""
 
-from tidepool.llm import bpe, caps, exact_dedup, language, licenses, neighbours, packing, secrets, sharding, simhash, toxicity
+from tidepool.llm import bpe, caps, exact_dedup, language, lexical, licenses, neighbours, packing, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -13,8 +13,14 @@ QUERIES = {
     "op8_counterfactual_toxicity": toxicity.op8_counterfactual_toxicity,
     "op9_kmeans_tree": neighbours.op9_kmeans_tree,
     "op10_ball_simhash": simhash.op10_ball_simhash,
+    "op11_pair_bound_search": lexical.op11_pair_bound_search,
     "op13_cap_near_vectors": caps.op13_cap_near_vectors,
 }
 
-ORACLE_SQL = {"op4_digest_index": exact_dedup.SQL, "op6_trigram_secrets": secrets.SQL, "op7_license_templates": licenses.SQL,
-              "op13_cap_near_vectors": caps.SQL}
+ORACLE_SQL = {
+    "op4_digest_index": exact_dedup.SQL,
+    "op6_trigram_secrets": secrets.SQL,
+    "op7_license_templates": licenses.SQL,
+    "op11_pair_bound_search": lexical.SQL,
+    "op13_cap_near_vectors": caps.SQL,
+}
