@@ -35,7 +35,7 @@ class Settings:
 
     block_rows: int = 4096
     block_postings: int = 1_000_000
-    range_rows: int = 64
+    range_rows: int = 8
     part_items: int = 256
     most_words: int = 200_000
     most_parts: int = 32

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, with SQL where SQL can express them."""
 
-from tidepool.llm import bpe, caps, exact_dedup, language, lexical, licenses, neighbours, packing, secrets, sharding, simhash, toxicity
+from tidepool.llm import alignment, bpe, caps, exact_dedup, language, lexical, licenses, neighbours, packing, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_kmeans_tree": neighbours.op9_kmeans_tree,
     "op10_ball_simhash": simhash.op10_ball_simhash,
     "op11_pair_bound_search": lexical.op11_pair_bound_search,
+    "op12_shared_cut_alignment": alignment.op12_shared_cut_alignment,
     "op13_cap_near_vectors": caps.op13_cap_near_vectors,
 }
 
