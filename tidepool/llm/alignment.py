@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidepool.llm.shared import table, written
 
@@ -233,16 +234,15 @@ def aligned_blocks(docs: DataFrame, byte_path: str, piece_path: str, keep: list[
     """keep, block, n_a, n_b, n_groups, n_links, groups_sha256, numbers and times of each document's pairs; and one row
     for each block, keep null, with its pairs and how many of its documents hold each (holds).
     """
-    schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + [
-        "block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, numbers array<int>, times array<int>",
-        "pairs array<long>, holds array<long>"])
+    added = StructType.fromDDL("block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, numbers array<int>, times array<int>, "
+                               "pairs array<long>, holds array<long>")
+    schema = StructType([docs.schema[k] for k in keep] + added.fields)
 
     def run(batches):
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        arrow, coder = to_arrow_schema(StructType.fromDDL(schema)), tokenizers(byte_path, piece_path)
+        arrow, coder = to_arrow_schema(schema), tokenizers(byte_path, piece_path)
         number, block, held = TaskContext.get().partitionId() << 32, _Block(coder), []
 
         def out():
@@ -293,8 +293,8 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text",
     asked = blocks.where("pairs IS NOT NULL").select("block", F.posexplode("pairs").alias("at", "pair"))
     known = asked.join(written(pair_counts(blocks), "pair-bests"), "pair")
     counts = known.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "count", "best"))).alias("_x"))
-    counts = counts.select("block", F.col("_x.at").alias("at"), F.col("_x.count").alias("count"), F.col("_x.best").alias("best"))
-    schema = ", ".join([f"{o} {named.schema[o].dataType.simpleString()}" for o in own] + [f"{c} {'string' if c == 'groups_sha256' else 'long'}" for c in added])
+    counts = counts.select(F.col("block").alias("_block"), F.col("_x.at").alias("at"), F.col("_x.count").alias("count"), F.col("_x.best").alias("best"))
+    schema = StructType([named.schema[o] for o in own] + [StructField(c, StringType() if c == "groups_sha256" else LongType()) for c in added])
 
     def sums(docs, counts):
         n_best, count_sum = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows, np.int64)
@@ -318,7 +318,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text",
         return pa.table({c: columns[c] for c in [*own, *added]})
 
     each = blocks.where("pairs IS NULL").drop("pairs", "holds")
-    out = each.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(sums, schema)
+    out = each.groupBy("block").cogroup(counts.groupBy("_block")).applyInArrow(sums, schema)
     return out.select(*[F.col(o).alias(k) for k, o in zip(keep, own)], *added)
 
 
