@@ -12,7 +12,6 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.shared import map_batches, table
+from tidepool.llm.shared import kept, map_batches, table
 
 _END = "</w>"
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -290,10 +289,9 @@ def packed(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype("<u4").tobytes())])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, by_library: bool = False) -> TextEncoder:
     """One encoder for each Python worker, so that its cache serves all its tasks."""
-    return TextEncoder(path, (LibraryWords if by_library else WordEncoder)(path))
+    return kept(("encoder", path, by_library), lambda: TextEncoder(path, (LibraryWords if by_library else WordEncoder)(path)))
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None,
@@ -317,7 +315,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: list[str]
         return work
 
     added = "ids binary, decoded string" if decode else "ids binary"
-    return map_batches(docs.select(*dict.fromkeys([*keep, text])), make, added, keep, rows)
+    return map_batches(docs.select(*dict.fromkeys([*keep, text])), make, added, keep, rows, keeps=True)
 
 
 def op5_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

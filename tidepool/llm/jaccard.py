@@ -12,12 +12,12 @@ from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm import simhash
 from tidepool.llm.components import least_member
-from tidepool.llm.shared import map_batches, written
+from tidepool.llm.shared import forget_kept, map_batches, shuffles_dropped, written
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MOST_WORDS = 200_000
@@ -54,20 +54,27 @@ def shingler(words: int = 5) -> Callable[[str | None], np.ndarray]:
     return make
 
 
-def _nodes(docs: DataFrame, text: str, keep: list[str], words: int) -> DataFrame:
-    """docs with _node, the hash of the text's words, and _fp, its fingerprint."""
+def _marked(docs: DataFrame, text: str, keep: list[str], words: int, fingerprints: bool = True) -> DataFrame:
+    """docs with _h1 and _h2, two hashes of the text's words, and _fp, its fingerprint."""
 
     def make():
         import xxhash
 
+        def signed(x):
+            return (x ^ 1 << 63) - (1 << 63)
+
         def work(batch):
             texts = batch.column(text).to_pylist()
-            known = {t: (xxhash.xxh3_64_intdigest(b" ".join(split(t))), simhash.fingerprint(t, words)) for t in set(texts)}
-            return None, [[(known[t][0] ^ 1 << 63) - (1 << 63) for t in texts], [known[t][1] for t in texts]]
+            known = {}
+            for t in set(texts):
+                whole = b" ".join(split(t))
+                known[t] = signed(xxhash.xxh3_64_intdigest(whole)), signed(xxhash.xxh64_intdigest(whole)), simhash.fingerprint(t, words) if fingerprints else 0
+            return None, list(zip(*(known[t][: 3 if fingerprints else 2] for t in texts))) if texts else [[]] * (3 if fingerprints else 2)
 
         return work
 
-    return map_batches(docs.select(*dict.fromkeys([*keep, text])), make, "_node long, _fp long", keep, rows=2000)
+    added = "_h1 long, _h2 long, _fp long" if fingerprints else "_h1 long, _h2 long"
+    return map_batches(docs.select(*dict.fromkeys([*keep, text])), make, added, keep, rows=2000)
 
 
 def frequent(texts: DataFrame, words: int, one_in: int = 16, least: int = 3, most: int = 100_000) -> np.ndarray:
@@ -76,6 +83,7 @@ def frequent(texts: DataFrame, words: int, one_in: int = 16, least: int = 3, mos
     def run(batches):
         import pyarrow as pa
 
+        forget_kept()
         shingles = shingler(words)
         for batch in batches:
             for t in batch.column("_text").to_pylist():
@@ -95,6 +103,7 @@ def prefixes(texts: DataFrame, words: int, similarity: Fraction, last: np.ndarra
     def run(batches):
         import pyarrow as pa
 
+        forget_kept()
         shingles = shingler(words)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -118,13 +127,20 @@ def prefixes(texts: DataFrame, words: int, similarity: Fraction, last: np.ndarra
     return texts.select("_node", "_text").mapInArrow(run, "gram long, node long, n int, at int")
 
 
+def _texts_of(pairs: DataFrame, texts: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """The texts that pairs name: their ids are broadcast up to so many, and beyond that joined by a shuffle."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), "wanted-texts")
+    return texts.join(F.broadcast(ids) if ids.count() <= most else ids, "_node", "left_semi")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) whose texts are at least that similar."""
+    """The pairs (a, b) whose texts are at least that similar. pairs is a written table."""
     num, den = similarity.numerator, similarity.denominator
 
     def run(batches):
         import pyarrow as pa
 
+        forget_kept()
         shingles = shingler(words)
         known: dict[int, np.ndarray] = {}  # a text meets many others: its shingles are made once while they fit
         held = 0
@@ -156,6 +172,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, similarity: Fraction)
                 good.append(common > 0 and den * common >= num * (len(merged) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    texts = _texts_of(pairs, texts)
     left = texts.select(F.col("_node").alias("a"), F.col("_text").alias("s"))
     right = texts.select(F.col("_node").alias("b"), F.col("_text").alias("t"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "s", "t")
@@ -167,52 +184,71 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def bands(texts: DataFrame, similarity: Fraction) -> Column:
+    """Of texts with n shingles the band of like lengths: two that can be alike are in one or in neighbouring bands."""
+    step = np.log(similarity.denominator / similarity.numerator) if similarity < 1 else 1e-9
+    return F.floor(F.log(F.col("n").cast("double")) / float(step * (1 + 1e-9) + 1e-12)).cast("long")
+
+
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: str = "0.8",
-                distance: int = 4) -> DataFrame:
+                distance: int = 4, part_rows: int = 4096) -> DataFrame:
     """docs with component_id: the smallest doc_id reachable over pairs whose shingles are at least that similar.
 
-    similarity is a decimal or fraction in a string, so that the limit itself counts. Texts of equal words are one
-    node from the start (so are all without any). Null doc_ids take no part in the minimum. A column of docs named
-    component_id is replaced. No rows in, no rows out.
+    similarity is a decimal or fraction in a string, so that the limit itself counts. Texts of equal words (by two
+    64-bit hashes) are one node from the start (so are all without any). Null doc_ids take no part in the minimum. A
+    column of docs named component_id is replaced. No rows in, no rows out.
     """
     least = Fraction(similarity)
     if not 0 < least <= 1:
         raise ValueError("similarity must be in (0, 1]")
     docs = docs.drop("component_id")
-    marked = written(_nodes(docs, text, docs.columns, words), "nodes-of-texts")
-    nodes = marked.groupBy("_node").agg(F.min(doc_id).alias("_least"), F.min("_fp").alias("_fp"), F.first(text).alias("_text"))
-    nodes = written(nodes, "nodes")
+    with shuffles_dropped(docs.sparkSession):
+        ids = _components(docs, text, doc_id, words, least, distance, part_rows)
+    key = ["_h1", "_h2"]
+    return _marked(docs, text, docs.columns, words, fingerprints=False).join(ids, key).drop(*key)
+
 
-    by_fp = nodes.groupBy("_fp").agg(F.min("_node").alias("_first"))
+def _components(docs: DataFrame, text: str, doc_id: str, words: int, least: Fraction, distance: int, part_rows: int) -> DataFrame:
+    """(_h1, _h2, component_id) of the distinct sequences of words."""
+    named = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    nodes = _marked(named, "_text", ["_id", "_text"], words).groupBy("_h1", "_h2")
+    nodes = nodes.agg(F.min("_id").alias("_least"), F.min("_fp").alias("_fp"), F.first("_text").alias("_text"))
+    nodes = written(nodes.withColumn("_node", F.monotonically_increasing_id()), "nodes")
+
+    by_fp = written(nodes.groupBy("_fp").agg(F.min("_node").alias("_first")), "fingerprints")
     links = simhash.near_links(by_fp.select(F.col("_fp").alias("fp")), distance)
     ends = [by_fp.select(F.col("_fp").alias(k), F.col("_first").alias(f"_{k}")) for k in ("a", "b")]
     balls = links.join(ends[0], "a").join(ends[1], "b").select(*_pair("_a", "_b"))
     balls = balls.unionByName(nodes.join(by_fp, "_fp").where("_node <> _first").select(*_pair("_node", "_first")))
 
     num, den = least.numerator, least.denominator
-    in_gram = Window.partitionBy("gram").orderBy("n", "node")
-    met = prefixes(nodes, words, least, frequent(nodes, words))
-    met = met.select("*", F.lag(F.struct("node", "n", "at")).over(in_gram).alias("before"), F.lead("node").over(in_gram).alias("after"))
-    met = written(met.where("before IS NOT NULL OR after IS NOT NULL"), "shared-shingles")
+    spread = prefixes(nodes, words, least, frequent(nodes, words))
+    shared = spread.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
+    met = spread.join(shared, "gram").withColumn("salt", F.expr(f"pmod(xxhash64(node), ceil(k / {part_rows}))"))
+    met = written(met.select("gram", "node", "n", "at", "salt"), "shared-shingles")
 
     def may(a: str, b: str):
         """Whether text a, not longer than b, can be alike if this is the first shingle that they share."""
         most = F.least(F.expr(f"{a}n - {a}at"), F.expr(f"{b}n - {b}at")).cast("long")
         return (F.col(f"{a}n") * den >= F.col(f"{b}n") * num) & (most * (num + den) >= F.expr(f"{a}n + {b}n") * num)
 
-    beside = met.where(may("before.", "")).select(*_pair("node", "before.node"))
-    first = written(verify(balls.unionByName(beside).distinct(), nodes, words, least), "first-links")
+    before = F.lag(F.struct("node", "n", "at")).over(Window.partitionBy("gram", "salt").orderBy("n", "node"))
+    beside = met.withColumn("before", before).where(F.col("before").isNotNull() & may("before.", "")).select(*_pair("node", "before.node"))
+    tried = written(balls.unionByName(beside).distinct(), "first-pairs")
+    first = written(verify(tried, nodes, words, least), "first-links")
 
     joined = least_member(first).select("node", F.col("component").alias("label"))
-    labelled = met.drop("before", "after").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = met.drop("salt").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("band", bands(met, least))
     labelled = written(labelled, "labelled-shingles")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    apart = F.expr("x.gram = y.gram AND struct(x.n, x.node) < struct(y.n, y.node) AND x.label <> y.label")
-    rest = x.join(y, apart & may("x.", "y.")).select(*_pair("x.node", "y.node")).distinct()
-    links = written(first.unionByName(verify(rest, nodes, words, least)), "links")
-
-    node = nodes.select("_node", "_least").join(least_member(links).withColumnRenamed("node", "_node"), "_node", "left")
-    node = node.select("_node", F.coalesce("component", "_node").alias("_component"), "_least")
+    short = labelled.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))  # longer texts are in the same band or the next
+    spans = short.groupBy("gram", "band").agg(F.min("label").alias("_min"), F.max("label").alias("_max"))
+    mixed = written(spans.where("_min <> _max").select("gram", "band"), "mixed-bands")
+    x, y = short.join(mixed, ["gram", "band"], "left_semi").alias("x"), labelled.join(mixed, ["gram", "band"], "left_semi").alias("y")
+    apart = F.expr("x.gram = y.gram AND x.band = y.band AND struct(x.n, x.node) < struct(y.n, y.node) AND x.label <> y.label")
+    rest = written(x.join(y, apart & may("x.", "y.")).select(*_pair("x.node", "y.node")).distinct(), "other-pairs")
+    links = written(first.unionByName(verify(rest.join(tried, ["a", "b"], "left_anti"), nodes, words, least)), "links")
+
+    node = nodes.select("_node", "_h1", "_h2", "_least").join(least_member(links).withColumnRenamed("node", "_node"), "_node", "left")
+    node = node.select("_h1", "_h2", F.coalesce("component", "_node").alias("_component"), "_least")
     smallest = node.groupBy("_component").agg(F.min("_least").alias("component_id"))
-    ids = written(node.join(smallest, "_component").select("_node", "component_id"), "component-ids")
-    return marked.join(ids, "_node").drop("_node", "_fp")
+    return written(node.join(smallest, "_component").select("_h1", "_h2", "component_id"), "component-ids")
