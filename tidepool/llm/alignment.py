@@ -96,7 +96,7 @@ class Tokenizers:
     def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of units one after another, of either side."""
         whole = "".join(units)
-        a = self.a.encode(whole, add_special_tokens=False).ids
+        a = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids
         # a new line never merges: after one, the model's own space is out of the way
         b = self.b.encode("\n" + whole)[2:] if self.lined else self.b.encode(whole[1:])
         return np.array(a, np.int64), np.array(b, np.int64)
@@ -215,8 +215,8 @@ class _Block:
         for own in self.texts:
             if not len(own) or not known[own, 0].all():
                 rows.append((0, 0, 0, 0, ""))
-                numbers.append(np.empty(0, np.int64))
-                times.append(np.empty(0, np.int64))
+                numbers.append(np.empty(0, np.int32))
+                times.append(np.empty(0, np.int32))
                 continue
             n = links[own]
             until = np.cumsum(n)
@@ -225,12 +225,12 @@ class _Block:
             holds[distinct] += 1
             digest = hashlib.sha256(b"".join([u.shown[i] for i in own.tolist()])[:-1]).hexdigest()
             rows.append((*known[own, 1:].sum(0).tolist(), digest))
-            numbers.append(distinct)
-            times.append(often)
+            numbers.append(distinct.astype(np.int32))
+            times.append(often.astype(np.int32))
         return rows, numbers, times, pairs, holds
 
 
-def aligned_blocks(docs: DataFrame, byte_path: str, piece_path: str, keep: list[str], text: str = "text", block_chars: int = 24 << 20) -> DataFrame:
+def aligned_blocks(docs: DataFrame, byte_path: str, piece_path: str, keep: list[str], text: str = "text", block_chars: int = 6 << 20) -> DataFrame:
     """keep, block, n_a, n_b, n_groups, n_links, groups_sha256, numbers and times of each document's pairs; and one row
     for each block, keep null, with its pairs and how many of its documents hold each (holds).
     """
