@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidepool.operators import graph
+from tidepool.operators import graph, louvain
 from tidepool.settings import Settings
 
 
@@ -39,7 +39,7 @@ def test_components_and_louvain(spark):
     p = spark.createDataFrame([("kb", *x) for x in PAIRS], "kb_id string, a string, b string, weight double")
     cc = {r["entity_id"]: r["component"] for r in graph.connected_components(v, p).collect()}
     assert cc == dict.fromkeys("ABCDEF", "A") | {"G": "G"}
-    lv = {r["entity_id"]: r["component"] for r in graph.louvain(v, p).collect()}
+    lv = {r["entity_id"]: r["component"] for r in louvain.louvain(v, p).collect()}
     assert lv == dict.fromkeys("ABC", "A") | dict.fromkeys("DEF", "D") | {"G": "G"}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.functions.digests import tree_digest
 from tidepool.functions.text import has_low_information
 from tidepool.operators.routing import canonical_json
 
@@ -107,11 +108,12 @@ IDENTITY = ("schema_version", "cases_sha256", "kb_id", "index_state", "graph_sta
 
 
 def manifest(cases: DataFrame, facts: dict[str, str]) -> DataFrame:
-    """One row: a digest over all cases (in the order of their ids) and the given facts."""
-    one = cases.select("case_id", F.sha2(canonical_json(F.to_json(F.struct(*cases.columns))), 256).alias("_d"))
-    # a digest per case first, so that what is gathered is 64 characters a case
-    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("case_id", "_d"))), lambda x: x["_d"]), ","), 256)
-    return one.agg(digest.alias("cases_sha256"), F.count("*").alias("case_count")).withColumns({k: F.lit(v) for k, v in facts.items()})
+    """One row: a digest over all distinct cases, made as a tree so that no task gathers them, and the given facts."""
+    own = F.sha2(canonical_json(F.to_json(F.struct(*cases.columns))), 256)
+    digest = tree_digest(cases.select(F.lit(1).alias("_one"), F.concat_ws(":", "case_id", own).alias("_case")), ["_one"], "_case")
+    one = cases.agg(F.count("*").alias("case_count")).withColumn("_one", F.lit(1)).join(digest, "_one", "left")
+    none = F.sha2(F.lit(""), 256)
+    return one.select(F.coalesce("digest", none).alias("cases_sha256"), "case_count").withColumns({k: F.lit(v) for k, v in facts.items()})
 
 
 #: What each named experiment switches on.

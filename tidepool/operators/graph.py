@@ -1,11 +1,10 @@
-"""Entities, relations, one-hop recall, connected components, Louvain and communities."""
+"""Entities, relations, one-hop recall, connected components and communities."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
-from collections import defaultdict
 from itertools import combinations
 
 import pandas as pd
@@ -14,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from tidepool.functions.digests import tree_digest
 from tidepool.functions.text import entity_name, summary
-from tidepool.operators.ranking import coverage_first, ranked, small
+from tidepool.operators.containment import contained
+from tidepool.operators.ranking import coverage_first, ranked
 from tidepool.settings import DEFAULTS, Settings
 
 #: Patterns of entities and relations, and words that are no entity.
@@ -173,80 +174,17 @@ def connected_components(vertices: DataFrame, pairs: DataFrame, vertex: str = "e
             return labels.select(F.col("v").alias(vertex), F.col("label").alias("component"))
 
 
-def _louvain(nodes: list[str], weights: dict[tuple[str, str], float], resolution: float) -> dict[str, str]:
-    """Community (named by its least member) of each node: local moves and aggregation, in sorted order."""
-    owner = {n: n for n in nodes}
-    links: dict[str, dict[str, float]] = {n: {} for n in nodes}
-    for (a, b), w in weights.items():
-        links[a][b] = links[a].get(b, 0) + w
-        links[b][a] = links[b].get(a, 0) + w
-    total = sum(weights.values())
-    while total:
-        degree = {n: sum(w for m, w in near.items()) + near.get(n, 0) for n, near in links.items()}
-        group, size = {n: n for n in links}, dict(degree)
-        moved_ever = moved = True
-        moved_ever = False
-        while moved:
-            moved = False
-            for n in sorted(links):
-                to = defaultdict(float)
-                for m, w in links[n].items():
-                    if m != n:
-                        to[group[m]] += w
-                here = group[n]
-                size[here] -= degree[n]
-                gain = lambda g: to[g] - resolution * size[g] * degree[n] / (2 * total)
-                best = max(sorted({*to, here}), key=lambda g: (round(gain(g), 12), g == here))
-                size[best] += degree[n]
-                if best != here:
-                    group[n], moved, moved_ever = best, True, True
-        if not moved_ever:
-            break
-        owner = {n: group[o] for n, o in owner.items()}
-        merged: dict[str, dict[str, float]] = {g: {} for g in set(group.values())}
-        for n, near in links.items():
-            for m, w in near.items():
-                a, b = group[n], group[m]
-                if n <= m:
-                    merged[a][b] = merged[a].get(b, 0) + w
-                    if a != b:
-                        merged[b][a] = merged[b].get(a, 0) + w
-        links = merged
-    members = defaultdict(list)
-    for n, g in owner.items():
-        members[g].append(n)
-    return {n: min(own) for own in members.values() for n in own}
-
-
-def louvain(vertices: DataFrame, pairs: DataFrame, by: str = "kb_id", vertex: str = "entity_id", resolution: float = 1.0) -> DataFrame:
-    """(by, vertex, component): Louvain communities of each knowledge base's own graph, one base to a task.
-
-    For whole graphs that no task can hold use connected_components.
-    """
-
-    def detect(own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        found = _louvain(sorted(own[vertex]), {(r.a, r.b): r.weight for r in edges.itertuples()}, resolution)
-        return pd.DataFrame({by: own[by].iloc[0] if len(own) else [], vertex: list(found), "component": list(found.values())})
-
-    schema = StructType([vertices.schema[by], vertices.schema[vertex], StructField("component", vertices.schema[vertex].dataType)])
-    return vertices.select(by, vertex).groupBy(by).cogroup(pairs.select(F.col(by).alias(by), "a", "b", "weight").groupBy(by)).applyInPandas(detect, schema)
-
-
-def _key(n: str, digests: str) -> Column:
-    """A key of a set of ids that needs no list of them: their number and the sum of their digests."""
-    return F.substring(F.sha2(F.concat_ws("|", F.col(n).cast("string"), F.col(digests).cast("string")), 256), 1, 32)
-
-
 def build_communities(members: DataFrame, entities: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per community of level 0, and one of level 1 over them all where there are several.
 
     (level, component, community_key, title, members, source_locators): title from the four most mentioned members,
-    the first sorted source chunks, 80 on level 0 and 120 on level 1. members: entity_id, component; they are
-    counted, never gathered. An edge's chunk counts for the groups of both its ends.
+    the first sorted source chunks, 80 on level 0 and 120 on level 1. members: entity_id, component. The key is the
+    start of the digest of the sorted ids joined by |, and that of a digest tree for groups of more than 4096 members.
+    An edge's chunk counts for the groups of both its ends.
     """
     full = members.join(entities, "entity_id")
-    own = F.conv(F.substring(F.md5("entity_id"), 1, 15), 16, 10).cast("decimal(38,0)")
-    group = full.groupBy("component").agg(F.count("*").alias("members"), F.sum(own).alias("_d"))
+    key = F.substring("digest", 1, 32).alias("community_key")
+    group = tree_digest(full, ["component"], "entity_id").select("component", key, F.col("items").alias("members"))
     order = [F.desc("mention_count"), F.col("normalized_name"), F.col("entity_id")]
     best = ranked(full, ["component"], order, "_n").where(F.col("_n") <= 4).groupBy("component").agg(
         F.array_sort(F.collect_list(F.struct("_n", F.substring("name", 1, 40).alias("name")))).alias("_names"))
@@ -257,10 +195,11 @@ def build_communities(members: DataFrame, entities: DataFrame, mentions: DataFra
     chunks = sources.groupBy("component").agg(F.array_sort(F.collect_list("locator")).alias("source_locators"))
     title = F.array_join(F.transform("_names", lambda m: m["name"]), "、").alias("title")
     low = group.join(best, "component").join(chunks, "component", "left").select(
-        F.lit(0).alias("level"), "component", _key("members", "_d").alias("community_key"), title, "members", F.coalesce("source_locators", none).alias("source_locators"))
+        F.lit(0).alias("level"), "component", "community_key", title, "members", F.coalesce("source_locators", none).alias("source_locators"))
     first = sources.select("locator").distinct().orderBy("locator").limit(120).agg(F.array_sort(F.collect_list("locator")).alias("source_locators"))
-    whole = group.agg(F.count("*").alias("_groups"), F.sum("members").alias("members"), F.sum("_d").alias("_d")).where("_groups > 1").join(first)  # one row each
-    high = whole.select(F.lit(1).alias("level"), F.lit(None).cast(members.schema["component"].dataType).alias("component"), _key("members", "_d").alias("community_key"),
+    every = tree_digest(full.withColumn("_one", F.lit(1)), ["_one"], "entity_id").select(key, F.col("items").alias("members"))
+    whole = group.agg(F.count("*").alias("_groups")).where("_groups > 1").join(every).join(first)  # one row each
+    high = whole.select(F.lit(1).alias("level"), F.lit(None).cast(members.schema["component"].dataType).alias("component"), "community_key",
                         F.lit("知识库全局主题").alias("title"), "members", F.coalesce("source_locators", none).alias("source_locators"))
     return low.unionByName(high)
 
@@ -277,13 +216,23 @@ def community_recall(queries: DataFrame, communities: DataFrame, limit: int, mos
     """Chunks of the best communities by token overlap, each scored 1 / (1 + its last place in the joined list).
 
     queries: query_id, community_tokens, is_global. A global question takes communities without overlap too.
-    communities: level, community_key, text (normalised title and summary), source_locators; kept small by design.
+    communities: level, community_key, text (normalised title and summary), source_locators. Tokens are looked up in
+    an index of the texts' runs; a global question also gets the first communities of either level, which are the
+    best of those without overlap for every such question.
     """
-    met = queries.join(small(communities))
-    hits = F.size(F.filter("community_tokens", lambda t: F.col("text").contains(t)))
-    raised = hits + F.when(F.col("is_global") & (F.col("level") > 0), 0.25).otherwise(0.0)
-    raised = F.when(F.col("is_global") & (F.size("community_tokens") == 0), 0.1).otherwise(raised)
-    best = met.withColumn("_s", raised).where("is_global OR _s > 0")
+    asked = queries.select("query_id", "is_global", F.size("community_tokens").alias("_tokens"))
+    wanted = queries.select("query_id", F.explode(F.array_distinct("community_tokens")).alias("token"))
+    texts = communities.select("community_key", F.col("text").alias("_text"))
+    held = contained(wanted.select("token").distinct(), texts, "token", "_text").select("token", "community_key")
+    hits = wanted.join(held, "token").groupBy("query_id", "community_key").agg(F.count("*").alias("_hits"))
+    first = F.row_number().over(Window.partitionBy(F.col("level") > 0).orderBy("level", "community_key"))
+    spare = communities.select("level", "community_key", first.alias("_n")).where(F.col("_n") <= most)
+    spare = spare.agg(F.collect_list("community_key").alias("_keys"))  # one row of at most 2 * most keys
+    more = asked.where("is_global").join(F.broadcast(spare), F.lit(True)).select("query_id", F.explode("_keys").alias("community_key"))
+    every = hits.unionByName(more.withColumn("_hits", F.lit(0).cast("long"))).groupBy("query_id", "community_key").agg(F.max("_hits").alias("_hits"))
+    best = every.join(asked, "query_id").join(communities.select("level", "community_key", "source_locators"), "community_key")
+    raised = F.col("_hits") + F.when(F.col("is_global") & (F.col("level") > 0), 0.25).otherwise(0.0)
+    best = best.withColumn("_s", F.when(F.col("is_global") & (F.col("_tokens") == 0), 0.1).otherwise(raised))
     best = ranked(best, ["query_id"], [F.desc("_s"), F.col("level"), F.col("community_key")], "_c").where(F.col("_c") <= most)
     flat = best.select("query_id", "_c", F.posexplode("source_locators").alias("_i", "locator"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("_c", "_i")) - 1

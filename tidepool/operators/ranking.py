@@ -63,10 +63,3 @@ def round_robin(df: DataFrame, asset: str, within: list[Column], cap: int) -> Da
     """Depth by depth across assets sorted by id, up to cap rows for each query."""
     deep = ranked(df, ["query_id", asset], within, "depth")
     return ranked(deep, ["query_id"], [F.col("depth"), F.col(asset)], "position").where(F.col("position") <= cap)
-
-
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df marked for broadcast, after a check that it has at most so many rows."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows: join on an equality instead")
-    return F.broadcast(df)

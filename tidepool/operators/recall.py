@@ -9,7 +9,8 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tidepool.functions.text import occurrences, tokens
-from tidepool.operators.ranking import ranked, small, top_k, within
+from tidepool.operators.containment import contained
+from tidepool.operators.ranking import ranked, top_k, within
 from tidepool.settings import DEFAULTS, Settings
 
 
@@ -140,16 +141,16 @@ def tag_recall(queries: DataFrame, tags: DataFrame, assignments: DataFrame, asse
 
 def auto_tags(documents: DataFrame, tags: DataFrame, assigned: DataFrame) -> DataFrame:
     """Pending proposals for tags whose name stands in title or text and that the document does not have yet."""
-    text = F.lower(F.concat_ws("\n", "title", "content"))
-    met = documents.withColumn("_text", text).join(small(tags), F.col("_text").contains(F.col("normalized_name")))
+    texts = documents.select("document_id", F.lower(F.concat_ws("\n", "title", "content")).alias("_text"))
+    met = contained(tags.select("tag_id", "normalized_name"), texts, "normalized_name", "_text")
     new = met.select("document_id", "tag_id").join(assigned.select("document_id", "tag_id"), ["document_id", "tag_id"], "left_anti")
     return new.withColumns({"state": F.lit("pending"), "confidence": F.lit(1.0)})
 
 
 def mention_counts(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity_id, locator, mention_count) of entities that stand in a chunk."""
-    text = F.lower("content")
-    met = chunks.withColumn("_text", text).join(small(entities), F.col("_text").contains(F.col("normalized_name")))
+    texts = chunks.select("locator", F.lower("content").alias("_text"))
+    met = contained(entities.select("entity_id", "normalized_name"), texts, "normalized_name", "_text")
     return met.select("entity_id", "locator", occurrences(F.col("_text"), F.col("normalized_name")).alias("mention_count"))
 
 

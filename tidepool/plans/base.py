@@ -44,7 +44,7 @@ def sql_query(name: str, spark_sql: str, tables: str, duckdb_sql: str | None = N
 
 #: Fragments of DuckDB SQL that several queries share.
 TOKENS = r"list_distinct(regexp_extract_all(lower({}), '[\x{{4e00}}-\x{{9fff}}]|[a-zA-Z0-9_]{{2,}}'))"
-CHUNKS = """chunks AS (SELECT concat('document:', doc_id, ':chunk:0') AS locator, doc_id, source AS document_id, text AS content,
+CHUNKS = """chunks AS (SELECT concat('document:', doc_id, ':chunk:0') AS locator, doc_id, doc_id::VARCHAR AS document_id, source, text AS content,
   left(text, 60) AS title, substr(text, 61, 60) AS section, lang AS source_type FROM documents)"""
 INDEX = f"idx AS (SELECT locator, unnest({TOKENS.format('content')}) AS token FROM chunks)"
 

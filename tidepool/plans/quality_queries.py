@@ -70,7 +70,7 @@ _CASES = r"cases AS (SELECT item_id AS case_id, CASE WHEN item_id % 8 = 7 THEN [
 
 
 def _metrics(part: str, name: str) -> str:
-    return f"""{keyword_list('k_' + name, 5, part)}, h_{name} AS (SELECT query_id AS case_id, rank, document_id AS title, lower(content) AS content FROM k_{name} JOIN chunks USING (locator)),
+    return f"""{keyword_list('k_' + name, 5, part)}, h_{name} AS (SELECT query_id AS case_id, rank, source AS title, lower(content) AS content FROM k_{name} JOIN chunks USING (locator)),
   {name} AS (SELECT case_id, coalesce(first, 0) = 1 AS top1, coalesce(found / nullif(len(titles), 0)::DOUBLE, 0.0) AS recall, coalesce(1.0::DOUBLE / first, 0.0) AS reciprocal_rank,
     CASE WHEN len(keywords) = 0 THEN 1.0 ELSE coalesce(covered / len(keywords)::DOUBLE, 0.0) END AS keyword_coverage, coalesce(noise, 0)::BIGINT AS noise, coalesce(retrieved, 0) AS retrieved, retrieved IS NULL AS empty, len(titles) > 0 AS grounded
     FROM cases LEFT JOIN (SELECT c.case_id, count(*) AS retrieved, min(CASE WHEN list_contains(titles, title) THEN rank END) AS first, count(DISTINCT CASE WHEN list_contains(titles, title) THEN title END) AS found,
@@ -90,7 +90,7 @@ def metrics(c, part: str = "all"):
     words = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0)))), 1, 3)
     titles = F.when(i % 8 == 7, F.array().cast("array<string>")).otherwise(F.array(source(i), source(i + 1)))
     cases = b.select(i.alias("case_id"), titles.alias("titles"), words.alias("keywords"))
-    hits = keyword(c, 5, part).join(c.chunks(), "locator").select(F.col("query_id").alias("case_id"), "rank", F.col("document_id").alias("title"), "content")
+    hits = keyword(c, 5, part).join(c.chunks(), "locator").select(F.col("query_id").alias("case_id"), "rank", F.col("source").alias("title"), "content")
     return evaluation.case_metrics(cases, hits)
 
 

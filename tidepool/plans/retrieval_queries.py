@@ -174,15 +174,15 @@ _FACTS = """f AS (SELECT concat('document:', doc_id, ':chunk:0') AS locator, doc
   gone AS (SELECT DISTINCT concat('document:', doc_id - 7, ':chunk:0') AS locator FROM labels WHERE doc_id % 11 = 0)"""
 
 
-@query(f"WITH {_FACTS} SELECT locator AS document_id, availability FROM a")
+@query(f"WITH {_FACTS} SELECT doc_id::VARCHAR AS document_id, availability FROM a")
 def availability(c):
     as_of = F.lit("2026-07-01").cast("timestamp_ntz")
     return c.governed().select("document_id", governance.availability(F.col("effective_at"), F.col("expires_at"), as_of).alias("availability"))
 
 
-@query(f"WITH {_FACTS} SELECT concat('document:', doc_id, ':chunk:0') AS document_id FROM documents WHERE concat('document:', doc_id, ':chunk:0') NOT IN (SELECT locator FROM gone)")
+@query(f"WITH {_FACTS} SELECT doc_id::VARCHAR AS document_id FROM documents WHERE concat('document:', doc_id, ':chunk:0') NOT IN (SELECT locator FROM gone)")
 def supersede_anti(c):
-    d = c.chunks().select(F.col("locator").alias("document_id"))
+    d = c.chunks().select("document_id")
     return d.join(governance.superseded(c.governed()), "document_id", "left_anti")
 
 
@@ -191,7 +191,7 @@ def supersede_anti(c):
   + (CASE WHEN a.toxic = 1 THEN -0.08 ELSE 0 END)::DOUBLE)) AS s FROM k LEFT JOIN a USING (locator)
   WHERE k.locator NOT IN (SELECT locator FROM gone) AND coalesce(a.availability <> 'future', true))""")
 def governance_filter(c):
-    found = keyword(c, 24).withColumn("document_id", F.col("locator"))
+    found = keyword(c, 24).join(c.chunks().select("locator", "document_id"), "locator")
     out = governance.govern(found, c.governed(), F.lit("2026-07-01").cast("timestamp_ntz"))
     return out.select("query_id", "locator", F.round("score", 9).alias("score"), "rank")
 

@@ -29,7 +29,7 @@ class Catalog:
         d = self.table("documents")
         return d.select(
             F.concat(F.lit("document:"), "doc_id", F.lit(":chunk:0")).alias("locator"), F.col("doc_id"),
-            F.col("source").alias("document_id"), F.lit(0).alias("ordinal"), F.substring("text", 1, 60).alias("title"),
+            F.col("doc_id").cast("string").alias("document_id"), "source", F.lit(0).alias("ordinal"), F.substring("text", 1, 60).alias("title"),
             F.substring("text", 61, 60).alias("section"), F.col("lang").alias("source_type"), F.col("text").alias("content"))
 
     def questions(self, part: str = "all") -> DataFrame:
@@ -51,11 +51,11 @@ class Catalog:
         start = F.lit("2026-01-01").cast("timestamp_ntz")
         days = lambda n: start + F.make_dt_interval(F.expr(n).cast("int"))
         return lab.select(
-            F.concat(F.lit("document:"), "doc_id", F.lit(":chunk:0")).alias("document_id"),
+            F.col("doc_id").cast("string").alias("document_id"),
             F.when(F.col("quality") == 1, "verified").otherwise("unverified").alias("trust_level"),
             F.when(F.col("toxic") == 1, "conflicted").otherwise("none").alias("conflict_state"),
             days("doc_id % 400").alias("effective_at"), days("doc_id % 700").alias("expires_at"), F.lit("indexed").alias("status"),
-            F.when(F.col("doc_id") % 11 == 0, F.format_string("document:%d:chunk:0", F.col("doc_id") - 7)).alias("supersedes_document_id"))
+            F.when(F.col("doc_id") % 11 == 0, (F.col("doc_id") - 7).cast("string")).alias("supersedes_document_id"))
 
     def relations(self) -> DataFrame:
         """Parts and suppliers as entities, joined by line items; confidence from quantity and discount."""
