@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, text: s
         return work
 
     added = "piece int, start long, length long, ids binary, _task int, _number long"
-    return map_batches(docs.select(*dict.fromkeys([*keep, text])), make, added, keep, rows=2000, keeps=True)
+    return map_batches(docs.select(*dict.fromkeys([*keep, text])), make, added, keep, rows=500, keeps=True)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text",
