@@ -106,3 +106,40 @@ def test_whole_path_with_routes(spark, corpus):
     assert DEFAULTS.boost_most == 0.20 and evidence.where(F.col("content").isNull()).count() == 0
     nothing, none = search(q.limit(0), corpus, k=3)
     assert nothing.count() == 0 and none.count() == 0
+
+
+def test_governance_by_document_in_the_whole_path(spark):
+    """Every chunk of a superseded or future document goes, expired ones lose score, and neighbours stay within a document."""
+    chunks = spark.createDataFrame([(f"document:{d}:chunk:{i}", d, i, "same title", "same section", "markdown", f"redis keeps the cache warm, part {i} of {d}")
+                                    for d in "ABCDE" for i in range(3)],
+                                   "locator string, document_id string, ordinal int, title string, section string, source_type string, content string")
+    day = "2026-01-{:02}".format
+    facts = [("A", None, None, None, "indexed"), ("B", None, None, "A", "indexed"), ("C", day(20), None, None, "indexed"),
+             ("D", None, day(5), None, "indexed"), ("E", None, None, "B", "archived")]
+    governed = spark.createDataFrame([(d, "standard", "none", e, x, s, st) for d, e, x, s, st in facts],
+                                     "document_id string, trust_level string, conflict_state string, effective_at string, expires_at string, supersedes_document_id string, status string")
+    governed = governed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("effective_at", "expires_at")})
+    asked = spark.createDataFrame([(1, "redis cache warm")], "query_id long, query string")
+    evidence, _ = search(asked, Corpus(chunks, governed=governed), k=8, as_of=F.lit("2026-01-10").cast("timestamp_ntz"))
+    rows = evidence.collect()
+    assert {r["locator"][9] for r in rows} == {"B", "D", "E"} and any(r["locator"].endswith(":2") for r in rows)
+    score = {d: max(r["score"] for r in rows if r["locator"][9] == d) for d in "BDE"}
+    assert score["D"] < score["B"]
+    for r in rows:
+        assert {w for w in "ABCDE" if f"of {w}" in r["content"]} == {r["locator"][9]}
+
+
+def test_keyword_hits_are_ranked_before_they_are_shuffled(spark):
+    """Counting needs no exchange of (query, chunk) pairs: of each partition only the best go on."""
+    rng = random.Random(2)
+    word = lambda: rng.choice("one two three four five six seven eight nine ten".split())
+    chunks = spark.createDataFrame([(f"c{i:04}", " ".join(word() for _ in range(5))) for i in range(2000)], "locator string, content string").repartition(4)
+    asked = spark.createDataFrame([(q, f"{word()} {word()} {word()} {word()}") for q in range(10)], "query_id long, query string")
+    found = recall.keyword_recall(asked, recall.token_index(chunks), 7)
+    rows = [(r["query_id"], r["locator"]) for r in found.collect()]
+    assert len(rows) == 70 and found.where("rank > 7").isEmpty()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    at = [plan.index(x) for x in ("WindowGroupLimit", "hashpartitioning(query_id", "HashAggregate")]
+    assert at == sorted(at)  # limited again on both sides of the only exchange above the counts
+    between = plan[plan.index("Partial") : plan.index("Generate")]
+    assert "Exchange hashpartitioning(query_id" not in between

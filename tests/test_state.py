@@ -74,18 +74,28 @@ def test_backoff(spark, attempt, seconds):
     assert spark.range(1).select(state.backoff(F.lit(attempt))).first()[0] == seconds
 
 
-def test_upserts_by_foreach_batch(spark, tmp_path):
+def test_upserts_by_foreach_batch_touch_few_buckets(spark, tmp_path):
     src, path = str(tmp_path / "in"), str(tmp_path / "out")
     (tmp_path / "in").mkdir()
     schema = "run_id long, sequence long, stage string"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    apply = state.merge_into(path, ["run_id"], [F.desc("sequence")])
-    for rows in ([(1, 10, "a"), (2, 10, "a")], [(1, 20, "b")]):
+    apply = state.merge_into(path, ["run_id"], [F.desc("sequence")], buckets=8)
+    rng, want = random.Random(3), {}
+    batches = [[(i, 1, "a") for i in range(100)], [(7, 2, "b")], [(7, 1, "late"), (200, 5, "new")], [(rng.randrange(100), 9, "c") for _ in range(3)]]
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
-    last = spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0]
-    assert {(r["run_id"], r["stage"]) for r in spark.read.parquet(f"{path}/v{last}").collect()} == {(1, "b"), (2, "a")}
+        for i, n, v in rows:
+            if n >= want.get(i, (0,))[0]:
+                want[i] = (n, v)
+        assert {r["run_id"]: (r["sequence"], r["stage"]) for r in state.bucketed(path, spark).collect()} == want
+    written = [len(list((tmp_path / "out" / "data" / f"batch={i}").glob("bucket=*"))) for i in range(4)]
+    assert written[0] == 8 and written[1] == 1 and written[2] <= 2 and written[3] <= 3  # only what holds the batch's keys
+    again = spark.createDataFrame(batches[1], schema)
+    apply(again, 1)  # a batch that runs twice changes nothing
+    assert {r["run_id"]: (r["sequence"], r["stage"]) for r in state.bucketed(path, spark).collect()} == want
+    assert state.bucketed(str(tmp_path / "none"), spark) is None
 
 
 def test_windows_stream(spark, tmp_path):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tidepool.functions.text import occurrences, tokens
@@ -15,14 +14,20 @@ from tidepool.settings import DEFAULTS, Settings
 
 
 def token_index(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """The inverted index (token, locator); worth writing bucketed by token when it is used again."""
-    return chunks.select("locator", F.explode(tokens(F.col(text))).alias("token"))
+    """The inverted index (token, locator), dealt out by locator.
+
+    All tokens of a chunk are in one partition, so hits of a question and a chunk are counted where they are, and only
+    the best of each partition are shuffled. Worth writing bucketed by locator when it is used again. (explode would
+    make Spark split every text twice, once to test for rows; explode_outer doesn't.)
+    """
+    dealt = chunks.select("locator", F.col(text).alias("_text")).repartition("locator")
+    return dealt.select("locator", F.explode_outer(tokens(F.col("_text"))).alias("token")).where("token IS NOT NULL")
 
 
 def keyword_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
     """The share of a query's tokens that a chunk holds, for chunks that hold any."""
-    asked = queries.select("query_id", tokens(F.col("query")).alias("_t")).where(F.size("_t") > 0)
-    asked = asked.select("query_id", F.size("_t").alias("_n"), F.explode("_t").alias("token"))
+    asked = queries.select("query_id", tokens(F.col("query")).alias("_t"))
+    asked = asked.select("query_id", F.size("_t").alias("_n"), F.explode_outer("_t").alias("token")).where("token IS NOT NULL")
     hits = asked.join(index, "token").groupBy("query_id", "locator", "_n").agg(F.count("*").alias("_hits"))
     return hits.select("query_id", "locator", (F.col("_hits") / F.col("_n")).alias("score"))
 
@@ -154,17 +159,25 @@ def mention_counts(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     return met.select("entity_id", "locator", occurrences(F.col("_text"), F.col("normalized_name")).alias("mention_count"))
 
 
-def _cover_density(places) -> float:
-    """Sum over minimal covers of all terms: a tenth, divided by one more than the words between the terms."""
-    last: dict[str, int] = {}
-    total, begin, needed = 0.0, None, len({p["term"] for p in places})
-    for i, p in enumerate(places):
-        last[p["term"]] = i
-        if len(last) == needed and (first := min(last.values())) != begin:
-            begin = first
-            entries = i - first
-            total += 0.1 / (1 + max(p["pos"] - places[first]["pos"] - entries, 0))
-    return total
+def _cover_density(places: Column, terms: Column) -> Column:
+    """Sum over minimal covers of all terms: a tenth, divided by one more than the words between the terms.
+
+    places: array of (pos, term) in order. The fold keeps where each term stood last; the least of these begins a cover.
+    """
+    none = F.transform(terms, lambda t: F.lit(0))
+    start = F.struct(none.alias("last"), F.lit(0).alias("begin"), F.lit(0.0).alias("total"), F.lit(0).alias("i"))
+
+    def step(s, p):
+        i = s["i"] + 1
+        at = F.array_position(terms, p["term"]).cast("int") - 1
+        last = F.transform(s["last"], lambda x, j: F.when(j == at, i).otherwise(x))
+        first = F.array_min(last)
+        whole = (first > 0) & (first != s["begin"])
+        between = F.greatest(p["pos"] - F.element_at(places, F.greatest(first, F.lit(1)))["pos"] - (i - first), F.lit(0))
+        return F.struct(last.alias("last"), F.when(whole, first).otherwise(s["begin"]).alias("begin"),
+                        (s["total"] + F.when(whole, F.lit(0.1) / (1 + between)).otherwise(0.0)).alias("total"), i.alias("i"))
+
+    return F.aggregate(places, start, step, lambda s: s["total"])
 
 
 def full_text_recall(queries: DataFrame, chunks: DataFrame, limit: int | None = None) -> DataFrame:
@@ -172,18 +185,14 @@ def full_text_recall(queries: DataFrame, chunks: DataFrame, limit: int | None =
 
     An optional lexical mode beside keyword recall. Words are runs of letters and digits, lower-cased.
     """
-    @F.pandas_udf(DoubleType())
-    def density(places: pd.Series) -> pd.Series:
-        return places.map(_cover_density)
-
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     asked = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("_w")).where(F.size("_w") > 0)
     terms = asked.select("query_id", F.size("_w").alias("_n"), F.explode("_w").alias("term"))
-    held = chunks.select("locator", F.explode(F.array_distinct(words(F.col("content")))).alias("term"))
+    held = chunks.select("locator", F.explode_outer(F.array_distinct(words(F.col("content")))).alias("term")).where("term IS NOT NULL")
     met = held.join(terms, "term").groupBy("query_id", "locator", "_n").agg(F.count("*").alias("_found")).where("_found = _n")
     # places only of the chunks that hold all words
     full = met.select("query_id", "locator").join(asked, "query_id").join(chunks.select("locator", "content"), "locator")
     placed = F.filter(F.transform(words(F.col("content")), lambda w, i: F.struct(i.alias("pos"), w.alias("term"))), lambda x: F.array_contains("_w", x["term"]))
-    scored = full.withColumn("_s", density(placed))
+    scored = full.withColumn("_p", placed).withColumn("_s", _cover_density(F.col("_p"), F.col("_w")))
     scored = scored.select("query_id", "locator", (F.col("_s") / (1 + F.col("_s"))).alias("score"))
     return scored if limit is None else top_k(scored, limit)

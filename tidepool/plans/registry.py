@@ -7,6 +7,7 @@ from tidepool.plans import (  # noqa: F401
     relational_queries,
     retrieval_queries,
     state_queries,
+    tenant_queries,
     text_queries,
 )
 from tidepool.plans.base import ORACLE_SQL, QUERIES

@@ -271,3 +271,19 @@ def search_decisions(c):
 def full_text_match(c):
     """How many chunks hold every word of a question."""
     return recall.full_text_recall(c.questions(), c.chunks()).groupBy("query_id").agg(F.count("*").alias("matches"))
+
+
+@query(rf"""WITH {CHUNKS}, q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM benchmark),
+  x AS (SELECT locator, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+') AS words FROM chunks),
+  t AS (SELECT query_id, len(w) AS n, unnest(w) AS term FROM q), d AS (SELECT locator, unnest(list_distinct(words)) AS term FROM x),
+  whole AS (SELECT query_id, locator, n FROM t JOIN d USING (term) GROUP BY query_id, locator, n HAVING count(*) = n),
+  p AS (SELECT query_id, locator, pos, term, row_number() OVER (PARTITION BY query_id, locator ORDER BY pos) AS i FROM (
+    SELECT query_id, locator, w, unnest(words) AS term, unnest(range(len(words))) AS pos FROM whole JOIN q USING (query_id) JOIN x USING (locator)) WHERE list_contains(w, term)),
+  l AS (SELECT a.query_id, a.locator, a.i, b.term, max(b.i) AS last FROM p a JOIN p b ON a.query_id = b.query_id AND a.locator = b.locator AND b.i <= a.i GROUP BY ALL),
+  c AS (SELECT query_id, locator, first, min(i) AS i FROM (SELECT query_id, locator, i, min(last) AS first, count(*) AS k FROM l GROUP BY ALL) JOIN whole USING (query_id, locator) WHERE k = n GROUP BY ALL),
+  s AS (SELECT c.query_id, c.locator, sum(0.1 / (1 + greatest(e.pos - f.pos - (c.i - c.first), 0))::DOUBLE ORDER BY c.i) AS s FROM c
+    JOIN p e ON e.query_id = c.query_id AND e.locator = c.locator AND e.i = c.i JOIN p f ON f.query_id = c.query_id AND f.locator = c.locator AND f.i = c.first GROUP BY ALL)
+  SELECT query_id, locator, round(score, 9) AS score, rank FROM (SELECT query_id, locator, s / (1 + s) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s / (1 + s) DESC, locator) AS rank FROM s) WHERE rank <= 8""")
+def full_text_topk(c):
+    """The chunks that hold every word of a question, by cover density."""
+    return recall.full_text_recall(c.questions(), c.chunks(), 8).withColumn("score", F.round("score", 9))

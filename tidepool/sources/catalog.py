@@ -26,7 +26,7 @@ class Catalog:
 
     def chunks(self) -> DataFrame:
         """Documents as one chunk each; title and section are the first characters of the text."""
-        d = self.table("documents")
+        d = spread(self.table("documents"))
         return d.select(
             F.concat(F.lit("document:"), "doc_id", F.lit(":chunk:0")).alias("locator"), F.col("doc_id"),
             F.col("doc_id").cast("string").alias("document_id"), "source", F.lit(0).alias("ordinal"), F.substring("text", 1, 60).alias("title"),
@@ -66,6 +66,12 @@ class Catalog:
             F.format_string("document:%d:chunk:%d", "l_orderkey", "l_linenumber").alias("locator"))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, dealt out anew; larger ones as they are. For plain scans."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def scoped(df: DataFrame, workspace_id: str | None) -> DataFrame:
     """Rows of one workspace; without one, none."""
     return df.where(F.lit(False)) if workspace_id is None else df.where(F.col("workspace_id") == workspace_id)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
@@ -145,25 +145,48 @@ def upserted(current: DataFrame, changes: DataFrame, keys: list[str], order: lis
     return current.unionByName(changes).withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
-def merge_into(path: str, keys: list[str], order: list[Column]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps one row per key in versioned parquet folders under path.
+def bucketed(path: str, spark: SparkSession) -> DataFrame | None:
+    """The table that merge_into keeps under path: of each bucket the folder that the manifest names last."""
+    rows = _manifest(path, spark)
+    if rows is None:
+        return None
+    last = rows.groupBy("bucket").agg(F.max("batch_id").alias("batch_id")).collect()  # a row for each bucket
+    return spark.read.parquet(*[f"{path}/data/batch={r['batch_id']}/bucket={r['bucket']}" for r in last])
 
-    Each batch writes the next version and only then names it in a one-row pointer table, so that a batch that
-    fails half way, or runs twice, leaves the last version in place.
+
+def _manifest(path: str, spark: SparkSession) -> DataFrame | None:
+    try:
+        return spark.read.schema("bucket int, batch_id long").parquet(f"{path}/manifest")
+    except Exception as e:  # no batch yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def merge_into(path: str, keys: list[str], order: list[Column], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps one row per key in parquet folders of hash buckets under path (see bucketed).
+
+    A batch reads and writes only the buckets that hold its keys: it writes their new folders and only then names them
+    in the manifest, so that a batch that fails half way, or runs twice, leaves the last state in place. Folders that are
+    named no more are left to the owner of path.
     """
+    place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        names = spark.createDataFrame([], "version long")
-        try:
-            names = spark.read.parquet(f"{path}/versions")
-        except Exception as e:  # no version yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        last = names.where(F.col("version") < batch_id).agg(F.max("version")).first()[0]
-        current = batch.limit(0) if last is None else spark.read.parquet(f"{path}/v{last}")
-        upserted(current, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).write.mode("append").parquet(f"{path}/versions")
+        touched = [r["bucket"] for r in batch.select(place).distinct().collect()]  # at most so many buckets
+        if not touched:
+            return
+        known = _manifest(path, spark)
+        current = batch.limit(0)
+        if known is not None:
+            last = known.where((F.col("batch_id") < batch_id) & F.col("bucket").isin(touched)).groupBy("bucket").agg(F.max("batch_id").alias("batch_id")).collect()
+            if last:
+                current = spark.read.schema(batch.schema).parquet(*[f"{path}/data/batch={r['batch_id']}/bucket={r['bucket']}" for r in last])
+        merged = upserted(current, batch, keys, order).withColumn("bucket", place)
+        merged.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/batch={batch_id}")
+        named = spark.range(1).select(F.explode(F.lit(touched)).alias("bucket"), F.lit(batch_id).cast("long").alias("batch_id"))
+        named.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
     return apply
 
