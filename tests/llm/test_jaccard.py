@@ -61,6 +61,28 @@ def test_all_pairs_at_the_limit_are_found(spark, words, monkeypatch):
     assert partition(found) == partition(want)
 
 
+def test_one_shingle_in_all_texts(spark, words, monkeypatch):
+    """A passage that every text holds is dealt out in parts and bands; no order of shingles keeps it out of the prefixes here."""
+    rng, common = random.Random(6), words(8, 3)
+    texts = {}
+    for i in range(240):
+        own = words(rng.choice((6, 9, 14, 30)), 5000 + i // 2).split()
+        if i % 2 and rng.random() < 0.5:
+            own[rng.randrange(len(own))] = "other"
+        texts[i] = f"{common} {' '.join(own)}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "frequent", lambda texts, words: jaccard.shingler(words)(" ".join(common.split())) * 0)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(docs, part_rows=16).collect()}
+    want = brute(texts)
+    assert found == want and len(set(want.values())) > 100
+
+
+def test_sequences_of_words_are_told_by_two_hashes(spark):
+    rows = [(1, "a b"), (2, "A  B"), (3, "a c"), (4, None), (5, "")]
+    out = {r["doc_id"]: (r["_h1"], r["_h2"]) for r in jaccard._marked(spark.createDataFrame(rows, "doc_id long, text string"), "text", ["doc_id"], 5).collect()}
+    assert out[1] == out[2] != out[3] and out[4] == out[5] and len({h for pair in out.values() for h in pair}) == 6
+
+
 def test_stage_drops_copies_that_fingerprints_miss(spark, words):
     texts = corpus(words)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")

@@ -204,8 +204,10 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     docs = docs.drop("component_id")
     with shuffles_dropped(docs.sparkSession):
         ids = _components(docs, text, doc_id, words, least, distance, part_rows)
-    key = ["_h1", "_h2"]
-    return _marked(docs, text, docs.columns, words, fingerprints=False).join(ids, key).drop(*key)
+    other = [F.col(f"`{c}`") for c in docs.columns if c != text]  # in one column, whatever their names are
+    rows = docs.select(F.struct(*other, F.lit(1).alias("_")).alias("_row"), F.col(text).alias("_text"))
+    marked = _marked(rows, "_text", ["_row", "_text"], words, fingerprints=False).join(ids, ["_h1", "_h2"])
+    return marked.select(*(F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns), "component_id")
 
 
 def _components(docs: DataFrame, text: str, doc_id: str, words: int, least: Fraction, distance: int, part_rows: int) -> DataFrame:
@@ -237,7 +239,7 @@ def _components(docs: DataFrame, text: str, doc_id: str, words: int, least: Frac
     tried = written(balls.unionByName(beside).distinct(), "first-pairs")
     first = written(verify(tried, nodes, words, least), "first-links")
 
-    joined = least_member(first).select("node", F.col("component").alias("label"))
+    joined = written(least_member(first).select("node", F.col("component").alias("label")), "labels")
     labelled = met.drop("salt").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("band", bands(met, least))
     labelled = written(labelled, "labelled-shingles")
     short = labelled.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))  # longer texts are in the same band or the next
@@ -246,9 +248,13 @@ def _components(docs: DataFrame, text: str, doc_id: str, words: int, least: Frac
     x, y = short.join(mixed, ["gram", "band"], "left_semi").alias("x"), labelled.join(mixed, ["gram", "band"], "left_semi").alias("y")
     apart = F.expr("x.gram = y.gram AND x.band = y.band AND struct(x.n, x.node) < struct(y.n, y.node) AND x.label <> y.label")
     rest = written(x.join(y, apart & may("x.", "y.")).select(*_pair("x.node", "y.node")).distinct(), "other-pairs")
-    links = written(first.unionByName(verify(rest.join(tried, ["a", "b"], "left_anti"), nodes, words, least)), "links")
-
-    node = nodes.select("_node", "_h1", "_h2", "_least").join(least_member(links).withColumnRenamed("node", "_node"), "_node", "left")
-    node = node.select("_h1", "_h2", F.coalesce("component", "_node").alias("_component"), "_least")
+    more = verify(rest.join(tried, ["a", "b"], "left_anti"), nodes, words, least)
+    for end in ("a", "b"):  # links between components found so far: few are left to be joined
+        more = more.withColumnRenamed(end, "node").join(joined, "node", "left").select(F.coalesce("label", "node").alias(end), *(c for c in ("a", "b") if c != end))
+    whole = least_member(written(more.select("a", "b").distinct(), "links")).select(F.col("node").alias("label"), "component")
+
+    node = nodes.select("_node", "_h1", "_h2", "_least").join(joined.withColumnRenamed("node", "_node"), "_node", "left")
+    node = node.withColumn("label", F.coalesce("label", "_node")).join(whole, "label", "left")
+    node = node.select("_h1", "_h2", F.coalesce("component", "label").alias("_component"), "_least")
     smallest = node.groupBy("_component").agg(F.min("_least").alias("component_id"))
     return written(node.join(smallest, "_component").select("_h1", "_h2", "component_id"), "component-ids")
