@@ -163,3 +163,19 @@ def test_tenants_roles_and_index_gate(spark):
     kb = spark.createDataFrame([("kb", "ready", 1, 2)], "kb_id string, index_status string, index_revision int, embedding_revision int")
     with pytest.raises(Exception, match="index not ready"):
         catalog.require_ready(kb).collect()
+
+
+def test_metrics_text(spark):
+    requests = spark.createDataFrame([("GET", "/a", "2xx", 0.04), ("GET", "/a", "2xx", 0.3), ("GET", "/a", "5xx", 40.0)], "method string, route string, status_class string, seconds double")
+    rejected = spark.createDataFrame([("login", "memory"), ("login", "memory")], "scope string, backend string")
+    text = [r["line"] for r in files.metrics_text(requests, rejected).orderBy("part", "line").collect()]
+    assert text[:2] == ['http_requests_total{method="GET",route="/a",status_class="2xx"} 2', 'http_requests_total{method="GET",route="/a",status_class="5xx"} 1']
+    assert 'http_request_duration_seconds_bucket{method="GET",route="/a",le="0.5"} 2' in text and 'http_request_duration_seconds_bucket{method="GET",route="/a",le="+Inf"} 3' in text
+    assert text[-3:] == ['http_request_duration_seconds_sum{method="GET",route="/a"} 40.340000', 'http_request_duration_seconds_count{method="GET",route="/a"} 3',
+                         'rate_limit_rejections_total{scope="login",backend="memory"} 2']
+
+
+def test_questions_about_documents_are_not_routed_elsewhere(spark):
+    q = spark.createDataFrame([("文档中怎么写的", "direct", 0.99), ("hello there", "direct", 0.99), (None, "direct", 0.99), ("hello", "direct", 0.5)], "q string, label string, sure double")
+    out = q.select(routing.hybrid_route(F.lit("rag"), routing.asks_for_documents(F.col("q")), F.col("label"), F.col("sure")).alias("m")).collect()
+    assert [r["m"] for r in out] == ["rag", "direct", "direct", "rag"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import workflow
 from tidepool.plans.base import query
+from tidepool.sources import files
 from tidepool.streaming import queue, state
 
 _S = "epoch_us(ts) / 1000000.0"
@@ -100,24 +101,41 @@ def latest_event(c):
 _WAIT = "to_seconds(least(300, 5 * pow(2, n - 1))::BIGINT)"
 
 
-@query(f"""WITH RECURSIVE named AS (SELECT DISTINCT user_id AS job_id, ts AS at, ['queued', 'claimed', 'claimed', 'done', 'failed'][event_id % 5 + 1] AS event FROM events),
-  e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY at, CASE event WHEN 'queued' THEN 0 WHEN 'done' THEN 1 WHEN 'failed' THEN 2 ELSE 3 END) AS i FROM named
-    UNION ALL SELECT job_id, (SELECT max(at) FROM named), 'end', count(*) + 1 FROM named GROUP BY job_id),
+@query(f"""WITH RECURSIVE named AS (SELECT DISTINCT user_id AS job_id, ts AS t, ['queued', 'claimed', 'claimed', 'done', 'failed'][event_id % 5 + 1] AS event FROM events),
+  e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t, CASE event WHEN 'queued' THEN 0 WHEN 'done' THEN 1 WHEN 'failed' THEN 2 ELSE 3 END) AS i FROM named
+    UNION ALL SELECT job_id, (SELECT max(t) FROM named), 'end', count(*) + 1 FROM named GROUP BY job_id),
   run AS (SELECT job_id, 0::BIGINT AS i, NULL::VARCHAR AS state, 0::BIGINT AS n, NULL::TIMESTAMP AS locked, NULL::TIMESTAMP AS free, NULL::TIMESTAMP AS fell_at, NULL::VARCHAR AS fell, NULL::TIMESTAMP AS fell_free,
-      NULL::TIMESTAMP AS at, NULL::VARCHAR AS step, NULL::VARCHAR AS error FROM (SELECT DISTINCT job_id FROM named)
-    UNION ALL SELECT job_id, i, coalesce(step, was), n + (step = 'running' AND step IS NOT NULL)::INT, CASE WHEN step = 'running' THEN at WHEN step IS NULL THEN held END,
-      CASE WHEN step = 'pending' THEN at WHEN step = 'failed' THEN at + {_WAIT} WHEN step IS NULL THEN open END, fell_at, fell, fell_free, at, step, CASE WHEN step IS NOT NULL AND event = 'failed' THEN 'JOB_FAILED' END
-    FROM (SELECT *, CASE WHEN event = 'queued' AND was IS NULL THEN 'pending' WHEN event = 'claimed' AND (was = 'pending' OR was = 'failed' AND open <= at) THEN 'running'
+      NULL::TIMESTAMP AS t, NULL::VARCHAR AS step, NULL::VARCHAR AS error FROM (SELECT DISTINCT job_id FROM named)
+    UNION ALL SELECT job_id, i, coalesce(step, was), n + (step = 'running' AND step IS NOT NULL)::INT, CASE WHEN step = 'running' THEN t WHEN step IS NULL THEN held END,
+      CASE WHEN step = 'pending' THEN t WHEN step = 'failed' THEN t + {_WAIT} WHEN step IS NULL THEN open END, fell_at, fell, fell_free, t, step, CASE WHEN step IS NOT NULL AND event = 'failed' THEN 'JOB_FAILED' END
+    FROM (SELECT *, CASE WHEN event = 'queued' AND was IS NULL THEN 'pending' WHEN event = 'claimed' AND (was = 'pending' OR was = 'failed' AND open <= t) THEN 'running'
         WHEN event = 'done' AND was = 'running' THEN 'done' WHEN event = 'failed' AND was = 'running' THEN CASE WHEN n >= 3 THEN 'dead_letter' ELSE 'failed' END END AS step
       FROM (SELECT e.*, r.n, coalesce(f.fell, r.state) AS was, CASE WHEN f.fell IS NULL THEN r.locked END AS held, CASE WHEN f.fell IS NULL THEN r.free ELSE f.fell_free END AS open, f.fell, f.fell_at, f.fell_free
-        FROM run r JOIN e ON e.job_id = r.job_id AND e.i = r.i + 1, LATERAL (SELECT CASE WHEN over THEN CASE WHEN r.n >= 3 THEN 'dead_letter' ELSE 'failed' END END AS fell, CASE WHEN over THEN r.locked + to_seconds(300) END AS fell_at,
-          CASE WHEN over AND r.n < 3 THEN r.locked + to_seconds(300) + to_seconds(least(300, 5 * pow(2, r.n - 1))::BIGINT) END AS fell_free FROM (SELECT coalesce(r.state = 'running' AND r.locked + to_seconds(300) < e.at, false) AS over)) f)))
-  SELECT job_id, strftime(at, '%Y-%m-%d %H:%M:%S') AS at, state, attempts, error, strftime(available_at, '%Y-%m-%d %H:%M:%S') AS available_at FROM (
-    SELECT job_id, fell_at AS at, fell AS state, n - (step = 'running' AND step IS NOT NULL)::INT AS attempts, 'WORKER_LEASE_EXPIRED' AS error, fell_free AS available_at FROM run WHERE fell IS NOT NULL
-    UNION ALL SELECT job_id, at, step, n, error, CASE WHEN step IN ('pending', 'failed') THEN free END FROM run WHERE step IS NOT NULL)""")
+        FROM run r JOIN e ON e.job_id = r.job_id AND e.i = r.i + 1, LATERAL (SELECT CASE WHEN past THEN CASE WHEN r.n >= 3 THEN 'dead_letter' ELSE 'failed' END END AS fell, CASE WHEN past THEN r.locked + to_seconds(300) END AS fell_at,
+          CASE WHEN past AND r.n < 3 THEN r.locked + to_seconds(300) + to_seconds(least(300, 5 * pow(2, r.n - 1))::BIGINT) END AS fell_free FROM (SELECT coalesce(r.state = 'running' AND r.locked + to_seconds(300) < e.t, false) AS past)) f)))
+  SELECT job_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS "at", state, attempts, error, strftime(available_at, '%Y-%m-%d %H:%M:%S') AS available_at FROM (
+    SELECT job_id, fell_at AS t, fell AS state, n - (step = 'running' AND step IS NOT NULL)::INT AS attempts, 'WORKER_LEASE_EXPIRED' AS error, fell_free AS available_at FROM run WHERE fell IS NOT NULL
+    UNION ALL SELECT job_id, t, step, n, error, CASE WHEN step IN ('pending', 'failed') THEN free END FROM run WHERE step IS NOT NULL)""")
 def lease_steps(c):
     """Events as a job log: what each user's job goes through."""
     kind = F.array(*map(F.lit, ("queued", "claimed", "claimed", "done", "failed")))[(F.col("event_id") % 5).cast("int")]
     log = c.table("events").select(F.col("user_id").alias("job_id"), kind.alias("event"), "ts")
     stamp = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias(x)
     return queue.lease_steps(log).select("job_id", stamp("at"), "state", "attempts", "error", stamp("available_at"))
+
+
+@query(f"""WITH r AS (SELECT event_type AS method, concat('/', user_id % 5) AS route, concat(event_id % 3 + 2, 'xx') AS status_class, value / 10 AS seconds FROM events),
+  b AS (SELECT unnest({_BOUNDS}) AS le), g AS (SELECT method, route, count(*) AS n, sum(seconds) AS s FROM r GROUP BY ALL)
+  SELECT 0 AS part, format('http_requests_total{{{{method="{{}}",route="{{}}",status_class="{{}}"}}}} {{}}', method, route, status_class, count(*)) AS line FROM r GROUP BY method, route, status_class
+  UNION ALL SELECT 1, format('http_request_duration_seconds_bucket{{{{method="{{}}",route="{{}}",le="{{}}"}}}} {{}}', method, route, le::VARCHAR, count(*) FILTER (seconds <= le)) FROM r, b GROUP BY method, route, le
+  UNION ALL SELECT 1, format('http_request_duration_seconds_bucket{{{{method="{{}}",route="{{}}",le="+Inf"}}}} {{}}', method, route, n) FROM g
+  UNION ALL SELECT 2, format('http_request_duration_seconds_sum{{{{method="{{}}",route="{{}}"}}}} {{:.6f}}', method, route, s) FROM g
+  UNION ALL SELECT 3, format('http_request_duration_seconds_count{{{{method="{{}}",route="{{}}"}}}} {{}}', method, route, n) FROM g
+  UNION ALL SELECT 4, format('rate_limit_rejections_total{{{{scope="{{}}",backend="memory"}}}} {{}}', event_type, count(*)) FROM events WHERE value > 100 GROUP BY event_type""")
+def metrics_text(c):
+    """Events as requests, and those of a large value as rejected ones."""
+    e = c.table("events")
+    status = F.concat((F.col("event_id") % 3 + 2).cast("string"), F.lit("xx"))
+    requests = e.select(F.col("event_type").alias("method"), F.concat(F.lit("/"), F.col("user_id") % 5).alias("route"), status.alias("status_class"), (F.col("value") / 10).alias("seconds"))
+    rejected = e.where("value > 100").select(F.col("event_type").alias("scope"), F.lit("memory").alias("backend"))
+    return files.metrics_text(requests, rejected)

@@ -86,6 +86,35 @@ def metric_lines(histogram: DataFrame) -> DataFrame:
     return histogram.select(line.alias("line")).orderBy("line")
 
 
+def metrics_text(requests: DataFrame, rejections: DataFrame) -> DataFrame:
+    """Prometheus text lines (part, line), to be read in this order: request counters, histogram, rejection counters.
+
+    requests: method, route, status_class, seconds; rejections: scope, backend. A histogram is its cumulative buckets,
+    its sum and its count for each method and route.
+    """
+    from tidepool.streaming.state import histogram
+
+    def lines(rows: DataFrame, part: int, name: str, labels: tuple[str, ...], value: str, shown: str = "%d") -> DataFrame:
+        text = f"{name}{{{','.join(f'{c}="%s"' for c in labels)}}} {shown}"
+        return rows.select(F.lit(part).alias("part"), F.format_string(text, *labels, value).alias("line"))
+
+    kinds = ("method", "route", "status_class")
+    by = kinds[:2]
+    cells = histogram(requests, list(by), "seconds")
+    whole = cells.where("le = '+Inf'")
+    parts = [
+        lines(requests.groupBy(*kinds).agg(F.count("*").alias("n")), 0, "http_requests_total", kinds, "n"),
+        lines(cells, 1, "http_request_duration_seconds_bucket", (*by, "le"), "n"),
+        lines(whole, 2, "http_request_duration_seconds_sum", by, "sum", "%.6f"),
+        lines(whole, 3, "http_request_duration_seconds_count", by, "count"),
+        lines(rejections.groupBy("scope", "backend").agg(F.count("*").alias("n")), 4, "rate_limit_rejections_total", ("scope", "backend"), "n"),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def allowed_attributes(attributes: Column) -> Column:
     """The map without keys whose name holds a denied part."""
     return F.map_filter(attributes, lambda k, v: ~F.lower(k).rlike("|".join(DENIED_ATTRIBUTES)))
