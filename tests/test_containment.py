@@ -34,6 +34,16 @@ def test_containment_needs_no_nested_loop(spark):
     assert found == {(i, t) for i in range(50) for t in {int(str(i * 7)[:n]) for n in range(1, len(str(i * 7)) + 1)}}
 
 
+def test_runs_travel_without_their_text(spark):
+    names = spark.createDataFrame([(1, "abcd"), (2, "xy")], "name_id long, name string")
+    texts = spark.createDataFrame([(1, "zabcdz"), (1, "zabcdz"), (2, "xabc"), (3, "wxyz")], "text_id long, text string")
+    for own in (names, names.where("name_id = 1")):
+        out = contained(own, texts, "name", "text")
+        joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "_run#" in x]
+        assert joins and not any("text#" in x for x in joins)
+    assert sorted((r.name_id, r.text_id) for r in contained(names, texts, "name", "text").collect()) == [(1, 1), (1, 1), (2, 3)]
+
+
 def digest(ids, leaf):
     ids, n = sorted(set(ids)), len(set(ids))
     depth = sum(n > leaf * 256**k for k in range(3))
