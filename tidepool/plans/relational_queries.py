@@ -24,5 +24,9 @@ sql_query("event_properties", """SELECT event_type, count(*) AS n, sum(CAST(get_
           """SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY event_type""")
 sql_query("running_value", """SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS recent,
   ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS quarter FROM {events}""", "events")
-sql_query("nation_outer", """SELECT n_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM {nation} LEFT JOIN {customer} ON c_nationkey = n_nationkey
-  LEFT JOIN {supplier} ON s_nationkey = n_nationkey GROUP BY n_name""", "nation customer supplier")
+# customers and suppliers of a nation are counted apart: joined to it at once they would be paired with each other
+sql_query("nation_outer", """SELECT n.n_name, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM (SELECT DISTINCT n_name FROM {nation}) n
+  LEFT JOIN (SELECT n_name, count(DISTINCT c_custkey) AS customers FROM {nation} JOIN {customer} ON c_nationkey = n_nationkey GROUP BY n_name) c ON c.n_name <=> n.n_name
+  LEFT JOIN (SELECT n_name, count(DISTINCT s_suppkey) AS suppliers FROM {nation} JOIN {supplier} ON s_nationkey = n_nationkey GROUP BY n_name) s ON s.n_name <=> n.n_name""", "nation customer supplier",
+          """SELECT n_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey
+  LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""")
