@@ -27,3 +27,18 @@ def test_nation_outer_does_not_pair_customers_with_suppliers(spark, tmp_path):
     got = registry.QUERIES["nation_outer"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(con.execute(registry.ORACLE_SQL["nation_outer"]).fetchall(), key=repr)
     assert "Expand" not in plan(got)  # of two distinct counts over joined rows
+
+
+@pytest.mark.parametrize("by", ("component", ""))
+def test_digests_in_sql_are_trees_of_any_depth(spark, by):
+    rows = spark.range(3000).selectExpr("concat('e', id) AS entity_id", "CASE WHEN id < 5 THEN 'a' WHEN id < 200 THEN 'b' ELSE 'c' END AS component")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE members AS SELECT concat('e', i) AS entity_id, CASE WHEN i < 5 THEN 'a' WHEN i < 200 THEN 'b' ELSE 'c' END AS component FROM range(3000) t(i)")
+    for leaf in (1, 5, 4096):
+        want = {(r[by] if by else 1): r["digest"] for r in tree_digest(rows.withColumn("one", F.lit(1)), [by or "one"], "entity_id", leaf).collect()}
+        got = con.execute(f"WITH {graph_queries._digest('d', by, leaf)} SELECT {by or 1}, digest FROM d").fetchall()
+        assert dict(got) == want
+    con.execute("INSERT INTO members SELECT concat('f', i), 'd' FROM range(70000) t(i)")
+    deep = spark.range(70_000).selectExpr("concat('f', id) AS entity_id", "'d' AS component")
+    want = tree_digest(deep if by else rows.unionByName(deep).withColumn("one", F.lit(1)), [by or "one"], "entity_id", 1).first()["digest"]
+    assert want in {d for _, d in con.execute(f"WITH {graph_queries._digest('d', by, 1)} SELECT {by or 1}, digest FROM d").fetchall()}
