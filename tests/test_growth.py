@@ -15,6 +15,14 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_an_index_has_bounded_chunks_to_a_partition(spark):
+    chunks = spark.range(20_000).select(F.concat(F.lit("l"), "id").alias("locator"), F.lit("one two").alias("content"))
+    index = recall.token_index(chunks)
+    assert index.rdd.getNumPartitions() == 5
+    most = index.groupBy(F.spark_partition_id()).agg(F.count_distinct("locator").alias("n")).agg(F.max("n")).first()[0]
+    assert most < 4500
+
+
 def test_nation_outer_does_not_pair_customers_with_suppliers(spark, tmp_path):
     tables = {
         "nation": ([(0, "A"), (1, "B"), (2, "B"), (3, None), (3, None), (4, "E"), (None, "F")], "n_nationkey int, n_name string"),
