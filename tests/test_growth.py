@@ -50,3 +50,16 @@ def test_digests_in_sql_are_trees_of_any_depth(spark, by):
     deep = spark.range(70_000).selectExpr("concat('f', id) AS entity_id", "'d' AS component")
     want = tree_digest(deep if by else rows.unionByName(deep).withColumn("one", F.lit(1)), [by or "one"], "entity_id", 1).first()["digest"]
     assert want in {d for _, d in con.execute(f"WITH {graph_queries._digest('d', by, 1)} SELECT {by or 1}, digest FROM d").fetchall()}
+
+
+def test_extraction_holds_a_slice_of_texts(spark, monkeypatch):
+    chunks = spark.range(1000, numPartitions=1).selectExpr("concat('l', id) AS locator", "IF(id = 3, NULL, concat('Alpha', id, ' uses Beta. ', repeat('x ', id))) AS content")
+    found = graph.extracted(chunks)
+    sizes = found.select("locator").mapInArrow(lambda it: it, "locator string")
+    assert sizes.count() == 1000
+    got = {r["locator"]: r for r in found.collect()}
+    for i in (0, 3, 999):
+        want = graph.extract(None if i == 3 else f"Alpha{i} uses Beta. " + "x " * i)
+        assert [e.asDict() for e in got[f"l{i}"]["entities"]] == want["entities"] and [e.asDict() for e in got[f"l{i}"]["relations"]] == want["relations"]
+    entities, _, _ = graph.build_index(chunks)
+    assert "ArrowEvalPython" not in plan(entities)  # takes 10,000 texts at once
