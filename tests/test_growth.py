@@ -63,3 +63,22 @@ def test_extraction_holds_a_slice_of_texts(spark, monkeypatch):
         assert [e.asDict() for e in got[f"l{i}"]["entities"]] == want["entities"] and [e.asDict() for e in got[f"l{i}"]["relations"]] == want["relations"]
     entities, _, _ = graph.build_index(chunks)
     assert "ArrowEvalPython" not in plan(entities)  # takes 10,000 texts at once
+
+
+def test_communities_are_built_once(spark, monkeypatch):
+    made = []
+    save = graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, name: made.append(name) or save(df, name))
+    members = spark.createDataFrame([(f"e{i}", f"e{i % 3}") for i in range(9)], "entity_id string, component string")
+    entities = members.select("entity_id", F.col("entity_id").alias("name"), F.col("entity_id").alias("normalized_name"), F.lit(1).alias("mention_count"))
+    mentions = spark.createDataFrame([(f"e{i % 9}", f"l{i:04}") for i in range(1800)] * 2, "entity_id string, locator string")
+    edges = spark.createDataFrame([("e1", "e2", "l5000"), ("e0", "e3", None)], "source_id string, target_id string, locator string")
+    built = graph.build_communities(members, entities, mentions, edges)
+    low = {r["component"]: r for r in built.where("level = 0").collect()}
+    want = {f"e{g}": sorted(f"l{i:04}" for i in range(1800) if i % 3 == g)[:80] for g in range(3)}
+    assert low["e1"]["source_locators"] == want["e1"] and low["e2"]["source_locators"] == want["e2"]
+    assert low["e0"]["source_locators"] == want["e0"][:79]  # an edge without a chunk takes a place, as it did
+    q = spark.createDataFrame([(1, ["e1"], False), (2, ["x"], True)], "query_id long, community_tokens array<string>, is_global boolean")
+    assert graph.community_recall(q, built.withColumn("text", F.lower("title")), 8).count() == 16
+    assert graph.community_gate(built, members, entities, mentions).first()["communities"] == 4
+    assert made.count("communities") == 2 and made.count("sources") == 1
