@@ -82,3 +82,15 @@ def test_communities_are_built_once(spark, monkeypatch):
     assert graph.community_recall(q, built.withColumn("text", F.lower("title")), 8).count() == 16
     assert graph.community_gate(built, members, entities, mentions).first()["communities"] == 4
     assert made.count("communities") == 2 and made.count("sources") == 1
+
+
+def test_a_louvain_round_deals_links_once_by_vertex(spark, monkeypatch):
+    states = []
+    save = louvain.saved
+    monkeypatch.setattr(louvain, "saved", lambda df, name: (name == "labels" and states.append(df)) or save(df, name))
+    v = spark.range(40).selectExpr("1 AS kb_id", "concat('v', id) AS entity_id")
+    p = spark.range(40).selectExpr("1 AS kb_id", "concat('v', id) AS a", "concat('v', (id * 7 + 1) % 40) AS b", "1.0 AS weight")
+    louvain.louvain(v, p, rounds=2, levels=1)
+    text = plan(states[0])
+    assert not re.search(r"Join Inner, \(c#\d+L? = c#\d+L?\)[^\n]*\n[^\n]*Aggregate \[v#", text)
+    assert "RepartitionByExpression [v#" in text
