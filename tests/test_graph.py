@@ -100,3 +100,33 @@ def test_one_hop_is_cut_in_a_fixed_order(spark):
 def test_relation_mode(spark):
     df = spark.createDataFrame([("Redis 是什么",), ("A 和 B 的关系",), ("总结全部",)], "q string")
     assert [r[0] for r in df.select(graph.relation_mode(F.col("q"))).collect()] == ["local", "multi_hop", "global"]
+
+
+def test_entities_give_only_chunks_that_may_be_found(spark):
+    """Against a plain count: entities that meet in chunks, repeated mentions, and far more mentions than are returned."""
+    rng = random.Random(3)
+    seeds = [(q, f"e{q % 7}") for q in range(12)] + [(1, "e5"), (1, "e5")]
+    edges = [(f"e{rng.randrange(30)}", f"e{rng.randrange(30)}", f"l{i}") for i in range(60)] * 2
+    mentions = [(f"e{rng.randrange(30)}", f"l{rng.randrange(150):03}", rng.randint(1, 6)) for _ in range(3000)]
+    ordinal = {f"l{i:03}": i % 5 for i in range(150)}
+    s = Settings(graph_edges=20, graph_entities=12)
+    near = {q: {} for q, _ in seeds}
+    for q in near:
+        own = {e for k, e in seeds if k == q}
+        first = sorted({e for e in edges if own & set(e[:2])})[:20]
+        others = sorted({x for e in first for x in e[:2]} - own)
+        near[q] = {e: 2.0 for e in own} | {e: 0.75 for e in others[: 12 - len(own)]}
+    want = []
+    for q, found in near.items():
+        best = {}
+        for e, loc, n in mentions:
+            if e in found:
+                best[loc] = max(best.get(loc, 0), found[e] + 0.1 * min(n, 4))
+        best = sorted(best.items(), key=lambda x: (-round(x[1], 6), ordinal[x[0]], x[0]))[:6]
+        want += [(q, loc, round(score, 6), i + 1) for i, (loc, score) in enumerate(best)]
+    m = spark.createDataFrame([(*x, ordinal[x[1]]) for x in mentions], "entity_id string, locator string, mention_count long, ordinal int")
+    given = spark.createDataFrame(seeds, "query_id long, entity_id string"), spark.createDataFrame(edges, "source_id string, target_id string, locator string")
+    chunks = spark.createDataFrame(list(ordinal.items()), "locator string, ordinal int")
+    for found in (graph.graph_recall(*given, m, None, 6, s=s), graph.graph_recall(*given, m.drop("ordinal"), chunks, 6, s=s)):
+        assert sorted((r["query_id"], r["locator"], round(r["score"], 6), r["rank"]) for r in found.collect()) == sorted(want)
+    assert graph.first_mentions(m, 6).groupBy("entity_id").count().agg(F.max("count")).first()[0] == 6
