@@ -94,3 +94,26 @@ def test_odd_rows(odd, odd_docs, empty):
     out = jaccard.near_copies(odd)
     assert out.count() == len(odd_docs) and set(out.columns) == set(odd.columns)
     assert jaccard.near_copies(empty).count() == 0
+
+
+def test_a_large_group_is_joined_by_texts_in_its_middle(spark, words, monkeypatch):
+    """Variants of one text: its first pairs leave many apart that a text with few changes joins, before all are compared."""
+    rng, base = random.Random(8), words(150, 9000).split()
+    texts = {}
+    for i in range(240):
+        own = list(base)
+        for at in rng.sample(range(len(own)), rng.choice((1, 1, 2, 2, 3, 5))):
+            own[at] = f"v{rng.randrange(10**6)}"
+        texts[i] = " ".join(own)
+    tried, verify = [], jaccard.verify
+
+    def counted(pairs, *more):
+        tried.append(pairs.count())
+        return verify(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "verify", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(docs).collect()}
+    want = brute(texts)
+    assert found == want and 60 < max(list(want.values()).count(c) for c in set(want.values())) < 240
+    assert sum(tried) < 5500  # 6734 when all that the first pairs had left apart was compared

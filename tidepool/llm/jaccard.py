@@ -1,9 +1,11 @@
 """Near copies by the Jaccard similarity of their word shingles, exactly.
 
-SimHash balls and neighbours in the shared shingles propose first pairs, which join most copies. Of the rest no
-pair is missed: were two texts at least `similarity` alike, the first shingle they share, in whatever fixed order,
-is among the first n - ceil(similarity * n) + 1 of each. Only these prefixes are spread, rare shingles first, and
-texts of different components that meet in one are compared. Every link is verified on the texts.
+SimHash balls and neighbours in the shared shingles propose first pairs, which join most copies. Then a few texts in
+the middle of those that share a shingle meet the others there, which joins large groups of near copies by pairs that
+grow as their rows do. Of the rest no pair is missed: were two texts at least `similarity` alike, the first shingle
+they share, in whatever fixed order, is among the first n - ceil(similarity * n) + 1 of each. Only these prefixes are
+spread, rare shingles first, and texts of different components that meet in one are compared. Every link is verified on
+the texts.
 """
 
 from __future__ import annotations
@@ -191,7 +193,7 @@ def bands(texts: DataFrame, similarity: Fraction) -> Column:
 
 
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: str = "0.8",
-                distance: int = 4, part_rows: int = 4096) -> DataFrame:
+                distance: int = 4, part_rows: int = 4096, hubs: int = 4) -> DataFrame:
     """docs with component_id: the smallest doc_id reachable over pairs whose shingles are at least that similar.
 
     similarity is a decimal or fraction in a string, so that the limit itself counts. Texts of equal words (by two
@@ -203,14 +205,14 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
         raise ValueError("similarity must be in (0, 1]")
     docs = docs.drop("component_id")
     with shuffles_dropped(docs.sparkSession):
-        ids = _components(docs, text, doc_id, words, least, distance, part_rows)
+        ids = _components(docs, text, doc_id, words, least, distance, part_rows, hubs)
     other = [F.col(f"`{c}`") for c in docs.columns if c != text]  # in one column, whatever their names are
     rows = docs.select(F.struct(*other, F.lit(1).alias("_")).alias("_row"), F.col(text).alias("_text"))
     marked = _marked(rows, "_text", ["_row", "_text"], words, fingerprints=False).join(ids, ["_h1", "_h2"])
     return marked.select(*(F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns), "component_id")
 
 
-def _components(docs: DataFrame, text: str, doc_id: str, words: int, least: Fraction, distance: int, part_rows: int) -> DataFrame:
+def _components(docs: DataFrame, text: str, doc_id: str, words: int, least: Fraction, distance: int, part_rows: int, hubs: int) -> DataFrame:
     """(_h1, _h2, component_id) of the distinct sequences of words."""
     named = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     nodes = _marked(named, "_text", ["_id", "_text"], words).groupBy("_h1", "_h2")
@@ -227,7 +229,7 @@ def _components(docs: DataFrame, text: str, doc_id: str, words: int, least: Frac
     spread = prefixes(nodes, words, least, frequent(nodes, words))
     shared = spread.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
     met = spread.join(shared, "gram").withColumn("salt", F.expr(f"pmod(xxhash64(node), ceil(k / {part_rows}))"))
-    met = written(met.select("gram", "node", "n", "at", "salt"), "shared-shingles")
+    met = written(met.select("gram", "node", "n", "at", "salt", "k"), "shared-shingles")
 
     def may(a: str, b: str):
         """Whether text a, not longer than b, can be alike if this is the first shingle that they share."""
@@ -239,12 +241,27 @@ def _components(docs: DataFrame, text: str, doc_id: str, words: int, least: Frac
     tried = written(balls.unionByName(beside).distinct(), "first-pairs")
     first = written(verify(tried, nodes, words, least), "first-links")
 
-    joined = written(least_member(first).select("node", F.col("component").alias("label")), "labels")
-    labelled = met.drop("salt").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("band", bands(met, least))
-    labelled = written(labelled, "labelled-shingles")
-    short = labelled.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))  # longer texts are in the same band or the next
-    spans = short.groupBy("gram", "band").agg(F.min("label").alias("_min"), F.max("label").alias("_max"))
-    mixed = written(spans.where("_min <> _max").select("gram", "band"), "mixed-bands")
+    def spread_so_far(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Components by the links, shingles with them, these also in the next band, and the bands that hold several components."""
+        joined = written(least_member(links).select("node", F.col("component").alias("label")), "labels")
+        labelled = met.select("gram", "node", "n", "at").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = written(labelled.withColumn("band", bands(met, least)), "labelled-shingles")
+        short = labelled.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))  # longer texts are in the same band or the next
+        spans = short.groupBy("gram", "band").agg(F.min("label").alias("_min"), F.max("label").alias("_max"))
+        return joined, labelled, short, written(spans.where("_min <> _max").select("gram", "band"), "mixed-bands")
+
+    _, labelled, short, mixed = spread_so_far(first)
+    # a large group is joined by the texts in its middle: those whose shingles most others share meet the rest of their band
+    central = met.groupBy("node").agg((F.sum("k") / F.first("n")).alias("central"))
+    place = F.row_number().over(Window.partitionBy("gram", "band").orderBy(F.desc("central"), "node"))
+    middle = labelled.join(mixed, ["gram", "band"], "left_semi").join(central, "node").withColumn("place", place).where(F.col("place") <= hubs)
+    x, y = short.join(mixed, ["gram", "band"], "left_semi").alias("x"), middle.alias("y")
+    meet = F.expr("x.gram = y.gram AND x.band = y.band AND x.label <> y.label")
+    alike = F.expr("x.n <= y.n") & may("x.", "y.") | F.expr("y.n <= x.n") & may("y.", "x.")
+    met_hub = x.join(y, meet & alike).select(*_pair("x.node", "y.node")).distinct()
+    new = written(met_hub.join(tried, ["a", "b"], "left_anti"), "hub-pairs")
+    tried = tried.unionByName(new)
+    joined, labelled, short, mixed = spread_so_far(first.unionByName(written(verify(new, nodes, words, least), "hub-links")))
     x, y = short.join(mixed, ["gram", "band"], "left_semi").alias("x"), labelled.join(mixed, ["gram", "band"], "left_semi").alias("y")
     apart = F.expr("x.gram = y.gram AND x.band = y.band AND struct(x.n, x.node) < struct(y.n, y.node) AND x.label <> y.label")
     rest = written(x.join(y, apart & may("x.", "y.")).select(*_pair("x.node", "y.node")).distinct(), "other-pairs")
