@@ -32,3 +32,18 @@ def test_entities_beyond_the_most_mentioned(spark, named):
         want += [(q, at + 1, c) for at, (c, _) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:6])]
     assert sorted((r["query_id"], r["rank"], r["locator"]) for r in found.collect()) == sorted(want) and 50 in {q for q, *_ in want}
     assert "NestedLoop" not in (plan := found._jdf.queryExecution().toString()) and "Cartesian" not in plan
+
+
+def test_tags_beyond_the_first_names(spark, named):
+    names, rows, _, asked, queries = named
+    tags = names.select(F.col("id").alias("tag_id"), "normalized_name", F.when(F.col("id") % 5 == 1, "closed").otherwise("active").alias("status"))
+    held = [(int(c[1:]), i, "approved" if n % 3 else "pending") for (i, c), n in rows.items()]
+    assets = [(a, f"c{a:03}:{o}", o) for a in range(300) for o in range(a % 4)]  # some have no evidence
+    out = recall.tag_recall(queries, tags, spark.createDataFrame(held, "asset_id long, tag_id long, state string"),
+                            spark.createDataFrame(assets, "asset_id long, locator string, ordinal int"), 7)
+    want = []
+    for q, text in asked.items():
+        own = {a for a, i, state in held if state == "approved" and i % 5 != 1 and f"name{i:03}x" in text.lower()}
+        best = sorted((o, a, c) for a, c, o in assets if a in own)[:7]
+        want += [(q, at + 1, c) for at, (_, _, c) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["locator"]) for r in out.collect()) == sorted(want) and 51 in {q for q, *_ in want}
