@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.operators import recall
+from tidepool.plans.search import Corpus, search
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +48,26 @@ def test_tags_beyond_the_first_names(spark, named):
         best = sorted((o, a, c) for a, c, o in assets if a in own)[:7]
         want += [(q, at + 1, c) for at, (_, _, c) in enumerate(best)]
     assert sorted((r["query_id"], r["rank"], r["locator"]) for r in out.collect()) == sorted(want) and 51 in {q for q, *_ in want}
+
+
+@pytest.mark.parametrize("part", (1,))
+def test_search_finds_rare_entities_and_late_tags(spark, named, part):
+    """The whole path: what only an entity or a tag beyond the first 48 leads to is evidence (0), and is counted in the decisions (1)."""
+    names, _, mentions, _, queries = named
+    chunks = spark.createDataFrame([(f"c{i:03}", str(i), 0, "title of it", "", "md", f"words on the matter {i}") for i in range(300)],
+                                   "locator string, document_id string, ordinal int, title string, section string, source_type string, content string")
+    own = names.select(F.col("id").alias("entity_id"), "normalized_name")
+    counted = mentions.groupBy("entity_id").agg(F.count("*").alias("mention_count")).join(own, "entity_id")
+    tags = names.select(F.col("id").alias("tag_id"), "normalized_name", F.lit("active").alias("status"))
+    assigned = spark.createDataFrame([(7, 119, "approved")], "asset_id long, tag_id long, state string")
+    assets = spark.createDataFrame([(7, "c007", 0)], "asset_id long, locator string, ordinal int")
+    corpus = Corpus(chunks, entities=counted, mentions=mentions, tags=tags, assignments=assigned, assets=assets)
+    asked = queries.where("query_id IN (50, 51)").withColumn("query", F.concat("query", F.lit(" 之间 matter")))
+    evidence, decisions = search(asked, corpus)
+    if part:
+        by = {r["query_id"]: r for r in decisions.collect()}
+        assert by[50]["entity_candidates"] == 1 and by[50]["tag_candidates"] == 0 and by[51]["tag_candidates"] == 1 and by[51]["entity_candidates"] > 1
+    else:
+        only = mentions.where("entity_id = 0").first()["locator"]
+        got = {(r["query_id"], r["locator"]) for r in evidence.collect()}
+        assert (50, only) in got and (51, "c007") in got
