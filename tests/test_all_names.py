@@ -50,7 +50,7 @@ def test_tags_beyond_the_first_names(spark, named):
     assert sorted((r["query_id"], r["rank"], r["locator"]) for r in out.collect()) == sorted(want) and 51 in {q for q, *_ in want}
 
 
-@pytest.mark.parametrize("part", (1,))
+@pytest.mark.parametrize("part", (0, 1))
 def test_search_finds_rare_entities_and_late_tags(spark, named, part):
     """The whole path: what only an entity or a tag beyond the first 48 leads to is evidence (0), and is counted in the decisions (1)."""
     names, _, mentions, _, queries = named
